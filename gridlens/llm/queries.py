@@ -1,13 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, warc
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_warc": warc.op2_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_chat_formatting": chat.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
