@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, mixing, warc
+from . import chat, exact_dedup, mixing, partenum, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_warc": warc.op2_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op8_jaccard_join": partenum.op8_jaccard_join,
 }
 
 ORACLE_SQL = {
