@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, mixing, partenum, warc
+from . import chat, exact_dedup, mixing, partenum, pq, substrings, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_warc": warc.op2_warc,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_jaccard_join": partenum.op8_jaccard_join,
+    "op9_embedding_near_dedup": pq.op9_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
