@@ -138,7 +138,7 @@ def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 _MAPPED = "part int, ids binary, counts binary, signs binary, a binary, b binary, sign binary, sizes binary, digests binary, sketches binary"
-_FOUND = "kind int, a long, b long, sign long, n long, digest binary, sketch binary"
+_FOUND = "kind int, a long, b long, sign long, n long, digest binary, sketch array<long>"
 
 
 def _mapper(parts: int, threshold: int):
@@ -210,7 +210,8 @@ def _reduce(rows: pa.Table) -> pa.Table:
     s = np.concatenate([_whole(cols["sign"], np.uint64), sign[order][~lead]]).astype(np.int64)
     distinct = a != b
     a, b, s = a[distinct], b[distinct], s[distinct]
-    m, n, wide = len(ids), len(a), 8 * SKETCH_WORDS
+    m, n = len(ids), len(a)
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH_WORDS * m + 1, SKETCH_WORDS), pa.int32()), pa.array(np.frombuffer(sketches, np.int64)))
     null = lambda k, t: pa.nulls(k, t)
     return pa.Table.from_arrays(
         [
@@ -220,7 +221,7 @@ def _reduce(rows: pa.Table) -> pa.Table:
             pa.concat_arrays([null(m, pa.int64()), pa.array(s)]),
             pa.concat_arrays([pa.array(sizes), null(n, pa.int64())]),
             pa.concat_arrays([pa.array([digests[i : i + 16] for i in range(0, 16 * m, 16)], pa.binary()), null(n, pa.binary())]),
-            pa.concat_arrays([pa.array([sketches[i : i + wide] for i in range(0, wide * m, wide)], pa.binary()), null(n, pa.binary())]),
+            pa.concat_arrays([bits, null(n, bits.type)]),
         ],
         names=[c.split()[0] for c in _FOUND.split(", ")],
     )
@@ -237,17 +238,22 @@ def _shingled(batches):
 
 def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of documents with sets, with `linked`. Only documents in pairs are shingled again."""
-    slim = sizes.select("doc_id", "n", "digest")
+    slim = sizes.select("doc_id", "n", "digest", "sketch")
+    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold))
     told = (
-        pairs.join(slim.toDF("a", "na", "da"), "a")
-        .join(slim.toDF("b", "nb", "db"), "b")
-        .select("a", "b", "na", "nb", (F.col("da") == F.col("db")).alias("same"), (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold).alias("near"))
+        pairs.join(slim.toDF("a", "na", "da", "ka"), "a")
+        .join(slim.toDF("b", "nb", "db", "kb"), "b")
+        .select("a", "b", "na", "nb", (F.col("da") == F.col("db")).alias("same"), near.alias("near"))
     )
     told = stage(told, "pairs")
     open_ = told.where("near AND NOT same")
     ends = stage(open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b").alias("doc_id"))).distinct(), "ends")
     sets = stage(docs.select("doc_id", "text").join(small(ends), "doc_id", "left_semi").mapInArrow(_shingled, "doc_id long, digest binary, shingles array<long>"), "sets")
-    sets = sets.join(slim.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+    if sizes.where("repeated").isEmpty():
+        sets = sets.select("doc_id", "shingles")
+    else:  # one text of a repeated doc_id speaks for all
+        sets = sets.join(slim.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
     shared = F.size(F.array_intersect("sa", "sb"))
     tested = (
         open_.join(sets.toDF("b", "sb"), "b")
@@ -263,7 +269,7 @@ def _across(threshold: int):
     def pairs(rows: pa.Table) -> pa.Table:
         get = lambda c: rows.column(c).to_numpy()
         ids, comp, n, side = get("doc_id"), get("component"), get("n"), get("side")
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), SKETCH_WORDS)
+        bits = rows.column("sketch").combine_chunks().flatten().to_numpy().astype(np.uint64).reshape(len(ids), SKETCH_WORDS)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         a, b = [], []
         for i in left:
@@ -293,7 +299,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     parts = shuffle_width(spark, 4)
     found = stage(docs.mapInArrow(_mapper(parts, threshold), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "digest", "sketch")
-    sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v")).select("doc_id", "v.*"), "sizes")
+    sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v"), (F.count("*") > 1).alias("repeated")).select("doc_id", "v.*", "repeated"), "sizes")
     buckets = found.where("kind = 1").select("a", "b", "sign")
 
     classes = stage(sizes.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
