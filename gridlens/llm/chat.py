@@ -1,6 +1,6 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins walk from every leaf to its root; branches are ranked by score and the chosen
+Iterative self-joins enumerate the paths from every leaf to its root; branches are ranked by score and the chosen
 paths are written as one conversation each, with a template whose control strings cannot occur
 inside an escaped text.
 """
@@ -34,23 +34,30 @@ def unescape(text: Column, pairs=TEXT_ESCAPES) -> Column:
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every node on the way from each leaf up to its root (up = 0 at the leaf).
 
-    nodes: tree, node, parent (null at roots), with node unique within its tree. Each round joins
-    the rows that still have a parent with the nodes, so it takes as many rounds as the tallest tree
-    has levels; a parent that does not exist ends its path. Only ids move, never texts.
+    nodes: tree, node, parent (null at roots), with node unique within its tree. Round k joins the
+    paths so far with each node's ancestor 2^k levels up, and those links with themselves, so a
+    tree of depth d takes log2(d) rounds; a parent that does not exist ends its path, and a cycle
+    of replies has no leaf. Only ids move, never texts.
     """
-    links = stage(nodes.select("tree", "node", "parent"), "links")
-    parents = links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
-    at = links.alias("l").join(parents.alias("p"), same("l", "p") & (F.col("l.node") == F.col("p.node")), "left_anti")
-    at = stage(at.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"), "parent"), "level")
-    levels = at
-    up = 0
-    while not (rest := at.where("parent IS NOT NULL")).isEmpty():
-        up += 1
-        hop = rest.alias("a").join(links.alias("n"), same("a", "n") & (F.col("a.parent") == F.col("n.node")))
-        at = stage(hop.select("a.tree", "a.leaf", "n.node", F.lit(up).alias("up"), "n.parent"), "level")
-        levels = levels.unionByName(at)
-    return levels.drop("parent")
+    links = nodes.select("tree", "node", "parent")
+    parents = links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = links.alias("l").join(parents.alias("p"), same("l", "p") & (F.col("l.node") == F.col("p.node")), "left_anti")
+    paths = stage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
+    real = links.select("tree", F.col("node").alias("parent"))
+    jump = links.alias("a").join(real.alias("b"), same("a", "b") & (F.col("a.parent") == F.col("b.parent")), "left_semi")
+    jump = stage(jump.select("tree", "node", F.col("parent").alias("far")), "jumps")
+    width = 1
+    while not jump.isEmpty():
+        on = same("p", "j") & (F.col("p.node") == F.col("j.node"))
+        longer = stage(paths.alias("p").join(jump.alias("j"), on).select("p.tree", "leaf", F.col("far").alias("node"), (F.col("up") + width).alias("up")), "paths")
+        if longer.isEmpty():
+            break
+        paths = paths.unionByName(longer)
+        on = same("j", "k") & (F.col("j.far") == F.col("k.node"))
+        jump = stage(jump.alias("j").join(jump.alias("k"), on).select("j.tree", "j.node", F.col("k.far").alias("far")), "jumps")
+        width *= 2
+    return paths
 
 
 def conversations_of_trees(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -59,6 +66,7 @@ def conversations_of_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     messages: tree, node, parent, role, text, score. A branch's score is the sum of its messages'
     (null scores 0); ties go to the smallest leaf. Null roles and texts are empty.
     """
+    messages = stage(messages.select("tree", "node", "parent", "role", "text", "score"), "messages")
     paths = leaf_paths(messages)
     plain = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     on = F.col("p.tree").eqNullSafe(F.col("m.tree")) & (F.col("p.node") == F.col("m.node"))
