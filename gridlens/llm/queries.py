@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, mixing, partenum, pq, substrings, warc
+from . import chat, exact_dedup, mixing, partenum, pq, quality, substrings, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_warc": warc.op2_warc,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
