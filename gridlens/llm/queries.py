@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, mixing, partenum, pq, quality, substrings, warc
+from . import chat, exact_dedup, lm, mixing, partenum, pieces, pq, quality, substrings, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -9,8 +9,10 @@ QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_jaccard_join": partenum.op8_jaccard_join,
     "op9_embedding_near_dedup": pq.op9_embedding_near_dedup,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLE_SQL = {
