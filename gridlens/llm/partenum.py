@@ -116,9 +116,20 @@ def signatures(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.n
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Parities of 512 hash cells: two sets differ in at least as many elements as their sketches in bits."""
-    cell = (values & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=64 * SKETCH_WORDS) & 1).tobytes()
+    """Parities of hash cells, 512 or for large sets a power of two times as many: two sets differ in at
+    least as many elements as their sketches in bits. A sketch folds to half its size by xor of its halves."""
+    bits = 64 * SKETCH_WORDS
+    while bits < len(values) * 3 // 2:
+        bits *= 2
+    cell = (values & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits) & 1).tobytes()
+
+
+def _folded(own: str, other: str) -> F.Column:
+    """A sketch at the size of another that is half as large, else as it is."""
+    half = F.size(other)
+    xor = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(own) == half * 2, xor).otherwise(F.col(own))
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -137,7 +148,7 @@ def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, np.repeat(ids[order][heads], np.diff(np.append(heads, len(s)))), lead
 
 
-_MAPPED = "part int, ids binary, counts binary, signs binary, a binary, b binary, sign binary, sizes binary, digests binary, sketches binary"
+_MAPPED = "part int, ids binary, counts binary, signs binary, a binary, b binary, sign binary, sizes binary, digests binary, widths binary, sketches binary"
 _FOUND = "kind int, a long, b long, sign long, n long, digest binary, sketch array<long>"
 
 
@@ -162,8 +173,8 @@ def _mapper(parts: int, threshold: int):
                 o, s = signatures([sets[i] for i in fresh], threshold)
                 owners.append(ids[a:b][np.array(fresh, np.int64)][o] if len(o) else o)
                 signs.append(s)
-            blank = {k: None for k in ("ids", "counts", "signs", "a", "b", "sign", "sizes", "digests", "sketches")}
-            out = [blank | {"part": int(ids[0] % parts) if len(ids) else 0, "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "sketches": b"".join(sketches)}]
+            blank = {k: None for k in ("ids", "counts", "signs", "a", "b", "sign", "sizes", "digests", "widths", "sketches")}
+            out = [blank | {"part": int(ids[0] % parts) if len(ids) else 0, "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "widths": np.array([len(k) // 8 for k in sketches], np.int32).tobytes(), "sketches": b"".join(sketches)}]
             owner, sign = np.concatenate(owners), np.concatenate(signs)
             # members of one bucket meet here first: only their leader goes on to the bucket's task
             order, head, lead = _star(sign, owner)
@@ -211,7 +222,8 @@ def _reduce(rows: pa.Table) -> pa.Table:
     distinct = a != b
     a, b, s = a[distinct], b[distinct], s[distinct]
     m, n = len(ids), len(a)
-    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH_WORDS * m + 1, SKETCH_WORDS), pa.int32()), pa.array(np.frombuffer(sketches, np.int64)))
+    widths = np.concatenate([[0], np.cumsum(_whole(pick("widths", docs), np.int32))])
+    bits = pa.ListArray.from_arrays(pa.array(widths, pa.int32()), pa.array(np.frombuffer(sketches, np.int64)))
     null = lambda k, t: pa.nulls(k, t)
     return pa.Table.from_arrays(
         [
@@ -239,7 +251,7 @@ def _shingled(batches):
 def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of documents with sets, with `linked`. Only documents in pairs are shingled again."""
     slim = sizes.select("doc_id", "n", "digest", "sketch")
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with(_folded("ka", "kb"), _folded("kb", "ka"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold))
     told = (
         pairs.join(slim.toDF("a", "na", "da", "ka"), "a")
@@ -264,22 +276,32 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: in
 
 
 def _across(threshold: int):
-    """All pairs of one bucket's cell that lie across components and may still link."""
+    """All pairs within the cells of one part that lie across components and may still link."""
 
     def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sign", "ascending"), ("low", "ascending"), ("high", "ascending")])
         get = lambda c: rows.column(c).to_numpy()
         ids, comp, n, side = get("doc_id"), get("component"), get("n"), get("side")
-        bits = rows.column("sketch").combine_chunks().flatten().to_numpy().astype(np.uint64).reshape(len(ids), SKETCH_WORDS)
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        a, b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((side[i] != side[right]) | (ids[right] > ids[i]))]
-            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1)
-            other = other[(apart <= (n[other] + n[i]) * (100 - threshold) // (100 + threshold)) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * threshold)]
-            a.append(np.minimum(ids[i], ids[other]))
-            b.append(np.maximum(ids[i], ids[other]))
-        empty = [np.zeros(0, np.int64)]
-        out = np.unique(np.stack([np.concatenate(a or empty), np.concatenate(b or empty)], 1), axis=0)
+        kept = rows.column("sketch").combine_chunks()
+        words = kept.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+        at = (kept.offsets.to_numpy() - kept.offsets[0].as_py()) // SKETCH_WORDS
+        bits = np.bitwise_xor.reduceat(words, at[:-1], axis=0)  # every sketch at the least size
+        cell = np.stack([get("sign"), get("low").astype(np.int64), get("high").astype(np.int64)])
+        turn = np.cumsum(np.append(0, (cell[:, 1:] != cell[:, :-1]).any(0)))
+        found = [np.zeros((0, 2), np.int64)]
+        i = np.arange(len(ids))
+        for lag in range(1, len(ids)):
+            i = i[i + lag < len(ids)]
+            i = i[turn[i + lag] == turn[i]]
+            if not len(i):
+                break
+            j = i + lag
+            open_ = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold)
+            a, b = i[open_], j[open_]
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= (n[a] + n[b]) * (100 - threshold) // (100 + threshold)
+            a, b = ids[a[near]], ids[b[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        out = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     return pairs
@@ -309,21 +331,22 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     edges = first.where("linked").select("a", "b").unionByName(copies)
     comp = components(edges)
 
-    # buckets that the first comparison leaves in several components
+    # buckets of three and more that the first comparison leaves in several components
     label = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     failed = first.where("NOT linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    failed = failed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    open_signs = stage(buckets.join(failed, ["a", "b"]).select("sign").distinct(), "open")
+    failed = stage(failed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "failed")
+    open_signs = stage(buckets.join(small(failed), ["a", "b"]).select("sign").distinct(), "open")
     if not open_signs.isEmpty():
-        inside = buckets.join(open_signs, "sign")
-        inside = inside.select("sign", F.col("a").alias("doc_id")).union(inside.select("sign", F.col("b").alias("doc_id"))).distinct()
-        inside = inside.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sign", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        inside = stage(inside.join(sizes, "doc_id").select("sign", "doc_id", "component", "n", "sketch"), "inside")
-        blocks = stage(inside.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
-        cells = inside.join(blocks, "sign", "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        cells = cells.select("sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id", "component", "n", "sketch")
-        more = stage(cells.groupBy("sign", "low", "high").applyInArrow(_across(threshold), "a long, b long").distinct(), "across")
+        inside = buckets.join(small(open_signs), "sign").select("sign", F.explode(F.array("a", "b")).alias("doc_id"))
+        inside = stage(inside.distinct(), "inside")
+        blocks = inside.groupBy("sign").agg(F.count("*").alias("members")).where("members > 2")  # two have been compared
+        blocks = stage(blocks.select("sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "blocks")
+        told = sizes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "sketch")
+        cells = inside.join(blocks, "sign").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id")
+        cells = cells.join(told, "doc_id").withColumn("part", F.pmod(F.xxhash64("sign", "low", "high"), F.lit(parts)))
+        more = stage(cells.groupBy("part").applyInArrow(_across(threshold), "a long, b long").distinct(), "across")
         if not more.isEmpty():
             late = _verified(more, sizes, docs, threshold).where("linked").select("a", "b")
             old = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
