@@ -18,7 +18,7 @@ from .common import SEPARATORS, Spans, slices, utf8, word_bounds
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 #: Trusted positives and unlabelled documents that fit the model, at most.
-POSITIVES, UNLABELLED = 8_000, 16_000
+POSITIVES, UNLABELLED = 5_000, 10_000
 PAIR_CELLS = 512
 HIDDEN = 24
 _SPACE = np.zeros(256, bool)
@@ -77,8 +77,10 @@ class PUClassifier:
 
     def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 40, seed: int = 5):
         rng = np.random.default_rng(seed)
-        both = np.concatenate([positives, unlabelled])
-        self.mean, self.std = both.mean(0), both.std(0) + 1e-3
+        n = len(positives) + len(unlabelled)
+        self.mean = (positives.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+        square = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (positives, unlabelled)) / n
+        self.std = np.sqrt(np.maximum(square - self.mean**2, 0)) + 1e-3
         p, u = self._scaled(positives), self._scaled(unlabelled)
         d = p.shape[1]
         self.w = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -99,7 +101,7 @@ class PUClassifier:
                     self.w[k] = self.w[k] - 2e-3 * (0.5 ** (r // 15)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.std, -8, 8)
+        return np.clip((x - self.mean.astype(x.dtype)) / self.std.astype(x.dtype), -8, 8)
 
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.tanh(x @ self.w[0] + self.w[1])
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     spread = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     rest = text.where(spread < int(rate * 1_000_000)).withColumn("quality", F.lit(0))
     sample = good.unionByName(rest).select("quality", "text").mapInArrow(_featured, "quality int, x array<float>").toArrow()
-    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH).astype(np.float64)
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
     mark = sample.column("quality").to_numpy()
     order = np.lexsort((*x[:, :8].T, x.sum(1)))  # the same order at every run
     x, mark = x[order], mark[order]
