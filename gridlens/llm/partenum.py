@@ -34,6 +34,8 @@ SUBSET = 4
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
 SKETCH_WORDS = 8
+#: Text bytes whose signatures a mapping task holds at once.
+MAP_BYTES = 8 << 20
 _STEP = np.array([0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -153,48 +155,55 @@ _FOUND = "kind int, a long, b long, sign long, n long, digest binary, sketch arr
 
 
 def _mapper(parts: int, threshold: int):
+    blank = {k: None for k in ("ids", "counts", "signs", "a", "b", "sign", "sizes", "digests", "widths", "sketches")}
+
+    def packed(batch):
+        """The packed rows of one block of texts."""
+        data, at = utf8(batch.column("text"))
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, digests, sketches, owners, signs = [], [], [], [], []
+        seen: set[bytes] = set()
+        for a, b in slices(at):
+            sets = shingle_sets(*word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a]))
+            marks = [_digest(s) for s in sets]
+            sizes += [len(s) for s in sets]
+            digests += marks
+            sketches += [sketch(s) for s in sets]
+            fresh = []
+            for i, mark in enumerate(marks):  # a copy within the block signs nothing new
+                if mark not in seen and len(sets[i]):
+                    seen.add(mark)
+                    fresh.append(i)
+            o, s = signatures([sets[i] for i in fresh], threshold)
+            owners.append(ids[a:b][np.array(fresh, np.int64)][o] if len(o) else o)
+            signs.append(s)
+        out = [blank | {"part": int(ids[0] % parts), "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "widths": np.array([len(k) // 8 for k in sketches], np.int32).tobytes(), "sketches": b"".join(sketches)}]
+        owner, sign = np.concatenate(owners), np.concatenate(signs)
+        # members of one bucket meet here first: only their leader goes on to the bucket's task
+        order, head, lead = _star(sign, owner)
+        pairs = {"a": head[~lead], "b": owner[order][~lead], "sign": sign[order][~lead]}
+        home = pairs["b"] % parts
+        for p in np.unique(home):
+            out.append(blank | {"part": int(p)} | {k: v[home == p].tobytes() for k, v in pairs.items()})
+        keep = np.sort(order[lead])
+        owner, sign = owner[keep], sign[keep]
+        home = ((sign >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[by], np.arange(parts + 1))
+        for p in range(parts):
+            if cut[p] < cut[p + 1]:
+                own = owner[by[cut[p] : cut[p + 1]]]
+                turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                counts = np.diff(np.append(turn, len(own))).astype(np.int32)
+                out.append(blank | {"part": p, "ids": own[turn].tobytes(), "counts": counts.tobytes(), "signs": sign[by[cut[p] : cut[p + 1]]].tobytes()})
+        types = {"part": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], types.get(c, pa.binary())) for c in _MAPPED_NAMES], _MAPPED_NAMES)
+
     def rows(batches):
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes, digests, sketches, owners, signs = [], [], [], [], []
-            seen: set[bytes] = set()
-            for a, b in slices(at):
-                sets = shingle_sets(*word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a]))
-                marks = [_digest(s) for s in sets]
-                sizes += [len(s) for s in sets]
-                digests += marks
-                sketches += [sketch(s) for s in sets]
-                fresh = []
-                for i, mark in enumerate(marks):  # a copy within the batch signs nothing new
-                    if mark not in seen and len(sets[i]):
-                        seen.add(mark)
-                        fresh.append(i)
-                o, s = signatures([sets[i] for i in fresh], threshold)
-                owners.append(ids[a:b][np.array(fresh, np.int64)][o] if len(o) else o)
-                signs.append(s)
-            blank = {k: None for k in ("ids", "counts", "signs", "a", "b", "sign", "sizes", "digests", "widths", "sketches")}
-            out = [blank | {"part": int(ids[0] % parts) if len(ids) else 0, "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "widths": np.array([len(k) // 8 for k in sketches], np.int32).tobytes(), "sketches": b"".join(sketches)}]
-            owner, sign = np.concatenate(owners), np.concatenate(signs)
-            # members of one bucket meet here first: only their leader goes on to the bucket's task
-            order, head, lead = _star(sign, owner)
-            pairs = {"a": head[~lead], "b": owner[order][~lead], "sign": sign[order][~lead]}
-            home = pairs["b"] % parts
-            for p in np.unique(home):
-                out.append(blank | {"part": int(p)} | {k: v[home == p].tobytes() for k, v in pairs.items()})
-            keep = np.sort(order[lead])
-            owner, sign = owner[keep], sign[keep]
-            home = ((sign >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[by], np.arange(parts + 1))
-            for p in range(parts):
-                if cut[p] < cut[p + 1]:
-                    own = owner[by[cut[p] : cut[p + 1]]]
-                    turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    counts = np.diff(np.append(turn, len(own))).astype(np.int32)
-                    out.append(blank | {"part": p, "ids": own[turn].tobytes(), "counts": counts.tobytes(), "signs": sign[by[cut[p] : cut[p + 1]]].tobytes()})
-            types = {"part": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], types.get(c, pa.binary())) for c in _MAPPED_NAMES], _MAPPED_NAMES)
+            at = utf8(batch.column("text"))[1]
+            for a, b in slices(at, MAP_BYTES):
+                yield packed(batch.slice(a, b - a))
 
     return rows
 
