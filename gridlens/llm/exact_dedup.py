@@ -107,7 +107,7 @@ def _apply(rows: pa.Table) -> pa.Table:
             elif not index.insert(digest, at):
                 index.keys[digest] = _better(rows, index.keys[digest], at)
     live = rows.take(pa.array(sorted(index.keys.values()), pa.int64()))
-    return live.set_column(1, "op", pa.array(["live"] * len(live)))
+    return live.set_column(1, "op", pa.array(["live"] * len(live), pa.string()))
 
 
 def _better(rows: pa.Table, a: int, b: int) -> int:

@@ -75,7 +75,7 @@ class PUClassifier:
     Where the bracket falls under zero, the step goes against it instead (Kiryo et al., 2017).
     """
 
-    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 40, seed: int = 5):
+    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 40, seed: int = 5, least_steps: int = 800):
         rng = np.random.default_rng(seed)
         n = len(positives) + len(unlabelled)
         self.mean = (positives.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
@@ -87,6 +87,7 @@ class PUClassifier:
         m, v = [np.zeros_like(x) for x in self.w], [np.zeros_like(x) for x in self.w]
         step = 0
         batches = max(1, min(len(u), len(p) * 4) // 512)
+        rounds = max(rounds, least_steps // batches)  # small samples take as many steps as large ones
         for r in range(rounds):
             pi, ui = rng.permutation(len(p)), rng.permutation(len(u))
             for ps, us in zip(np.array_split(pi, batches), np.array_split(ui, batches)):
@@ -98,7 +99,7 @@ class PUClassifier:
                     g = g + 3e-4 * self.w[k]
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] - 2e-3 * (0.5 ** (r // 15)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.w[k] = self.w[k] - 2e-3 * (0.5 ** (3 * r // rounds)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean.astype(x.dtype)) / self.std.astype(x.dtype), -8, 8)
