@@ -284,8 +284,9 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: in
     return stage(told.where("same OR NOT near").select("a", "b", F.col("same").alias("linked")).unionByName(tested), "verified")
 
 
-def _across(threshold: int):
-    """All pairs within the cells of one part that lie across components and may still link."""
+def _across(threshold: int, closest: bool):
+    """The pairs within the cells of one part that lie across components and may still link: all, or
+    of each component only the pair whose sketches are closest."""
 
     def pairs(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("sign", "ascending"), ("low", "ascending"), ("high", "ascending")])
@@ -298,6 +299,9 @@ def _across(threshold: int):
         cell = np.stack([get("sign"), get("low").astype(np.int64), get("high").astype(np.int64)])
         turn = np.cumsum(np.append(0, (cell[:, 1:] != cell[:, :-1]).any(0)))
         found = [np.zeros((0, 2), np.int64)]
+        nearest = np.full(len(ids), np.iinfo(np.int64).max)  # by component: distance, then row
+        roots, root = np.unique(comp, return_inverse=True)
+        partner = np.zeros((len(ids), 2), np.int64)
         i = np.arange(len(ids))
         for lag in range(1, len(ids)):
             i = i[i + lag < len(ids)]
@@ -307,9 +311,21 @@ def _across(threshold: int):
             j = i + lag
             open_ = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold)
             a, b = i[open_], j[open_]
-            near = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= (n[a] + n[b]) * (100 - threshold) // (100 + threshold)
-            a, b = ids[a[near]], ids[b[near]]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(np.int64)
+            near = apart <= (n[a] + n[b]) * (100 - threshold) // (100 + threshold)
+            a, b, apart = a[near], b[near], apart[near]
+            if closest:
+                for end in (a, b):
+                    by = np.lexsort((apart, root[end]))
+                    by = by[np.append(True, np.diff(root[end][by]) > 0)] if len(by) else by
+                    by = by[apart[by] < nearest[root[end[by]]]]
+                    nearest[root[end[by]]] = apart[by]
+                    partner[root[end[by]]] = np.stack([ids[a[by]], ids[b[by]]], 1)
+                continue
+            a, b = ids[a], ids[b]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        if closest:
+            found.append(np.sort(partner[: len(roots)][nearest[: len(roots)] < np.iinfo(np.int64).max], 1))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
@@ -350,13 +366,16 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         inside = stage(inside.distinct(), "inside")
         blocks = inside.groupBy("sign").agg(F.count("*").alias("members")).where("members > 2")  # two have been compared
         blocks = stage(blocks.select("sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "blocks")
-        told = sizes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "sketch")
         cells = inside.join(blocks, "sign").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id")
-        cells = cells.join(told, "doc_id").withColumn("part", F.pmod(F.xxhash64("sign", "low", "high"), F.lit(parts)))
-        more = stage(cells.groupBy("part").applyInArrow(_across(threshold), "a long, b long").distinct(), "across")
-        if not more.isEmpty():
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("sign", "low", "high"), F.lit(parts)))
+        # first each component's closest pair, which joins most of them; then whatever is still apart
+        for closest in (True, False):
+            told = sizes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "sketch")
+            more = stage(cells.join(told, "doc_id").groupBy("part").applyInArrow(_across(threshold, closest), "a long, b long").distinct(), "across")
+            if more.isEmpty():
+                break
             late = _verified(more, sizes, docs, threshold).where("linked").select("a", "b")
             old = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
             comp = components(late.unionByName(old))
