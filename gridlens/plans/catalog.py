@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import signal
+
+QUERIES: dict = {**signal.QUERIES}
+ORACLE_SQL: dict = {**signal.ORACLE_SQL}
