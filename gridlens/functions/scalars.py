@@ -116,23 +116,25 @@ def edge_distance(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(x < lo, lo - x).when(x > hi, x - hi).otherwise(0.0)
 
 
-def device_residual(p: str | Column, q: str | Column) -> Column:
-    """Distance in the (P, Q) plane of a level to the device of the row; inside a varying device's power range only Q counts."""
+def device_residual(p: str | Column, q: str | Column, of=F.col) -> Column:
+    """Distance in the (P, Q) plane of a level to a device, whose fields `of` gives by name; inside a
+    varying device's power range only Q counts."""
     p, q = col(p), col(q)
-    dp = F.when(F.col("varies") & F.col("p_lo").isNotNull(), edge_distance(p, F.col("p_lo"), F.col("p_hi"))).otherwise(F.col("P") - p)
-    return F.hypot(dp, F.col("Q") - q)
+    dp = F.when(of("varies") & of("p_lo").isNotNull(), edge_distance(p, of("p_lo"), of("p_hi"))).otherwise(of("P") - p)
+    return F.hypot(dp, of("Q") - q)
 
 
-def thd_term(thd: str | Column) -> Column:
+def thd_term(thd: str | Column, of=F.col) -> Column:
     """Distance in distortion, null where it is unknown."""
     x = col(thd)
-    return F.when(F.col("thd_lo").isNotNull(), edge_distance(x, F.col("thd_lo"), F.col("thd_hi")) / SCALE_THD).otherwise((F.col("thd_i") - x) / SCALE_THD)
+    return F.when(of("thd_lo").isNotNull(), edge_distance(x, of("thd_lo"), of("thd_hi")) / SCALE_THD).otherwise((of("thd_i") - x) / SCALE_THD)
 
 
-def single_score(p: str | Column, q: str | Column, thd: str | Column) -> Column:
-    scale = F.when(F.col("varies"), SCALE_VARYING_W).otherwise(SCALE_W)
+def single_score(p: str | Column, q: str | Column, thd: str | Column, of=F.col) -> Column:
+    scale = F.when(of("varies"), SCALE_VARYING_W).otherwise(SCALE_W)
     square = lambda c: c * c
-    return F.sqrt(square((F.col("P") - col(p)) / scale) + square((F.col("Q") - col(q)) / scale) + F.coalesce(square(thd_term(thd)), F.lit(0.0)))
+    known = F.when(col(thd).isNotNull(), square(thd_term(thd, of)))
+    return F.sqrt(square((of("P") - col(p)) / scale) + square((of("Q") - col(q)) / scale) + F.coalesce(known, F.lit(0.0)))
 
 
 def confidence(residual: Column, tolerance: Column) -> Column:

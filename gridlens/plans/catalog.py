@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import signal
+from . import matching, models, signal
 
-QUERIES: dict = {**signal.QUERIES}
-ORACLE_SQL: dict = {**signal.ORACLE_SQL}
+QUERIES: dict = {**signal.QUERIES, **matching.QUERIES, **models.QUERIES}
+ORACLE_SQL: dict = {**signal.ORACLE_SQL, **matching.ORACLE_SQL, **models.ORACLE_SQL}

@@ -44,7 +44,7 @@ DEVICES = [
 
 def devices(spark: SparkSession, rows=DEVICES, calibrated: bool = True) -> DataFrame:
     """The device dimension: a small table by construction."""
-    return spark.createDataFrame([(*r, calibrated) for r in rows], DEVICE_SCHEMA)
+    return spark.createDataFrame([(*r, calibrated) for r in rows], DEVICE_SCHEMA).coalesce(1)
 
 
 def devices_sql(rows=DEVICES) -> str:
