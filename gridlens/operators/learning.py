@@ -185,7 +185,7 @@ def ward_merges(df: DataFrame, most: int = 2000) -> DataFrame:
             live = [k for k in live if k not in (a, b)] + [new]
         return pd.DataFrame(out, columns=["step", "a", "b", "height", "size"])
 
-    return df.select("id", "vector").groupBy(F.lit(1)).applyInPandas(merge, "step int, a int, b int, height double, size int")
+    return df.select("id", "vector", F.lit(0).alias("picture")).groupBy("picture").applyInPandas(merge, "step int, a int, b int, height double, size int")
 
 
 def label_means(df: DataFrame) -> DataFrame:

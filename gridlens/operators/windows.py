@@ -68,7 +68,7 @@ def sample_rates(df: DataFrame, default: int = 5) -> DataFrame:
     gap = F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("series_id", "chunk").orderBy("idx"))
     gaps = own_rows(with_halo(df.select("series_id", "idx", "t_sec"), 1, 0).withColumn("gap", gap))
     rate = F.greatest(F.lit(1), F.bround(F.try_divide(F.lit(1.0), F.median("gap"))).cast("int"))
-    return gaps.groupBy("series_id").agg(F.coalesce(rate, F.lit(default)).alias("sps"))
+    return gaps.groupBy("series_id").agg(F.when(F.count("gap") > 0, rate).otherwise(default).alias("sps"))
 
 
 def islands(marked: DataFrame, most_gap: int = 0) -> DataFrame:

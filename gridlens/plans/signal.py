@@ -176,7 +176,7 @@ _STEADY = """st AS (SELECT g.*, CASE WHEN on_idx + 1 < off_idx THEN on_idx + 1 E
 ro AS (SELECT st.*, c.idx, c.p, c.q, c.s, c.i, c.thd_i, c.thd_u, c.pf, c.u, c.idx >= sf AS ok FROM st JOIN ch c ON c.series_id = st.series_id AND c.idx >= on_idx AND c.idx < off_idx)"""
 ORACLE_SQL = {
     "load_normalise": f"WITH {METER} SELECT series_id, idx, round(t_sec, 6) + 0.0 AS t_sec, p, q FROM meter",
-    "resolve_sps": f"WITH {METER}, g AS (SELECT series_id, t_sec - lag(t_sec) OVER (PARTITION BY series_id ORDER BY idx) AS gap FROM meter) SELECT series_id, CAST(coalesce(greatest(1, round_even(1.0 / median(gap), 0)), 5) AS INTEGER) AS sps FROM g GROUP BY series_id",
+    "resolve_sps": f"WITH {METER}, g AS (SELECT series_id, t_sec - lag(t_sec) OVER (PARTITION BY series_id ORDER BY idx) AS gap FROM meter) SELECT series_id, CAST(CASE WHEN count(gap) > 0 THEN greatest(1, round_even(1.0 / median(gap), 0)) ELSE 5 END AS INTEGER) AS sps FROM g GROUP BY series_id",
     "smooth_zero_pad": f"WITH {METER}, {SMOOTH} SELECT series_id, idx, {_r('ps', 'qs')} FROM sm",
     "rolling_noise": f"WITH {METER}, {SMOOTH}, {NOISE} SELECT series_id, idx, {_r('noise')} FROM no",
     "window_diff": f"WITH {METER}, {SMOOTH}, {NOISE}, {DIFF} SELECT series_id, idx, {_r('diff_p', 'diff_q', 'diff_noise')} FROM di",
