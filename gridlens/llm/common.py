@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: Text bytes that one vectorised pass handles at most (a longer single text is a pass of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: A table of at most this many slim rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

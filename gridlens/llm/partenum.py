@@ -35,7 +35,7 @@ SUBSET = 4
 BLOCK = 2048
 SKETCH_WORDS = 8
 #: Text bytes whose signatures a mapping task holds at once.
-MAP_BYTES = 8 << 20
+MAP_BYTES = 4 << 20
 _STEP = np.array([0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
