@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -80,7 +81,7 @@ def test_warc_round_trip(spark):
     big = "<p>ü</p>" * 9000
     rows = [(1, "http://a/", "x"), (5, "http://b/\r\nX: y", "x"), (3, None, "x"), (2, "u", None), (9, "u", ""), (7, "u", big), (8, "u", big), (10, "u", "0\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n"), (4, "u", "y"), (4, "u", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "row": F.lit(1), "payload": F.lit(0)})
-    path = f"{shared_dir(spark)}/test-warc-1"
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
     warc.write_archives(warc.with_revisits(pages), path, segment=1000, chunk=300, records=7)
     records = warc.read_records(spark, path)
     assert records.where("number > 50").count() > 0 and records.where("kind = 'continuation' AND origin IS NULL").count() == 0
@@ -108,7 +109,7 @@ def test_warc_broken_segments_raise(spark):
 
 def test_warc_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    path = f"{shared_dir(spark)}/test-warc-2"
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
     warc.write_archives(warc.with_revisits(pages), path)
     assert warc.payloads(warc.reassembled(warc.read_records(spark, path))).count() == 0
 
