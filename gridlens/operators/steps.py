@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import filled, islands, odd_width, own_rows, rolling_std, series_lengths, smooth, window_difference, with_halo
+from .windows import filled, odd_width, own_rows, rolling_std, series_lengths, smooth, window_difference, with_halo
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,8 @@ def detect_steps(df: DataFrame, rules: StepRules = StepRules()) -> DataFrame:
     w = rules.w
     scores = change_scores(df, rules)
     marked = scores.where("above").withColumn("force", F.hypot("diff_p", "diff_q"))
-    runs = islands(marked).withColumn("idx", F.explode(F.sequence("first", "last")))
-    best = runs.join(marked, ["series_id", "idx"]).groupBy("series_id", "first").agg(F.max_by("idx", F.struct("force", -F.col("idx"))).alias("k"), F.first("n").alias("n")).drop("first")
+    run = F.col("idx") - F.row_number().over(Window.partitionBy("series_id").orderBy("idx"))
+    best = marked.withColumn("run", run).groupBy("series_id", "run").agg(F.max_by("idx", F.struct("force", -F.col("idx"))).alias("k"), F.first("n").alias("n")).drop("run")
     near = best.withColumn("idx", F.explode(F.sequence(F.greatest(F.col("k") - 2 * w, F.lit(0)), F.least(F.col("k") + 2 * w - 1, F.col("n") - 1))))
     rows = near.join(df.select("series_id", "idx", "t_sec", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"), "thd"), ["series_id", "idx"])
     around = rows.groupBy("series_id", "k", "n").agg(F.collect_list(F.struct("idx", "t_sec", "p", "q", "thd")).alias("r"))
