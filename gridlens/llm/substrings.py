@@ -93,8 +93,8 @@ def chunks(docs: DataFrame, least: int = LEAST, most: int = MOST, mean: int = ME
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that occur in several documents, one row per occurrence: doc_id, start, end (byte
-    offsets, whole chunks), n_words, first_doc_id (smallest id in which its first chunk occurs) and kept (this is
-    the first document).
+    offsets, whole chunks), n_words, first_doc_id (smallest id in which its chunks occur) and kept (this is
+    the first document). A run of repeated chunks is split where that id changes, so each chunk stays in its first document.
 
     Null texts and rows without doc_id have none; rows that repeat a doc_id count as one document,
     so passages within a document only are not listed. Other columns are ignored.
@@ -103,14 +103,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     often = cut.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
     often = stage(often.select("digest", "first_doc_id"), "repeated")
     hits = cut.join(often, "digest").select("doc_id", "seq", "start", "end", "words", "first_doc_id").dropDuplicates(["doc_id", "seq", "start"])
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    run = F.col("seq") - F.row_number().over(order)
+    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    hits = hits.withColumn("run", run)
+    whole = Window.partitionBy("doc_id", "run")
+    hits = hits.withColumn("run_words", F.sum("words").over(whole)).where(F.col("run_words") >= min_words)
+    part = F.row_number().over(whole.orderBy("seq")) - F.row_number().over(Window.partitionBy("doc_id", "run", "first_doc_id").orderBy("seq"))
     return (
-        hits.withColumn("run", run)
-        .groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("first_doc_id", "seq").alias("first_doc_id"), F.min("first_doc_id").alias("least"))
-        .where(F.col("n_words") >= min_words)
-        .select("doc_id", "start", "end", "n_words", "first_doc_id", (F.col("least") == F.col("doc_id")).alias("kept"))
+        hits.withColumn("part", part)
+        .groupBy("doc_id", "run", "first_doc_id", "part")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"))
+        .select("doc_id", "start", "end", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
     )
 
 

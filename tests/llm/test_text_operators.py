@@ -252,6 +252,37 @@ def test_substrings_empty_and_ties(spark):
     assert twice == 0  # one document
 
 
+def said(seed, n, least=2, most=9):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most))) for _ in range(n))
+
+
+@pytest.mark.parametrize("overlap", [0, 20])
+def test_adjacent_passages_keep_one_copy_each(spark, overlap):
+    whole = said(1, 200).split()
+    a, b = " ".join(whole[: 100 + overlap // 2]), " ".join(whole[100 - overlap // 2 :])
+    texts = {3: f"{said(3, 60)} {a} {said(4, 60)}", 5: f"{said(5, 60)} {' '.join(whole)} {said(6, 60)}", 9: f"{said(7, 60)} {b} {said(8, 60)}"}
+    texts |= without(spark, texts)
+    for at, first in ((25, 3), (125, 5)):
+        middle = " ".join(whole[at : at + 50])
+        assert [d for d, t in sorted(texts.items()) if middle in t] == [first]
+
+
+def test_a_short_fragment_elsewhere_does_not_cut_every_copy(spark):
+    a = said(11, 150)
+    fragment = " ".join(a.split()[60:80])
+    texts = {1: f"{said(12, 60)} {fragment} {said(13, 60)}", 5: f"{said(14, 60)} {a} {said(15, 60)}", 9: f"{said(16, 60)} {a} {said(17, 60)}"}
+    texts |= without(spark, texts)
+    for k in (5, 90):
+        middle = " ".join(a.split()[k : k + 45])
+        assert [d for d, t in sorted(texts.items()) if middle in t] == [5]
+
+
+def without(spark, texts):
+    docs = odd_docs(spark, [(d, t, None, None, 0) for d, t in texts.items()])
+    return {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+
+
 # ---- encoding -------------------------------------------------------------------------------
 
 
