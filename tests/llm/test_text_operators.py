@@ -278,6 +278,45 @@ def test_a_short_fragment_elsewhere_does_not_cut_every_copy(spark):
         assert [d for d, t in sorted(texts.items()) if middle in t] == [5]
 
 
+def repeated_windows(texts, least):
+    """(doc, first doc) of each word range [i, i + least) that several documents hold, by plain lookup."""
+    held = defaultdict(set)
+    for d, t in texts.items():
+        w = words(t)
+        for i in range(len(w) - least + 1):
+            held[tuple(w[i : i + least])].add(d)
+    for d, t in texts.items():
+        w = words(t)
+        yield from ((d, i, min(held[tuple(w[i : i + least])])) for i in range(len(w) - least + 1) if len(held[tuple(w[i : i + least])]) > 1)
+
+
+@pytest.mark.parametrize("most", [9, 5])
+def test_passages_of_51_to_60_short_words_match_brute_force(spark, most):
+    texts = {}
+    for k in range(40):
+        passage = said(1000 + k, 49 + k % 12, 1, most)
+        for copy in range(2 + k % 2):
+            texts[100 * copy + k] = f"{said(2000 + 10 * k + copy, 30 + k, 1, most)} {passage} {said(3000 + 10 * k + copy, 70, 1, most)}"
+    texts[300], texts[301] = texts[7] + " end", "x " + texts[107].replace(" ", "\n")  # near copies
+    texts[302], texts[303] = "a " * 120, "b " + "a " * 70
+    want = defaultdict(set)  # words cut in each document
+    listed = defaultdict(set)
+    for d, i, first in repeated_windows(texts, 51):
+        listed[d] |= set(range(i, i + 51))
+        if first < d:
+            want[d] |= set(range(i, i + 51))
+    cut, seen = defaultdict(set), defaultdict(set)
+    for r in substrings.repeated_passages(odd_docs(spark, [(d, t, None, None, 0) for d, t in texts.items()])).collect():
+        raw = texts[r["doc_id"]].encode()
+        at, n = len(words(raw[: r["start"]].decode())), len(words(raw[r["start"] : r["end"]].decode()))
+        assert n == r["n_words"] and r["kept"] == (r["first_doc_id"] == r["doc_id"])
+        seen[r["doc_id"]] |= set(range(at, at + n))
+        if not r["kept"]:
+            assert n >= 51
+            cut[r["doc_id"]] |= set(range(at, at + n))
+    assert cut == want and seen == listed and len(want) > 40
+
+
 def without(spark, texts):
     docs = odd_docs(spark, [(d, t, None, None, 0) for d, t in texts.items()])
     return {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
