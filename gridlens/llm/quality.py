@@ -18,7 +18,7 @@ from .common import SEPARATORS, Spans, slices, utf8, word_bounds
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 #: Trusted positives and unlabelled documents that fit the model, at most.
-POSITIVES, UNLABELLED = 5_000, 10_000
+POSITIVES, UNLABELLED = 8_000, 16_000
 PAIR_CELLS = 512
 HIDDEN = 24
 _SPACE = np.zeros(256, bool)
@@ -102,7 +102,9 @@ class PUClassifier:
                     self.w[k] = self.w[k] - 2e-3 * (0.5 ** (3 * r // rounds)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean.astype(x.dtype)) / self.std.astype(x.dtype), -8, 8)
+        out = x - self.mean.astype(x.dtype)
+        out /= self.std.astype(x.dtype)
+        return np.clip(out, -8, 8, out=out)
 
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.tanh(x @ self.w[0] + self.w[1])
@@ -156,7 +158,8 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PUClassifier | None:
     """Fit on bounded samples, the rows of smallest id hash: trusted positives from labels that are
-    not held out, unlabelled text from all documents. The class prior is the share of quality 1
+    not held out, unlabelled text from all documents. Of rows that repeat a doc_id, one text is a
+    positive, and equal ones are drawn once as unlabelled. The class prior is the share of quality 1
     among the labels that are not held out, plus one of each. None if nothing is labelled 1.
     """
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -166,25 +169,33 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     prior = (n["good"] + 1) / (n["n"] + 2)
     trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     text = docs.select("doc_id", "text")
-    good = text.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("quality"))), "doc_id")  # at most `positives` rows
+    good = text.join(F.broadcast(trusted.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most `positives` rows
     rate = min(1.0, unlabelled / max(1, docs.count()))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    rest = text.where(spread < int(rate * 1_000_000)).withColumn("quality", F.lit(0))
-    sample = good.unionByName(rest).select("quality", "text").mapInArrow(_featured, "quality int, x array<float>").toArrow()
-    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000))
+    rest = text.where(spread < int(rate * 1_000_000)).groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.first("text").alias("text"))
+    sample = good.select(F.lit(1).alias("quality"), "text").unionByName(rest.select(F.lit(0).alias("quality"), "text")).mapInArrow(_featured, "quality int, x array<float>").toArrow()
     mark = sample.column("quality").to_numpy()
+    x, at = np.empty((len(mark), WIDTH), np.float32), 0
+    for part in sample.column("x").chunks:
+        x[at : at + len(part)] = part.flatten().to_numpy().reshape(-1, WIDTH)
+        at += len(part)
+    del sample
     order = np.lexsort((*x[:, :8].T, x.sum(1)))  # the same order at every run
-    x, mark = x[order], mark[order]
     if not (mark == 1).any() or not (mark == 0).any():
         return None
-    return PUClassifier(x[mark == 1], x[mark == 0], prior)
+    good, rest = (x[order[mark[order] == k]] for k in (1, 0))
+    del x
+    return PUClassifier(good, rest, prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs with `score`, the chance of quality 1, from whole texts alone. Null text is empty;
     without positive labels every score is 0.5. doc_id chooses samples and the held-out fold, and
     is no input of a score."""
-    model = fit(docs, labels, **how)
+    return _scored(docs, fit(docs, labels, **how))
+
+
+def _scored(docs: DataFrame, model: PUClassifier | None) -> DataFrame:
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
     schema = docs.select("*").withColumn("score", F.lit(0.5)).schema
@@ -192,8 +203,11 @@ def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs with a score of at least cut."""
-    return scored(docs, labels).where(F.col("score") >= cut).select(*docs.columns)
+    """The rows of docs with a score of at least cut; all rows if no positive label gives a model."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    return _scored(docs, model).where(F.col("score") >= cut).select(*docs.columns)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -468,3 +468,18 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.scored(odd_docs(spark, []).drop("score"), labels).count() == 0
 
 
+def test_classifier_without_positives_keeps_all_documents(spark):
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = odd_docs(spark).drop("score")
+    assert quality.kept_documents(docs, labels).count() == docs.count()
+
+
+def test_classifier_samples_are_bounded_by_rows(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "PUClassifier", lambda p, u, prior: taken.append((len(p), len(u))))
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    hot = ids.where(~quality.held_out()).orderBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))).first()[0]
+    rows = [(i, f"text {i} of words", None, None, 0) for i in range(1000)] + [(hot, "the same text", None, None, 0)] * 600 + [(hot, f"other text {i}", None, None, 0) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in {hot, *range(40)}], "doc_id long, quality int, toxic int")
+    quality.fit(odd_docs(spark, rows), labels, positives=20, unlabelled=200)
+    assert 1 <= taken[0][0] <= 20 and 100 <= taken[0][1] <= 300
