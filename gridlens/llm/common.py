@@ -18,7 +18,7 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 #: Text bytes that one vectorised pass handles at most (a longer single text is a pass of its own).
 SLICE_BYTES = 1 << 19
 #: A table of at most this many slim rows may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -31,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _local_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="gridlens-"))
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="gridlens-")
+    return _local_dirs[sc.applicationId]
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -2,22 +2,25 @@
 
 A document's set is its distinct shingles of five words. Sets are banded by size; within a band,
 a pair that reaches the threshold differs in at most k shingles, k known from the band's largest
-size. The shingle domain is cut into k + 1 + e parts by a hash, so such a pair agrees on at least
-e + 1 parts. Each set signs every part that is not empty in it; a set with more than e empty parts
-also enumerates subsets of its empty parts, so a pair that agrees on empty parts only shares one of
-those. Hence every linked pair shares a signature. A set signs its own band and the next, so that
-the pair meets in the band of the larger set.
+size. A hash cuts the shingle domain into groups of three parts, k // 2 + 1 + e groups, so such a pair
+differs in at most one shingle within at least e + 1 groups, and there agrees on two of the three
+parts. A signature is a subset of two parts of a group, all three subsets being enumerated; linked sets
+share e + 1 of them and more. In an order that all sets agree on, the signatures of most shingles
+first, each set leaves out its last e: linked sets still share one, and signatures that hold next to
+nothing are gone. One that is left without a shingle is replaced by its combinations with the signatures
+of a second, independent partition. A set signs its own band and the next, so that the pair meets in
+the band of the larger set.
 
 Candidates are verified on whole shingle sets. Within a signature's bucket all members are first
-compared with one of them; where that leaves a bucket in several components, the rest of its pairs
-across components are compared too, unless bit sketches prove them too far apart. So components
-are those of all links, while a bucket of thousands of near copies costs a pair per member.
+compared with its leader, the smallest id. Members whose leader's bucket is then in several components
+are compared across components, once for all buckets of a leader, unless sketches of their sets prove
+them too far apart: first each component's closest pair, which joins most, then what is left. A leader
+with very many members has them signed once more by a third partition first.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,14 @@ from .common import components, mix, shuffle_width, slices, small, stage, utf8,
 SHINGLE = 5
 #: Similarity in percent.
 THRESHOLD = 80
-#: Empty parts that a subset signature names.
-SUBSET = 4
-#: Members of a bucket that one task compares with as many others.
+#: The subsets of two of a group's three parts.
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+#: Members of a cell that one task compares with as many others.
 BLOCK = 2048
+#: Members of a leader's buckets from which they are signed again before they are compared.
+CROWD = 8192
+#: Documents per task of the bucket stage, at most about.
+PART_DOCS = 50_000
 SKETCH_WORDS = 8
 #: Text bytes whose signatures a mapping task holds at once.
 MAP_BYTES = 4 << 20
@@ -67,61 +74,72 @@ def farthest(a: int, b: int, threshold: int = THRESHOLD) -> int:
 
 @lru_cache
 def bands(most: int, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sizes, number of parts and spare parts e of the bands up to size `most` and one more."""
-    first, parts, spare = [], [], []
+    """First sizes, number of groups and spare signatures e of the bands up to size `most` and one more."""
+    first, groups, spare = [], [], []
     low = 1
     while True:
         high = low * 100 // threshold
         k = farthest(high, high, threshold)
         first.append(low)
-        spare.append(2 + k * 8 // 100)
-        parts.append(k + 1 + spare[-1] if k else 0)  # without differences only equal sets link
+        spare.append(1 + k // 10)
+        groups.append(k // 2 + 1 + spare[-1] if k else 0)  # without differences only equal sets link
         if low > most:
-            return np.array(first), np.array(parts), np.array(spare)
+            return np.array(first), np.array(groups), np.array(spare)
         low = high + 1
 
 
-def signatures(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of all sets; owner is a position in sets."""
+def signatures(sets: list[np.ndarray], threshold: int = THRESHOLD, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of all sets; owner is a position in sets. Partitions of other salts are
+    independent of each other."""
+    owner, sign, held = _enumerated(sets, threshold, salt)
+    if len(bare := np.flatnonzero(held == 0)):
+        few, at = np.unique(owner[bare], return_inverse=True)
+        whose, again, _ = _enumerated([sets[i] for i in few], threshold, salt + 101)
+        first, n = np.searchsorted(whose, np.arange(len(few))), np.bincount(whose, minlength=len(few))[at]
+        run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+        joint = mix(np.repeat(sign[bare], n) * np.uint64(0x9FB21C651E98DF25) + again[run])
+        keep = held > 0
+        owner, sign = np.concatenate([owner[keep], np.repeat(owner[bare], n)]), np.concatenate([sign[keep], joint])
+    return owner, sign
+
+
+def _enumerated(sets: list[np.ndarray], threshold: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, signature, shingles in it) by owner, without each set's spare last ones."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first, parts, spare = bands(int(sizes.max()), threshold)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first, groups, spare = bands(int(sizes.max()), threshold)
     own = np.searchsorted(first, np.maximum(sizes, 1), "right") - 1
-    values = np.concatenate(sets)
-    folded = mix(values ^ np.uint64(0x51ED270B35A17C4D))
-    owners, signs = [], []
-    for band in (own, own + 1):
-        count = np.where(sizes > 0, parts[band], 0)
-        base = np.concatenate([[0], np.cumsum(count)])
-        live = np.repeat(count > 0, sizes)
-        wide = np.repeat(count, sizes)[live].astype(np.uint64)
-        at = np.repeat(base[:-1], sizes)[live] + ((values[live] >> np.uint64(20)) % wide).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, folded[live])
-        filled = np.bincount(at, minlength=base[-1]) > 0
-        owner = np.repeat(np.arange(len(sets)), count)
-        part = (np.arange(base[-1]) - np.repeat(base[:-1], count)).astype(np.uint64)
-        salt = mix((band[owner].astype(np.uint64) << np.uint64(40)) + part + np.uint64(1))
-        owners.append(owner[filled])
-        signs.append(mix(total + salt)[filled])
-        empty = np.bincount(owner[~filled], minlength=len(sets))
-        for i in np.flatnonzero((empty > spare[band]) & (count > 0)):
-            e = int(spare[band[i]])
-            holes = np.flatnonzero(~filled[base[i] : base[i + 1]]).tolist()
-            take = min(SUBSET, e + 1)
-            # of two lists that share e+1 entries, the first len-(e+1)+take of each share `take`
-            named = [hash((int(band[i]), *c)) & (2**64 - 1) for c in combinations(holes[: len(holes) - (e + 1) + take], take)]
-            owners.append(np.full(len(named), i))
-            signs.append(mix(np.array(named, np.uint64)))
-    return np.concatenate(owners), np.concatenate(signs)
+    owner2 = np.tile(np.arange(len(sets)), 2)
+    band = np.concatenate([own, own + 1])
+    count = np.where(sizes[owner2] > 0, 3 * groups[band], 0)
+    base = np.concatenate([[0], np.cumsum(count)])
+    values = np.concatenate([*sets, *sets])
+    placed = mix(values + np.uint64(salt * 0x632BE59BD9B4E019 & (2**64 - 1))) if salt else values
+    wide = np.repeat(count, sizes[owner2])
+    live = wide > 0
+    at = np.repeat(base[:-1], sizes[owner2])[live] + ((placed[live] >> np.uint64(20)) % wide[live].astype(np.uint64)).astype(np.int64)
+    total = np.zeros(base[-1], np.uint64)
+    np.add.at(total, at, mix(values[live] ^ np.uint64(0x51ED270B35A17C4D)))
+    held = np.bincount(at, minlength=base[-1]).reshape(-1, 3)
+    row = np.repeat(np.arange(len(count)), count)
+    part = (np.arange(base[-1]) - np.repeat(base[:-1], count)).astype(np.uint64)
+    name = (np.uint64(salt) << np.uint64(56)) + (band[row].astype(np.uint64) << np.uint64(40)) + part + np.uint64(1)
+    marks = mix(total + mix(name)).reshape(-1, 3)
+    sign = np.stack([mix(marks[:, a] + np.uint64(3) * marks[:, b]) for a, b in SUBSETS], 1).ravel()
+    held = np.stack([held[:, a] + held[:, b] for a, b in SUBSETS], 1).ravel()
+    order = np.lexsort((sign, -held, row))
+    rank = np.arange(len(order)) - np.repeat(base[:-1], count)
+    order = order[rank < np.repeat(count - spare[band], count)]
+    order = order[np.argsort(owner2[row[order]], kind="stable")]
+    return owner2[row[order]], sign[order], held[order]
 
 
 def sketch(values: np.ndarray) -> bytes:
     """Parities of hash cells, 512 or for large sets a power of two times as many: two sets differ in at
     least as many elements as their sketches in bits. A sketch folds to half its size by xor of its halves."""
     bits = 64 * SKETCH_WORDS
-    while bits < len(values) * 3 // 2:
+    while bits < len(values) * 2:
         bits *= 2
     cell = (values & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(cell, minlength=bits) & 1).tobytes()
@@ -176,7 +194,8 @@ def _mapper(parts: int, threshold: int):
                     fresh.append(i)
             o, s = signatures([sets[i] for i in fresh], threshold)
             owners.append(ids[a:b][np.array(fresh, np.int64)][o] if len(o) else o)
-            signs.append(s)
+            home = (s >> np.uint64(32)) % np.uint64(parts)
+            signs.append((home << np.uint64(40)) + (s & np.uint64((1 << 40) - 1)))  # its task and 40 bits tell a bucket
         out = [blank | {"part": int(ids[0] % parts), "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "widths": np.array([len(k) // 8 for k in sketches], np.int32).tobytes(), "sketches": b"".join(sketches)}]
         owner, sign = np.concatenate(owners), np.concatenate(signs)
         # members of one bucket meet here first: only their leader goes on to the bucket's task
@@ -187,7 +206,8 @@ def _mapper(parts: int, threshold: int):
             out.append(blank | {"part": int(p)} | {k: v[home == p].tobytes() for k, v in pairs.items()})
         keep = np.sort(order[lead])
         owner, sign = owner[keep], sign[keep]
-        home = ((sign >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        home = (sign >> np.uint64(40)).astype(np.int64)
+        low = sign.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         by = np.argsort(home, kind="stable")
         cut = np.searchsorted(home[by], np.arange(parts + 1))
         for p in range(parts):
@@ -195,7 +215,7 @@ def _mapper(parts: int, threshold: int):
                 own = owner[by[cut[p] : cut[p + 1]]]
                 turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 counts = np.diff(np.append(turn, len(own))).astype(np.int32)
-                out.append(blank | {"part": p, "ids": own[turn].tobytes(), "counts": counts.tobytes(), "signs": sign[by[cut[p] : cut[p + 1]]].tobytes()})
+                out.append(blank | {"part": p, "ids": own[turn].tobytes(), "counts": counts.tobytes(), "signs": low[by[cut[p] : cut[p + 1]]].tobytes()})
         types = {"part": pa.int32()}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], types.get(c, pa.binary())) for c in _MAPPED_NAMES], _MAPPED_NAMES)
 
@@ -223,7 +243,10 @@ def _reduce(rows: pa.Table) -> pa.Table:
     ids, sizes = _whole(pick("ids", docs), np.int64), _whole(pick("sizes", docs), np.int64)
     digests, sketches = b"".join(pick("digests", docs)), b"".join(pick("sketches", docs))
     owner = np.repeat(_whole(pick("ids", signed), np.int64), _whole(pick("counts", signed), np.int32))
-    sign = _whole(pick("signs", signed), np.uint64)
+    low = _whole(pick("signs", signed), np.uint8).reshape(-1, 5)
+    sign = np.zeros((len(low), 8), np.uint8)
+    sign[:, :5] = low
+    sign = sign.view("<u8").ravel() + (np.uint64(cols["part"][0]) << np.uint64(40))
     order, head, lead = _star(sign, owner)
     a = np.concatenate([_whole(cols["a"], np.int64), head[~lead]])
     b = np.concatenate([_whole(cols["b"], np.int64), owner[order][~lead]])
@@ -284,66 +307,121 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: in
     return stage(told.where("same OR NOT near").select("a", "b", F.col("same").alias("linked")).unionByName(tested), "verified")
 
 
+def _apart(one: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Bits in which a sketch differs from each of others that are as long or twice or half as long."""
+    w = min(len(one), rest.shape[1])
+    fold = lambda x: x if x.shape[-1] == w else x[..., :w] ^ x[..., w:]
+    return np.bitwise_count(fold(one) ^ fold(rest)).sum(1).astype(np.int64)
+
+
 def _across(threshold: int, closest: bool):
     """The pairs within the cells of one part that lie across components and may still link: all, or
     of each component only the pair whose sketches are closest."""
 
+    def of_cell(comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """(i, j, bits apart) by rows of the cell; sketches by length: rows and matrix."""
+        main = np.bincount(np.unique(comp, return_inverse=True)[1])
+        label = np.unique(comp, return_inverse=True)[1]
+        main = label == main.argmax()  # a pair across components has an end outside the largest
+        for w, (rows, bits) in sketches.items():
+            for v in (w // 2, w, w * 2):
+                if v not in sketches:
+                    continue
+                others, there = sketches[v]
+                for at in np.flatnonzero(~main[rows]):
+                    i = rows[at]
+                    open_ = (comp[others] != comp[i]) & ((side[others] != side[i]) | (side[i] == 0)) & (main[others] | (others > i))
+                    open_ &= np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * threshold
+                    if len(js := np.flatnonzero(open_)):
+                        apart = _apart(bits[at], there[js])
+                        near = apart <= (n[i] + n[others[js]]) * (100 - threshold) // (100 + threshold)
+                        yield np.full(near.sum(), i), others[js[near]], apart[near]
+
     def pairs(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("sign", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        rows = rows.sort_by([("cell", "ascending"), ("low", "ascending"), ("high", "ascending")])
         get = lambda c: rows.column(c).to_numpy()
         ids, comp, n, side = get("doc_id"), get("component"), get("n"), get("side")
         kept = rows.column("sketch").combine_chunks()
-        words = kept.flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        at = (kept.offsets.to_numpy() - kept.offsets[0].as_py()) // SKETCH_WORDS
-        bits = np.bitwise_xor.reduceat(words, at[:-1], axis=0)  # every sketch at the least size
-        cell = np.stack([get("sign"), get("low").astype(np.int64), get("high").astype(np.int64)])
-        turn = np.cumsum(np.append(0, (cell[:, 1:] != cell[:, :-1]).any(0)))
+        words, at = kept.flatten().to_numpy().view(np.uint64), kept.offsets.to_numpy() - kept.offsets[0].as_py()
+        wide = np.diff(at)
+        cell = np.stack([get("cell"), get("low").astype(np.int64), get("high").astype(np.int64)])
+        turn = np.append(np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0))), len(ids))
         found = [np.zeros((0, 2), np.int64)]
-        nearest = np.full(len(ids), np.iinfo(np.int64).max)  # by component: distance, then row
-        roots, root = np.unique(comp, return_inverse=True)
-        partner = np.zeros((len(ids), 2), np.int64)
-        i = np.arange(len(ids))
-        for lag in range(1, len(ids)):
-            i = i[i + lag < len(ids)]
-            i = i[turn[i + lag] == turn[i]]
-            if not len(i):
-                break
-            j = i + lag
-            open_ = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold)
-            a, b = i[open_], j[open_]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(np.int64)
-            near = apart <= (n[a] + n[b]) * (100 - threshold) // (100 + threshold)
-            a, b, apart = a[near], b[near], apart[near]
-            if closest:
-                for end in (a, b):
-                    by = np.lexsort((apart, root[end]))
-                    by = by[np.append(True, np.diff(root[end][by]) > 0)] if len(by) else by
-                    by = by[apart[by] < nearest[root[end[by]]]]
-                    nearest[root[end[by]]] = apart[by]
-                    partner[root[end[by]]] = np.stack([ids[a[by]], ids[b[by]]], 1)
-                continue
-            a, b = ids[a], ids[b]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        if closest:
-            found.append(np.sort(partner[: len(roots)][nearest[: len(roots)] < np.iinfo(np.int64).max], 1))
+        nearest: dict[int, tuple] = {}
+        for a, b in zip(turn[:-1], turn[1:]):
+            sketches = {}
+            for w in np.unique(wide[a:b]):
+                own = np.flatnonzero(wide[a:b] == w)
+                sketches[int(w)] = own, words[at[a + own][:, None] + np.arange(w)]
+            for i, j, apart in of_cell(comp[a:b], n[a:b], side[a:b], sketches):
+                i, j = i + a, j + a
+                if closest:
+                    for k in range(len(i)):
+                        told = (int(apart[k]), *sorted((int(ids[i[k]]), int(ids[j[k]]))))
+                        for c in (int(comp[i[k]]), int(comp[j[k]])):
+                            nearest[c] = min(nearest.get(c, told), told)
+                else:
+                    found.append(np.sort(np.stack([ids[i], ids[j]], 1), 1))
+        if closest and nearest:
+            found.append(np.array([t[1:] for t in nearest.values()], np.int64))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     return pairs
 
 
+def _signer(threshold: int, salt: int):
+    def rows(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for a, b in slices(at):
+                sets = shingle_sets(*word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a]))
+                owner, sign = signatures(sets, threshold, salt)
+                n = np.append(0, np.cumsum(np.bincount(owner, minlength=len(sets))))
+                sign = sign[np.argsort(owner, kind="stable")].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(sign))], ["doc_id", "signs"])
+
+    return rows
+
+
+def _cells(inside: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """(cell, doc_id) of the members that have to be compared with each other. inside: sign, doc_id of the
+    open buckets. All buckets of one leader are one cell, unless they hold a crowd: then its members
+    meet only where they share a signature of another partition too."""
+    lead = inside.groupBy("sign").agg(F.min("doc_id").alias("cell"), F.count("*").alias("members")).where("members > 2")  # two have been compared
+    cells = stage(inside.join(lead.drop("members"), "sign").select("cell", "doc_id").distinct(), "cells")
+    crowds = stage(cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("cell"), "crowds")
+    if crowds.isEmpty():
+        return cells
+    crowd = stage(cells.join(small(crowds), "cell"), "crowd")
+    ends = stage(crowd.select("doc_id").distinct(), "crowd-ends")
+    again = docs.join(small(ends), "doc_id", "left_semi").mapInArrow(_signer(threshold, 7), "doc_id long, signs array<long>")
+    again = stage(again.select("doc_id", F.explode("signs").alias("again")).distinct(), "again")
+    split = crowd.join(again, "doc_id").select(F.xxhash64("cell", "again").alias("cell"), "doc_id")
+    return stage(cells.join(small(crowds), "cell", "left_anti").unionByName(split), "cells")
+
+
+def _uncounted(batches):
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        sizes = [len(s) for a, b in slices(at) for s in shingle_sets(*word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a]))]
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n_shingles"])
+
+
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and class_id.
 
     Links join documents whose shingle sets have a Jaccard similarity of threshold percent or more;
     component_id is the smallest doc_id reachable over links, class_id the smallest doc_id of an
-    equal set. Null and empty texts have no shingles and no links. doc_id is a key and not null:
-    rows that repeat one get a row each, with the values of one of them. Extra columns are ignored.
-    Shingles are compared by 64-bit hashes.
+    equal set. Null and empty texts have no shingles and no links. doc_id is a key: rows that repeat
+    one get a row each, with the values of one of them; rows without one are linked with nothing and
+    have neither component nor class. Extra columns are ignored. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    parts = shuffle_width(spark, 4)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(_uncounted, "n_shingles long")
+    docs = docs.where("doc_id IS NOT NULL")
+    parts = min(1 << 22, max(shuffle_width(spark, 4), docs.count() // PART_DOCS))
     found = stage(docs.mapInArrow(_mapper(parts, threshold), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "digest", "sketch")
     sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v"), (F.count("*") > 1).alias("repeated")).select("doc_id", "v.*", "repeated"), "sizes")
@@ -363,13 +441,14 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     open_signs = stage(buckets.join(small(failed), ["a", "b"]).select("sign").distinct(), "open")
     if not open_signs.isEmpty():
         inside = buckets.join(small(open_signs), "sign").select("sign", F.explode(F.array("a", "b")).alias("doc_id"))
-        inside = stage(inside.distinct(), "inside")
-        blocks = inside.groupBy("sign").agg(F.count("*").alias("members")).where("members > 2")  # two have been compared
-        blocks = stage(blocks.select("sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "blocks")
-        cells = inside.join(blocks, "sign").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        members = _cells(stage(inside.distinct(), "inside"), docs, threshold)
+        blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        cells = members.join(stage(blocks, "blocks"), "cell").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id")
-        cells = cells.withColumn("part", F.pmod(F.xxhash64("sign", "low", "high"), F.lit(parts)))
+        cells = cells.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id")
+        cells = stage(cells, "blocked")
+        width = max(shuffle_width(spark, 4), cells.count() // PART_DOCS)
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("cell", "low", "high"), F.lit(width)))
         # first each component's closest pair, which joins most of them; then whatever is still apart
         for closest in (True, False):
             told = sizes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "sketch")
@@ -379,17 +458,19 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
             late = _verified(more, sizes, docs, threshold).where("linked").select("a", "b")
             old = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
             comp = components(late.unionByName(old))
-    return (
+    named = (
         member.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class_id")
     )
+    none = F.lit(None).cast("long")
+    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), none.alias("class_id")))
 
 
 def kept_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id, with all columns.
     Documents without words or without a doc_id stay."""
-    gone = jaccard_components(docs, threshold).where("doc_id <> component_id").select("doc_id")
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stage(jaccard_components(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
