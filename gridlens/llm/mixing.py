@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_names, small, stage
 
 #: Source weights, repeating over the sources in code-point order with null last.
 WEIGHTS = (5, 2, 1)
@@ -80,6 +80,26 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return level.select("source", F.col("bucket").alias("edge"), (F.col("words") - F.col("left") < F.col("left")).alias("edge_in"))
 
 
+def _plan(rows: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """One row per source: source, source_size, target, base (whole copies), edge, edge_in. rows: source, size, h."""
+    totals = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    aims = targets(totals, weights, share, most)
+    aims = aims.withColumn("base", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
+    aims = stage(aims.withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "targets")
+    edge = thresholds(rows, aims.where("budget > 0").select("source", "budget"))
+    plan = aims.alias("a").join(edge.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select("a.*", "edge", "edge_in")
+    return stage(plan, "plan")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return stage(docs.select("doc_id", "source", word_count("text").alias("size"), hashed("doc_id").alias("h")), "sizes")
+
+
+def _copies(h: str, base: str = "base", edge: str = "edge", edge_in: str = "edge_in") -> F.Column:
+    inside = (F.col(h) < F.col(edge)) | ((F.col(h) == F.col(edge)) & F.col(edge_in))
+    return F.col(base) + F.when(inside, 1).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
@@ -88,35 +108,29 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     hash alike and are in or out together. Sources without words have target 0. The number of
     sources is that of a catalogue: their totals pass through one task, documents do not.
     """
-    rows = stage(docs.select("doc_id", "source", word_count("text").alias("size"), hashed("doc_id").alias("h")), "sizes")
-    totals = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-    aims = targets(totals, weights, share, most)
-    aims = aims.withColumn("base", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
-    aims = stage(aims.withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "targets")
-    edge = thresholds(rows, aims.where("budget > 0").select("source", "budget"))
-    plan = aims.alias("a").join(edge.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select("a.*", "edge", "edge_in")
-    inside = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("edge_in"))
-    copies = F.col("base") + F.when(inside, 1).otherwise(0)
+    rows = _sized(docs)
+    plan = _plan(rows, weights, share, most)
     return (
         rows.alias("r")
-        .join(stage(plan, "plan").alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-        .select("doc_id", "r.source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+        .join(small(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+        .select("doc_id", "r.source", "size", "source_size", "target", (F.col("size") * _copies("h")).alias("taken"))
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with all their columns.
 
-    Rows of one doc_id have the same fate within a source; the verdict is joined by (doc_id, source).
-    A text without words is taken as often as its source's whole copies, at least once.
+    How often is a function of the row and of its source's row of the plan, so no text moves. A text
+    without words adds nothing to any source and is taken once.
     """
-    rows = docs.select("doc_id", "source", "text")
-    verdict = mix_sources(rows, **how)
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
-    verdict = verdict.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), copies.alias("_copies"))
-    verdict = verdict.groupBy("_id", "_source").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    plan = _plan(_sized(docs), weights, share, most)
+    own = {c: name for c, name in zip(plan.columns, free_names(docs, *(f"plan_{c}" for c in plan.columns)))}
+    copy, times, h, worded = free_names(docs, "copy", "times", "h", "worded")
+    rows = docs.withColumns({h: hashed("doc_id"), worded: F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
+    plan = small(plan.select(*[F.col(c).alias(name) for c, name in own.items()]))
+    number = F.when(F.col(worded), _copies(h, own["base"], own["edge"], own["edge_in"])).otherwise(1).cast("int")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col(own["source"]))).withColumn(times, number).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

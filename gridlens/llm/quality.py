@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Spans, slices, utf8, word_bounds
+from .common import SEPARATORS, Spans, free_names, slices, utf8, word_bounds
 
 #: Rows with crc32(doc_id as text) mod FOLDS equal to HELD_OUT teach nothing.
 FOLDS, HELD_OUT = 4, 2
@@ -140,14 +140,13 @@ def _featured(batches):
             yield pa.RecordBatch.from_arrays([batch.column("quality").slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], ["quality", "x"])
 
 
-def _scorer(model: PUClassifier, width: int):
+def _scorer(model: PUClassifier, names: list[str]):
     def rows(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             scores = [model.score(features(data[at[a] : at[b]], at[a : b + 1] - at[a])) for a, b in slices(at, 1 << 19)]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            cols = [batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], [*batch.schema.names[:width], "score"])
+            cols = [batch.column(i) for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names)
 
     return rows
 
@@ -170,9 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     text = docs.select("doc_id", "text")
     good = text.join(F.broadcast(trusted.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most `positives` rows
-    rate = min(1.0, unlabelled / max(1, docs.count()))
-    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000))
-    rest = text.where(spread < int(rate * 1_000_000)).groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.first("text").alias("text"))
+    among = docs.count()
+    drawn = text if among <= unlabelled else text.where(F.xxhash64("doc_id", "text", F.lit(3)) < F.lit((1 << 64) * unlabelled // among - (1 << 63)))
+    rest = drawn.groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.first("text").alias("text"))
     sample = good.select(F.lit(1).alias("quality"), "text").unionByName(rest.select(F.lit(0).alias("quality"), "text")).mapInArrow(_featured, "quality int, x array<float>").toArrow()
     mark = sample.column("quality").to_numpy()
     x, at = np.empty((len(mark), WIDTH), np.float32), 0
@@ -181,8 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         at += len(part)
     del sample
     order = np.lexsort((*x[:, :8].T, x.sum(1)))  # the same order at every run
-    if not (mark == 1).any() or not (mark == 0).any():
-        return None
+    if not (mark == 1).any():
+        return None  # no labelled document is there
+    if not (mark == 0).any():
+        raise ValueError(f"no unlabelled document was drawn from {among}")
     good, rest = (x[order[mark[order] == k]] for k in (1, 0))
     del x
     return PUClassifier(good, rest, prior)
@@ -191,23 +192,24 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs with `score`, the chance of quality 1, from whole texts alone. Null text is empty;
     without positive labels every score is 0.5. doc_id chooses samples and the held-out fold, and
-    is no input of a score."""
-    return _scored(docs, fit(docs, labels, **how))
+    is no input of a score. A column `score` of docs is replaced, and no input either."""
+    return _scored(docs, fit(docs, labels, **how), "score")
 
 
-def _scored(docs: DataFrame, model: PUClassifier | None) -> DataFrame:
-    if model is None:
-        return docs.withColumn("score", F.lit(0.5))
-    schema = docs.select("*").withColumn("score", F.lit(0.5)).schema
-    return docs.mapInArrow(_scorer(model, len(docs.columns)), schema)
+def _scored(docs: DataFrame, model: PUClassifier | None, name: str) -> DataFrame:
+    docs = docs.drop(name)
+    out = docs.withColumn(name, F.lit(0.5))
+    return out if model is None else docs.mapInArrow(_scorer(model, out.columns), out.schema)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs with a score of at least cut; all rows if no positive label gives a model."""
+    """The rows of docs with a score of at least cut, with all their columns; all rows if no positive
+    label gives a model."""
     model = fit(docs, labels)
     if model is None:
         return docs
-    return _scored(docs, model).where(F.col("score") >= cut).select(*docs.columns)
+    (name,) = free_names(docs, "score")
+    return _scored(docs, model, name).where(F.col(name) >= cut).select(*docs.columns)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
