@@ -36,11 +36,14 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
 
     nodes: tree, node, parent (null at roots), with node unique within its tree. Round k joins the
     paths so far with each node's ancestor 2^k levels up, and those links with themselves, so a
-    tree of depth d takes log2(d) rounds; a parent that does not exist ends its path, and a cycle
-    of replies has no leaf. Only ids move, never texts.
+    tree of depth d takes log2(d) rounds. A parent that does not exist ends its path. No path is
+    longer than its tree has nodes: where links still lead on after as many levels, replies form a
+    cycle; a path that runs into one is cut before the first node that it would hold twice, and a
+    cycle without a leaf has no path. Only ids move, never texts.
     """
     same = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
     links = nodes.select("tree", "node", "parent")
+    most = links.groupBy("tree").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     parents = links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = links.alias("l").join(parents.alias("p"), same("l", "p") & (F.col("l.node") == F.col("p.node")), "left_anti")
     paths = stage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
@@ -48,16 +51,18 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
     jump = links.alias("a").join(real.alias("b"), same("a", "b") & (F.col("a.parent") == F.col("b.parent")), "left_semi")
     jump = stage(jump.select("tree", "node", F.col("parent").alias("far")), "jumps")
     width = 1
-    while not jump.isEmpty():
+    while width < 2 * most and not jump.isEmpty():
         on = same("p", "j") & (F.col("p.node") == F.col("j.node"))
-        longer = stage(paths.alias("p").join(jump.alias("j"), on).select("p.tree", "leaf", F.col("far").alias("node"), (F.col("up") + width).alias("up")), "paths")
+        longer = stage(paths.alias("p").join(jump.alias("j"), on).select("p.tree", "leaf", F.col("far").alias("node"), (F.col("up") + width).alias("up")).where(F.col("up") < most), "paths")
         if longer.isEmpty():
             break
         paths = paths.unionByName(longer)
         on = same("j", "k") & (F.col("j.far") == F.col("k.node"))
         jump = stage(jump.alias("j").join(jump.alias("k"), on).select("j.tree", "j.node", F.col("k.far").alias("far")), "jumps")
         width *= 2
-    return paths
+    if jump.isEmpty():
+        return paths
+    return stage(paths.groupBy("tree", "leaf", "node").agg(F.min("up").alias("up")), "paths")
 
 
 def conversations_of_trees(messages: DataFrame, top: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ in double precision. Lists and their queries are cut into blocks, so a cell has
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,14 +22,16 @@ from .common import components, stage
 COSINE = 0.95
 SUBSPACES = 8
 CODES = 256
-#: Classes per coarse list aimed at, the most lists, and the sampled classes that fit the index.
-LIST_SIZE = 400
-MOST_LISTS = 4096
+#: Classes per coarse list aimed at, the most lists, and the sampled classes that fit the index: at least,
+#: per list, and bytes of them at most.
+LIST_SIZE = 1600
+MOST_LISTS = 16_384
 SAMPLE = 20_000
-SAMPLE_PER_LIST = 40
+SAMPLE_PER_LIST = 64
+SAMPLE_BYTES = 128 << 20
 #: Share of the link radius within which a list's bisecting plane is probed.
 REACH = 0.6
-BLOCK = 1024
+BLOCK = 2048
 QUERY_BLOCK = 4096
 
 
@@ -102,7 +106,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-_INDEXED = "vid long, mult long, vector array<float>, list int, codes binary, err double, probes array<int>"
+_INDEXED = "vid long, mult long, vector {kind}, list int, codes binary, err double, probes array<int>"
 
 
 def _indexer(model: Quantiser, reach: float):
@@ -164,26 +168,39 @@ def _cell(model: Quantiser, cosine: float, radius: float):
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, reach: float = REACH) -> DataFrame:
     """One row per row of rows (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Two vectors link when their cosine is at least `cosine`. Null and zero vectors and those with
-    null or non-finite components link with nothing, nor do vectors of another length than the most
-    common. Rows that repeat a vec_id count as vectors of their own and share its component.
+    Two vectors link when they are of one length and their cosine in double precision is at least
+    `cosine`; each length that occurs has an index of its own. Null and zero vectors and those with
+    null or non-finite components link with nothing. Rows that repeat a vec_id count as vectors of
+    their own and share its component.
     """
-    rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("vector"))
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select("vec_id", F.col("embedding").cast(kind).alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    usable = rows.where(F.col("vec_id").isNotNull() & finite)
-    common = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
-    if common is None:
-        return alone(rows).select("*", kept)
-    usable = usable.where(F.size("vector") == common["d"])
-    classes = stage(usable.groupBy("vector").agg(F.min("vec_id").cast("long").alias("vid"), F.count("*").alias("mult")), "classes")
+    good = F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False))
+    usable = rows.where(good)
+    lengths = [r["d"] for r in usable.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()]  # those of the models that made the vectors
+    out = rows.where(~good | ~F.size("vector").isin(lengths)) if lengths else rows
+    out = out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    parts = [_linked(usable.where(F.size("vector") == d), kind, cosine, reach) for d in lengths]
+    if len(parts) > 1:  # a vec_id with vectors of several lengths ties their components together
+        named = stage(reduce(DataFrame.unionByName, parts), "named")
+        tied = components(named.select(F.col("vec_id").alias("a"), F.col("component_id").alias("b")))
+        parts = [named.join(tied.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("component", "component_id").alias("component_id"))]
+    out = reduce(DataFrame.unionByName, parts, out)
+    return out.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(usable: DataFrame, kind: str, cosine: float, reach: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of usable vectors of one length."""
+    usable = usable.withColumn("vec_id", F.col("vec_id").cast("long"))
+    classes = stage(usable.groupBy("vector").agg(F.min("vec_id").alias("vid"), F.count("*").alias("mult")), "classes")
     lists = max(1, min(MOST_LISTS, classes.count() // LIST_SIZE))
-    size = max(SAMPLE, lists * SAMPLE_PER_LIST)
+    width = usable.select(F.size("vector")).first()[0]
+    size = max(1, min(max(SAMPLE, lists * SAMPLE_PER_LIST), SAMPLE_BYTES // (8 * width)))
     sample = classes.orderBy(F.xxhash64("vector"), "vid").select("vector").limit(size).toArrow().column("vector")
     model = Quantiser(_unit(_matrix(sample)), lists)
     radius = float(np.sqrt(2 - 2 * cosine))
-    index = stage(classes.select("vid", "mult", "vector").mapInArrow(_indexer(model, reach * radius), _INDEXED), "index")
+    index = stage(classes.select("vid", "mult", "vector").mapInArrow(_indexer(model, reach * radius), _INDEXED.format(kind=kind)), "index")
 
     asks = index.select("vid", "mult", "vector", F.explode("probes").alias("list"))
     blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mblocks"))
@@ -201,18 +218,30 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, reach: float = REAC
     )
     cells = inside.unionByName(held).unionByName(asked)
     links = stage(cells.groupBy("own", "list", "x", "y").applyInArrow(_cell(model, cosine, radius), "vid long, n long, root long"), "links")
-    comp = components(links.where("vid <> root").select(F.col("vid").alias("a"), F.col("root").alias("b")))
+    # rows that repeat a vec_id tie their classes together
+    same = usable.groupBy("vec_id").agg(F.count_distinct("vector").alias("n")).where("n > 1").select("vec_id")
+    ties = classes.select(F.col("vid").alias("b"), "vector").join(usable.join(same, "vec_id", "left_semi").select(F.col("vec_id").alias("a"), "vector"), "vector").select("a", "b")
+    comp = components(links.where("vid <> root").select(F.col("vid").alias("a"), F.col("root").alias("b")).unionByName(ties))
     told = (
         classes.select("vid", "mult", "vector")
         .join(links.groupBy("vid").agg(F.sum("n").alias("n")), "vid", "left")
         .join(comp.withColumnRenamed("node", "vid"), "vid", "left")
         .select("vector", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "vid").alias("component_id"))
     )
-    told = stage(told, "told")
-    linked = usable.join(told, "vector").select("vec_id", "n_links", "component_id")
-    other = rows.where(~F.coalesce(F.col("vec_id").isNotNull() & finite & (F.size("vector") == common["d"]), F.lit(False)))
-    return linked.unionByName(alone(other)).select("*", kept)
+    return usable.join(stage(told, "told"), "vector").select("vec_id", "n_links", "component_id")
 
 
 def op9_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(component_id AS BIGINT) AS component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

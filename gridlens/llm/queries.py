@@ -20,4 +20,6 @@ ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op8_jaccard_join": partenum.OP8_SQL,
+    "op9_embedding_near_dedup": pq.OP9_SQL,
 }

@@ -1,8 +1,9 @@
 """WARC archives: writing with revisits, segmentation and chunked framing, and reading back.
 
 Writing and reading go through Spark's text and binaryFile sources, so archives can lie in any
-store that Spark reaches. Equal payloads are stored once: the largest page_id is the response, the
-others are revisit records that refer to it.
+store that Spark reaches. Every record is a gzip member of its own, so a reader can start at any of
+them. Equal payloads are stored once: the largest page_id is the response, the others are revisit
+records that refer to its record id.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,15 +44,26 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null for a response).
+    """page_id, url, payload, digest, record_id, refers_to and refers_to_id (null for a response).
 
     Null html is an empty payload. Rows that repeat a page_id with an equal payload are each
-    recorded: those with the largest page_id are all responses.
+    recorded: those with the largest page_id are all responses. Null page_ids rank first.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    first = stage(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id")), "payloads")
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "row": F.monotonically_increasing_id()})
+    each = rows.where(F.octet_length("payload") >= least).groupBy("digest", "page_id").agg(F.max("row").alias("row"), F.count("*").alias("copies"))
+    first = stage(each.groupBy("digest").agg(F.max(F.struct("page_id", "copies", "row")).alias("first")), "payloads")
+    name = lambda page, more: F.concat(F.lit(URI), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), more)
+    numbered = lambda row: F.concat(F.lit(":"), row.cast("string"))
+    first_id = F.col("first.page_id")
+    revisits = F.coalesce(F.col("page_id") < first_id, F.col("page_id").isNull() & first_id.isNotNull(), F.lit(False))
+    alone = F.coalesce(F.col("page_id").eqNullSafe(first_id) & (F.col("first.copies") == 1), F.lit(False))
+    return rows.join(first, "digest", "left").select(
+        "page_id", "url", "payload", "digest",
+        name(F.col("page_id"), F.when(alone, "").otherwise(numbered(F.col("row")))).alias("record_id"),
+        F.when(revisits, first_id).alias("refers_to"),
+        F.when(revisits, name(first_id, F.when(F.col("first.copies") == 1, "").otherwise(numbered(F.col("first.row"))))).alias("refers_to_id"),
+    )
 
 
 def _chunked(payload: bytes, size: int) -> bytes:
@@ -81,12 +94,10 @@ def _record(kind: str, rid: str, url: str | None, more: list[tuple[str, object]]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block
 
 
-def _records(page_id, row: int, url, payload: bytes, digest: str, refers_to, segment: int, chunk: int) -> Iterator[bytes]:
-    name = "null" if page_id is None else page_id
-    rid = f"{URI}{name}:{row}"
+def _records(rid: str, url, payload: bytes, digest: str, refers_to: str | None, segment: int, chunk: int) -> Iterator[bytes]:
     told = [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
     if refers_to is not None:
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URI}{refers_to}>")]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to}>")]
         yield _record("revisit", rid, url, told + more, b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + _chunked(payload, chunk)
@@ -102,21 +113,33 @@ def _records(page_id, row: int, url, payload: bytes, digest: str, refers_to, seg
         yield _record("response" if number == 1 else "continuation", rid if number == 1 else f"{rid}/{number}", url, (told if number == 1 else []) + more, block[at : at + segment])
 
 
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+#: Spark's text writer wants something between its rows: an empty member, which holds nothing.
+_BETWEEN = _member(b"").decode("latin-1")
+
+
 def write_archives(rows: DataFrame, path: str, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES, records: int = FILE_RECORDS) -> None:
-    """Write with_revisits' rows as gzipped WARC files under path. Every record ends in two line ends."""
+    """Write with_revisits' rows as WARC files under path, a gzip member per record. Every record ends
+    in two line ends."""
 
-    def lines(batches):
+    def members(batches):
         for batch in batches:
-            out = []
+            out, size = [], 0
             for page in batch.to_pylist():
-                out += _records(page["page_id"], page["row"], page["url"], page["payload"], page["digest"], page["refers_to"], segment, chunk)
-                if sum(map(len, out[-50:])) > 1 << 20 or len(out) > 2000:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
-                    out = []
+                for record in _records(page["record_id"], page["url"], page["payload"], page["digest"], page["refers_to_id"], segment, chunk):
+                    out.append(_member(record + b"\r\n\r\n"))
+                    size += len(out[-1])
+                    if size > 1 << 20 or len(out) > 2000:
+                        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+                        out, size = [], 0
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
-    told = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lines, "value binary")
-    told.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    packed = rows.select("record_id", "url", "payload", "digest", "refers_to_id").mapInArrow(members, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", _BETWEEN).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", records).text(path)
 
 
 _READ = "record_id string, kind string, url string, digest string, bytes long, refers_to string, origin string, number int, total long, block binary"
@@ -177,7 +200,7 @@ def payloads(records: DataFrame) -> DataFrame:
     """record_id, kind, refers_to, payload_bytes, payload_digest, payload of reassembled records.
 
     A response's payload is decoded from its chunks and its digest verified; a revisit tells the
-    full payload's size and digest in its header and has no payload of its own.
+    full payload's size and digest in its header and has no payload of its own (see `checked`).
     """
 
     def decode(batches):
@@ -201,10 +224,22 @@ def payloads(records: DataFrame) -> DataFrame:
     return records.mapInArrow(decode, schema)
 
 
+def checked(told: DataFrame) -> DataFrame:
+    """What payloads tells, less payloads: a revisit whose record is not there as a response, or has
+    another length or digest, raises an error."""
+    told = stage(told.drop("payload"), "told")
+    asked = told.where("kind = 'revisit'").select("refers_to", "payload_bytes", "payload_digest").distinct()
+    held = told.where("kind = 'response'").select("record_id", F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
+    bad = asked.join(held, asked["refers_to"] == held["record_id"], "left").where(F.coalesce((F.col("payload_bytes") != F.col("held_bytes")) | (F.col("payload_digest") != F.col("held_digest")), F.lit(True)))
+    if (first := bad.select("refers_to").first()) is not None:
+        raise ValueError(f"a revisit does not fit the record {first[0]} that it refers to")
+    return told
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    out = payloads(reassembled(read_records(spark, path)))
+    out = checked(payloads(reassembled(read_records(spark, path))))
     number = lambda c: F.substring_index(F.substring(c, len(URI) + 1, 30), ":", 1)
     return out.select(
         F.when(number("record_id") != "null", number("record_id")).cast("long").alias("page_id"),

@@ -9,7 +9,7 @@ from gridlens.llm.common import SEPARATORS
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["size", "score", "digest", "h", "n", "fold", "ids", "component_id", "kept", "quality"]
+CLASHING = ["size", "score", "digest", "h", "n", "fold", "ids", "component_id", "kept", "quality", "_id", "_copy", "copy", "row", "sha", "_sha", "_source", "edge", "base", "target", "plan_edge", "worded"]
 
 
 def words(text):

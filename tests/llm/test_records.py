@@ -15,7 +15,7 @@ import corpus_pipeline
 from gridlens.llm import chat, partenum, pq, queries, warc
 from gridlens.llm.common import components, shared_dir
 
-from .helpers import least_reachable
+from .helpers import least_reachable, odd_docs
 
 # ---- chat -----------------------------------------------------------------------------------
 
@@ -50,6 +50,14 @@ def test_tree_paths_ranks_and_round_trip(spark):
     assert out[3, 1]["n_turns"] == 1
 
 
+def test_reply_cycles_with_tails_are_cut(spark):
+    rows = [(1, 1, 2, "a", "1", 0.0), (1, 2, 1, "b", "2", 0.0), (1, 3, 1, "c", "3", 0.0), (2, 1, None, "a", "x", 0.0), (2, 2, 1, "b", "y", 0.0)]
+    rows += [(3, i, i % 9 + 1, "r", str(i), 0.0) for i in range(1, 10)] + [(3, 20, 4, "r", "20", 0.0), (3, 21, 20, "r", "21", 0.0)]
+    out = {r["tree"]: [t for _, t in read_back(r["formatted"])] for r in chat.format_conversations(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")).collect()}
+    assert out[1] == ["2", "1", "3"] and out[2] == ["x", "y"]
+    assert out[3][-3:] == ["4", "20", "21"] and len(out[3]) == len(set(out[3])) == 11
+
+
 def test_deep_tree(spark):
     rows = [(7, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(300)]
     out = chat.format_conversations(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")).first()
@@ -87,7 +95,7 @@ def test_warc_round_trip(spark):
     assert records.where("number > 50").count() > 0 and records.where("kind = 'continuation' AND origin IS NULL").count() == 0
     out = warc.payloads(warc.reassembled(records)).collect()
     assert len(out) == len(rows)
-    got = sorted((int(r["record_id"].split(":")[2]), r["kind"], r["payload_bytes"], r["payload_digest"], int(r["refers_to"].split(":")[-1]) if r["refers_to"] else None) for r in out)
+    got = sorted((int(r["record_id"].split(":")[2]), r["kind"], r["payload_bytes"], r["payload_digest"], int(r["refers_to"].split(":")[2]) if r["refers_to"] else None) for r in out)
     first = {}
     for i, _, html in rows:
         first[html or ""] = max(first.get(html or "", 0), i)
@@ -97,9 +105,28 @@ def test_warc_round_trip(spark):
         to = first[html or ""]
         want.append((i, "response" if i == to else "revisit", len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), None if i == to else to))
     assert got == sorted(want)
+    ids = [r["record_id"] for r in out]
+    assert len(set(ids)) == len(ids) and {r["refers_to"] for r in out if r["refers_to"]} <= {r["record_id"] for r in out if r["kind"] == "response"}
+    assert warc.checked(warc.payloads(warc.reassembled(records))).count() == len(rows)
+    for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").collect():
+        raw, members = bytes(f["content"]), []
+        while raw:  # a reader can stop and start at every member
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(raw))
+            raw = one.unused_data
+        assert all(m == b"" or (m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n")) for m in members)
     assert {r["payload"] for r in out if r["payload"] is not None} == {(h or "").encode() for *_, h in rows}
 
 
+def test_warc_false_revisits_raise(spark):
+    told = [("a", "response", None, 3, "X", b"abc"), ("b", "revisit", "a", 3, "Y", None)]
+    schema = "record_id string, kind string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    with pytest.raises(ValueError, match="does not fit"):
+        warc.checked(spark.createDataFrame(told, schema))
+    with pytest.raises(ValueError, match="does not fit"):
+        warc.checked(spark.createDataFrame([("b", "revisit", "nowhere", 3, "Y", None)], schema))
+
+
 def test_warc_broken_segments_raise(spark):
     parts = [("r", "response", None, None, None, None, None, 1, None, b"ab"), ("r/3", "continuation", None, None, None, None, "r", 3, 5, b"e")]
     broken = spark.createDataFrame(parts, warc._READ)
@@ -164,6 +191,15 @@ def test_embeddings_recall_sf(spark):
     assert recall(out, want) >= 0.9 and all(out[i][0] <= want[i][0] for i in want)
 
 
+def test_embeddings_of_several_lengths_and_in_doubles(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.001]), (6, [1e39, 1.0, 0.0]), (7, [1e39, 1.0, 0.0]), (8, [0.0, 0.0, 0.0, 5.0]), (9, [-1e-300, 0.0])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (1, 4), 5: (1, 4), 6: (2, 3), 7: (2, 3), 8: (0, 8), 9: (0, 9)}
+    twice = rows + [(3, [0.0, 1.0, 0.0]), (1, [0.0, 0.0, 1.0, 0.0])]
+    out = {(r["vec_id"], r["component_id"]) for r in pq.near_duplicates(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect()}
+    assert {(3, 3), (4, 3), (5, 3), (6, 3), (1, 1), (2, 1)} <= out
+
+
 def test_embeddings_without_usable_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert pq.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -216,6 +252,15 @@ def test_pipeline_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_pipeline_stages_with_clashing_columns(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    for name, step in corpus_pipeline.STAGES:
+        docs = odd_docs(spark)
+        out = step(spark, docs, sf_dir)
+        assert out.count() > 0, name
+        assert out.columns == docs.columns or name == "sentencepiece encoding"
+
+
 # ---- queries --------------------------------------------------------------------------------
 
 
@@ -224,7 +269,7 @@ def test_queries_against_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     own = queries.QUERIES[name](spark, sf_dir)
     cols = sorted(own.columns)

@@ -47,24 +47,57 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.kept_documents(odd_docs(spark, [])).count() == 0
 
 
-def test_cuckoo_filter_insert_delete_resize():
-    index = exact_dedup.CuckooFilter(4)
+def test_cuckoo_index_insert_delete_resize():
+    index = exact_dedup.CuckooIndex(4)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
-    assert all(index.insert(k, i) for i, k in enumerate(keys))
-    assert index.resizes > 0 and not index.insert(keys[7], 1)
-    assert all(k in index for k in keys)
+    assert all(index.add(k, 1, i, 1) for i, k in enumerate(keys))
+    assert index.resizes > 0 and index.count == 3000 and max(map(len, index.buckets)) <= exact_dedup.SLOTS
+    assert index.denied > 2900  # nearly all new keys were told apart without a look at stored ones
+    assert not index.add(keys[7], 2, 9, 5) and index.find(keys[7])[2:] == [2, 9, 6] and index.verified == 2
+    assert all(index.find(k) for k in keys)
     assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
-    assert all(k in index for k in keys[1::2]) and not any(k in index for k in keys[::2])
-    assert index.insert(keys[0], 5)
+    assert all(index.find(k) for k in keys[1::2]) and not any(index.find(k) for k in keys[::2])
+    assert index.add(keys[0], 1, 5, 1)
+
+
+def test_cuckoo_index_verifies_equal_fingerprints():
+    index = exact_dedup.CuckooIndex(4)
+    one, two = b"a" * 8 + b"markplace!" + b"x" * 14, b"b" * 8 + b"markplace!" + b"y" * 14
+    assert index.add(one, 1, 1, 1) and index.find(two) is None and index.denied == 1
+    assert index.add(two, 1, 2, 1) and index.find(one)[3] == 1 and index.find(two)[3] == 2
+    for i in range(40):  # more of one place than two buckets hold: the filter can't grow out of it
+        assert index.find(one) is not None
+    assert index.delete(one) and index.find(one) is None and index.find(two)[3] == 2
 
 
 def test_update_index_deletes_live_keys(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
-    live = exact_dedup.update_index(exact_dedup.digested(docs))
-    gone = exact_dedup.digested(docs.where("doc_id = 3")).select("digest")
-    more = exact_dedup.digested(spark.createDataFrame([(4, "  a b"), (5, "d")], docs.schema))
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (6, "e")], "doc_id long, text string")
+    live = exact_dedup.stage(exact_dedup.update_index(exact_dedup.digested(docs)), "live")
+    gone = exact_dedup.digested(docs.where("doc_id IN (1, 3)")).select("digest")
+    more = exact_dedup.digested(spark.createDataFrame([(4, "  a b"), (5, "d"), (7, " e ")], docs.schema))
     out = exact_dedup.update_index(more, live=live, deletes=gone)
-    assert sorted((r["keep_id"], r["group_size"]) for r in out.collect()) == [(4, 1), (5, 1)]
+    assert sorted((r["keep_id"], r["group_size"]) for r in out.collect()) == [(4, 1), (5, 1), (7, 2)]
+    assert {r["bucket"] < r["size"] for r in out.collect()} == {True}
+
+
+def test_copies_meet_in_the_index(monkeypatch):
+    import pyarrow as pa
+
+    digests = [hashlib.sha256(t.encode()).digest() for t in ("a", "b", "a", "a")]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4, 2, 3, None], "chars": [1, 1, 1, 1], "digest": digests})
+    out = {r["digest"]: (r["keep_id"], r["group_size"]) for b in exact_dedup._combine([batch]) for r in b.to_pylist()}
+    assert out == {digests[0]: (3, 3), digests[1]: (2, 1)}
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "find", lambda self, digest, chars=None: None)  # without the filter copies do not meet
+    assert sum(b.num_rows for b in exact_dedup._combine([batch])) == 4
+
+
+def test_exact_dedup_large_ids(spark):
+    ids = [2**62 + 5, 2**62 + 6, 2**63 - 1, -(2**63)]
+    docs = odd_docs(spark, [(i, "same text", None, None, 0) for i in ids[:3]] + [(ids[3], "other", None, None, 0), (None, "same  text", None, None, 0), (None, "only", None, None, 0)])
+    out = {(r["doc_id"], r["group_size"]): r["keep_id"] for r in exact_dedup.exact_dedup(docs).collect()}
+    assert out[ids[0], 4] is None  # the longest text has no id
+    assert {r["doc_id"] for r in exact_dedup.kept_documents(docs.where("doc_id IS NOT NULL")).collect()} == {ids[0], ids[3]}
+    assert sorted(r["text"] for r in exact_dedup.kept_documents(docs).collect()) == ["only", "other", "same  text"]
 
 
 # ---- mixing ---------------------------------------------------------------------------------
@@ -187,6 +220,18 @@ def test_signatures_lose_no_pair():
                 assert set(sign[owner == 0]) & set(sign[owner == 1]), size
 
 
+def test_jaccard_crowds_are_signed_again(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "CROWD", 3)
+    monkeypatch.setattr(partenum, "BLOCK", 4)
+    test_jaccard_chains_of_near_copies(spark, 3)
+
+
+def test_jaccard_without_ids(spark):
+    rows = [(1, "a b c d e f", None, None, 0), (None, "a b c d e f", None, None, 0), (None, None, None, None, 0)]
+    out = sorted((r["n_shingles"], r["component_id"] is None) for r in partenum.jaccard_components(odd_docs(spark, rows)).collect())
+    assert out == [(0, True), (2, False), (2, True)]
+
+
 def test_jaccard_kept_and_empty(spark):
     docs = odd_docs(spark)
     kept = partenum.kept_documents(docs)
@@ -438,6 +483,32 @@ def test_lm_empty(spark):
 # ---- quality classifier ---------------------------------------------------------------------
 
 
+def test_risk_gradient_against_plain_loops():
+    """The step goes down the risk prior E_p[l(+)] + max(0, E_u[l(-)] - prior E_p[l(-)]) where its bracket is
+    positive, and up the bracket where it is not; by finite differences of plain loops."""
+    rng = np.random.default_rng(3)
+    for shift, prior in ((0.0, 0.4), (0.0, 0.9), (3.0, 0.95)):
+        p, u = rng.normal(size=(6, 5)) + shift, rng.normal(size=(9, 5))
+        model = quality.PUClassifier(rng.normal(size=(20, 5)), rng.normal(size=(20, 5)), 0.5, rounds=1, least_steps=1)
+
+        def parts(w):
+            def out(x):
+                hidden = [math.tanh(sum(x[d] * w[0][d][k] for d in range(5)) + w[1][k]) for k in range(quality.HIDDEN)]
+                return sum(h * v for h, v in zip(hidden, w[2])) + w[3][0]
+
+            loss = lambda x, y: math.log1p(math.exp(-y * out(x)))
+            mean = lambda xs, y: sum(loss(x, y) for x in xs) / len(xs)
+            return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+        risk = lambda w: parts(w)[0] + parts(w)[1] if parts(model.w)[1] >= 0 else -parts(w)[1]
+        got = model._gradient(p, u, prior)
+        for k, at in ((0, (2, 3)), (1, (4,)), (2, (7,)), (3, (0,))):
+            moved = [[x.copy() for x in model.w] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            assert got[k][at] == pytest.approx((risk(moved[0]) - risk(moved[1])) / 2e-5, rel=1e-4, abs=1e-7)
+
+
 def test_quality_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -453,7 +524,7 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_ignores_identity_columns(spark):
     rows = [(i, ("clear words stand here in good order. " * 5 if i % 2 else "$$$ !!! 1 1 1 zzz ") + str(i), "en", "web", 0) for i in range(80)]
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(0, 60)] + [(3, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    docs = odd_docs(spark, [*rows, (900, None, None, None, None), (901, "", None, None, None), (902, "y" * 100_000, None, None, None)]).drop("score")
+    docs = odd_docs(spark, [*rows, (900, None, None, None, None), (901, "", None, None, None), (902, "y" * 100_000, None, None, None)])
     out = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
     assert len(out) == 83 and out[900] == out[901]
     other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("yy"))
@@ -463,14 +534,14 @@ def test_quality_ignores_identity_columns(spark):
 
 def test_quality_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    docs = odd_docs(spark).drop("score")
+    docs = odd_docs(spark)
     assert {r["score"] for r in quality.scored(docs, labels).collect()} == {0.5}
-    assert quality.scored(odd_docs(spark, []).drop("score"), labels).count() == 0
+    assert quality.scored(odd_docs(spark, []), labels).count() == 0
 
 
 def test_classifier_without_positives_keeps_all_documents(spark):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
-    docs = odd_docs(spark).drop("score")
+    docs = odd_docs(spark)
     assert quality.kept_documents(docs, labels).count() == docs.count()
 
 
@@ -478,7 +549,7 @@ def test_classifier_samples_are_bounded_by_rows(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(quality, "PUClassifier", lambda p, u, prior: taken.append((len(p), len(u))))
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
-    hot = ids.where(~quality.held_out()).orderBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))).first()[0]
+    hot = ids.where(~quality.held_out()).orderBy(F.xxhash64("doc_id", F.lit(3))).first()[0]
     rows = [(i, f"text {i} of words", None, None, 0) for i in range(1000)] + [(hot, "the same text", None, None, 0)] * 600 + [(hot, f"other text {i}", None, None, 0) for i in range(600)]
     labels = spark.createDataFrame([(i, 1, 0) for i in {hot, *range(40)}], "doc_id long, quality int, toxic int")
     quality.fit(odd_docs(spark, rows), labels, positives=20, unlabelled=200)
