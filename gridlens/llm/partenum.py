@@ -14,8 +14,8 @@ the band of the larger set.
 Candidates are verified on whole shingle sets. Within a signature's bucket all members are first
 compared with its leader, the smallest id. Members whose leader's bucket is then in several components
 are compared across components, once for all buckets of a leader, unless sketches of their sets prove
-them too far apart: first each component's closest pair, which joins most, then what is left. A leader
-with very many members has them signed once more by a third partition first.
+them too far apart. Where that leaves many pairs, each component's closest pair goes first, until those
+link nothing more. A leader with very many members has them signed once more by a third partition first.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ SUBSETS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 2048
 #: Members of a leader's buckets from which they are signed again before they are compared.
 CROWD = 8192
+#: Pairs per member of a cell up to which all are verified at once.
+MANY = 4
 #: Documents per task of the bucket stage, at most about.
-PART_DOCS = 50_000
+PART_DOCS = 20_000
 SKETCH_WORDS = 8
 #: Text bytes whose signatures a mapping task holds at once.
 MAP_BYTES = 4 << 20
@@ -168,6 +170,16 @@ def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, np.repeat(ids[order][heads], np.diff(np.append(heads, len(s)))), lead
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as the bytes of their differences, by byte position: zeros lie together, for the shuffle's compression."""
+    return np.ascontiguousarray(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unpacked(raw: bytes, kind=np.int64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
+
+
 _MAPPED = "part int, ids binary, counts binary, signs binary, a binary, b binary, sign binary, sizes binary, digests binary, widths binary, sketches binary"
 _FOUND = "kind int, a long, b long, sign long, n long, digest binary, sketch array<long>"
 
@@ -196,14 +208,14 @@ def _mapper(parts: int, threshold: int):
             owners.append(ids[a:b][np.array(fresh, np.int64)][o] if len(o) else o)
             home = (s >> np.uint64(32)) % np.uint64(parts)
             signs.append((home << np.uint64(40)) + (s & np.uint64((1 << 40) - 1)))  # its task and 40 bits tell a bucket
-        out = [blank | {"part": int(ids[0] % parts), "ids": ids.tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "digests": b"".join(digests), "widths": np.array([len(k) // 8 for k in sketches], np.int32).tobytes(), "sketches": b"".join(sketches)}]
+        out = [blank | {"part": int(ids[0] % parts), "ids": _packed(ids), "sizes": _packed(np.array(sizes, np.int64)), "digests": b"".join(digests), "widths": _packed(np.array([len(k) // 8 for k in sketches], np.int64)), "sketches": b"".join(sketches)}]
         owner, sign = np.concatenate(owners), np.concatenate(signs)
         # members of one bucket meet here first: only their leader goes on to the bucket's task
         order, head, lead = _star(sign, owner)
         pairs = {"a": head[~lead], "b": owner[order][~lead], "sign": sign[order][~lead]}
         home = pairs["b"] % parts
         for p in np.unique(home):
-            out.append(blank | {"part": int(p)} | {k: v[home == p].tobytes() for k, v in pairs.items()})
+            out.append(blank | {"part": int(p)} | {k: _packed(v[home == p].view(np.int64)) for k, v in pairs.items()})
         keep = np.sort(order[lead])
         owner, sign = owner[keep], sign[keep]
         home = (sign >> np.uint64(40)).astype(np.int64)
@@ -214,8 +226,8 @@ def _mapper(parts: int, threshold: int):
             if cut[p] < cut[p + 1]:
                 own = owner[by[cut[p] : cut[p + 1]]]
                 turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                counts = np.diff(np.append(turn, len(own))).astype(np.int32)
-                out.append(blank | {"part": p, "ids": own[turn].tobytes(), "counts": counts.tobytes(), "signs": low[by[cut[p] : cut[p + 1]]].tobytes()})
+                counts = np.diff(np.append(turn, len(own)))
+                out.append(blank | {"part": p, "ids": _packed(own[turn]), "counts": _packed(counts), "signs": low[by[cut[p] : cut[p + 1]]].tobytes()})
         types = {"part": pa.int32()}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], types.get(c, pa.binary())) for c in _MAPPED_NAMES], _MAPPED_NAMES)
 
@@ -231,30 +243,31 @@ def _mapper(parts: int, threshold: int):
 _MAPPED_NAMES = [c.split()[0] for c in _MAPPED.split(", ")]
 
 
-def _whole(values: list, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(v for v in values if v is not None), kind)
+def _whole(values: list) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(_unpacked(v) for v in values if v is not None)])
 
 
 def _reduce(rows: pa.Table) -> pa.Table:
     cols = {c: rows.column(c).to_pylist() for c in _MAPPED_NAMES}
     docs = [i for i, s in enumerate(cols["sizes"]) if s is not None]
     signed = [i for i, s in enumerate(cols["signs"]) if s is not None]
-    pick = lambda c, at: [cols[c][i] for i in at]
-    ids, sizes = _whole(pick("ids", docs), np.int64), _whole(pick("sizes", docs), np.int64)
-    digests, sketches = b"".join(pick("digests", docs)), b"".join(pick("sketches", docs))
-    owner = np.repeat(_whole(pick("ids", signed), np.int64), _whole(pick("counts", signed), np.int32))
-    low = _whole(pick("signs", signed), np.uint8).reshape(-1, 5)
+    pick = lambda c, at: _whole([cols[c][i] for i in at])
+    joined = lambda c, at: b"".join(cols[c][i] for i in at)
+    ids, sizes = pick("ids", docs), pick("sizes", docs)
+    digests, sketches = joined("digests", docs), joined("sketches", docs)
+    owner = np.repeat(pick("ids", signed), pick("counts", signed))
+    low = np.frombuffer(joined("signs", signed), np.uint8).reshape(-1, 5)
     sign = np.zeros((len(low), 8), np.uint8)
     sign[:, :5] = low
     sign = sign.view("<u8").ravel() + (np.uint64(cols["part"][0]) << np.uint64(40))
     order, head, lead = _star(sign, owner)
-    a = np.concatenate([_whole(cols["a"], np.int64), head[~lead]])
-    b = np.concatenate([_whole(cols["b"], np.int64), owner[order][~lead]])
-    s = np.concatenate([_whole(cols["sign"], np.uint64), sign[order][~lead]]).astype(np.int64)
+    a = np.concatenate([_whole(cols["a"]), head[~lead]])
+    b = np.concatenate([_whole(cols["b"]), owner[order][~lead]])
+    s = np.concatenate([_whole(cols["sign"]), sign[order][~lead].view(np.int64)])
     distinct = a != b
     a, b, s = a[distinct], b[distinct], s[distinct]
     m, n = len(ids), len(a)
-    widths = np.concatenate([[0], np.cumsum(_whole(pick("widths", docs), np.int32))])
+    widths = np.concatenate([[0], np.cumsum(pick("widths", docs))])
     bits = pa.ListArray.from_arrays(pa.array(widths, pa.int32()), pa.array(np.frombuffer(sketches, np.int64)))
     null = lambda k, t: pa.nulls(k, t)
     return pa.Table.from_arrays(
@@ -314,9 +327,10 @@ def _apart(one: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fold(one) ^ fold(rest)).sum(1).astype(np.int64)
 
 
-def _across(threshold: int, closest: bool):
-    """The pairs within the cells of one part that lie across components and may still link: all, or
-    of each component only the pair whose sketches are closest."""
+def _across(threshold: int, every: bool):
+    """The pairs (a, b) within the cells of one part that lie across components and may still link. Of a
+    cell with many more than it has members only each component's pair whose sketches are closest,
+    and a row with `low` and `high` that the cell is to be looked at again, unless `every` pair is asked for."""
 
     def of_cell(comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray]]):
         """(i, j, bits apart) by rows of the cell; sketches by length: rows and matrix."""
@@ -346,26 +360,32 @@ def _across(threshold: int, closest: bool):
         wide = np.diff(at)
         cell = np.stack([get("cell"), get("low").astype(np.int64), get("high").astype(np.int64)])
         turn = np.append(np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0))), len(ids))
-        found = [np.zeros((0, 2), np.int64)]
-        nearest: dict[int, tuple] = {}
+        out = []
         for a, b in zip(turn[:-1], turn[1:]):
             sketches = {}
             for w in np.unique(wide[a:b]):
                 own = np.flatnonzero(wide[a:b] == w)
                 sketches[int(w)] = own, words[at[a + own][:, None] + np.arange(w)]
+            found, many = [], 0
+            nearest: dict[int, tuple] = {}
             for i, j, apart in of_cell(comp[a:b], n[a:b], side[a:b], sketches):
                 i, j = i + a, j + a
-                if closest:
-                    for k in range(len(i)):
-                        told = (int(apart[k]), *sorted((int(ids[i[k]]), int(ids[j[k]]))))
+                many += len(i)
+                if every or many <= MANY * (b - a):
+                    found += zip(ids[i].tolist(), ids[j].tolist())
+                if not every and len(i):
+                    by = np.lexsort((apart, comp[j]))
+                    by = by[np.append(True, np.diff(comp[j][by]) != 0)]
+                    for k in by:
+                        told = (int(apart[k]), int(ids[i[k]]), int(ids[j[k]]))
                         for c in (int(comp[i[k]]), int(comp[j[k]])):
                             nearest[c] = min(nearest.get(c, told), told)
-                else:
-                    found.append(np.sort(np.stack([ids[i], ids[j]], 1), 1))
-        if closest and nearest:
-            found.append(np.array([t[1:] for t in nearest.values()], np.int64))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            if not every and many > MANY * (b - a):
+                found = [t[1:] for t in nearest.values()]
+                out.append((int(cell[0, a]), None, int(cell[1, a]), int(cell[2, a])))
+            out += [(min(p), max(p), None, None) for p in set(found)]
+        names, kinds = ["a", "b", "low", "high"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)], names)
 
     return pairs
 
@@ -421,7 +441,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(_uncounted, "n_shingles long")
     docs = docs.where("doc_id IS NOT NULL")
-    parts = min(1 << 22, max(shuffle_width(spark, 4), docs.count() // PART_DOCS))
+    parts = min(1 << 22, max(shuffle_width(spark), docs.count() // PART_DOCS))
     found = stage(docs.mapInArrow(_mapper(parts, threshold), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "digest", "sketch")
     sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v"), (F.count("*") > 1).alias("repeated")).select("doc_id", "v.*", "repeated"), "sizes")
@@ -447,17 +467,21 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc_id")
         cells = stage(cells, "blocked")
-        width = max(shuffle_width(spark, 4), cells.count() // PART_DOCS)
-        cells = cells.withColumn("part", F.pmod(F.xxhash64("cell", "low", "high"), F.lit(width)))
-        # first each component's closest pair, which joins most of them; then whatever is still apart
-        for closest in (True, False):
+        every = False
+        while True:
+            width = max(shuffle_width(spark, 4), cells.count() // PART_DOCS)
             told = sizes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "sketch")
-            more = stage(cells.join(told, "doc_id").groupBy("part").applyInArrow(_across(threshold, closest), "a long, b long").distinct(), "across")
-            if more.isEmpty():
+            part = F.pmod(F.xxhash64("cell", "low", "high"), F.lit(width)).alias("part")
+            more = stage(cells.join(told, "doc_id").select("*", part).groupBy("part").applyInArrow(_across(threshold, every), "a long, b long, low int, high int"), "across")
+            late = _verified(more.where("low IS NULL").select("a", "b").distinct(), sizes, docs, threshold).where("linked").select("a", "b")
+            linked = not late.isEmpty()
+            if linked:
+                comp = components(late.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+            again = more.where("low IS NOT NULL").select(F.col("a").alias("cell"), "low", "high")
+            if again.isEmpty():
                 break
-            late = _verified(more, sizes, docs, threshold).where("linked").select("a", "b")
-            old = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            comp = components(late.unionByName(old))
+            cells = stage(cells.join(small(again), ["cell", "low", "high"], "left_semi"), "blocked")
+            every = not linked  # where the closest pairs link nothing more, the rest is looked at too
     named = (
         member.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class_id")

@@ -226,6 +226,11 @@ def test_jaccard_crowds_are_signed_again(spark, monkeypatch):
     test_jaccard_chains_of_near_copies(spark, 3)
 
 
+def test_jaccard_round_by_round(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "MANY", 0)
+    test_jaccard_chains_of_near_copies(spark, 4)
+
+
 def test_jaccard_without_ids(spark):
     rows = [(1, "a b c d e f", None, None, 0), (None, "a b c d e f", None, None, 0), (None, None, None, None, 0)]
     out = sorted((r["n_shingles"], r["component_id"] is None) for r in partenum.jaccard_components(odd_docs(spark, rows)).collect())
