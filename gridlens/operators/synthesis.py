@@ -1,138 +1,146 @@
 """Synthetic recordings: single-device runs from fingerprints, and sums of several devices with truth.
 
-Every run and signal has a generator of its own, seeded by the seed and its number, so work spreads
-over tasks and any part can be made again.
+Every random number is a hash of the seed and of what it stands for (a run, a row, a channel), so runs
+and signals are column expressions: work spreads over tasks, and any part can be made again.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rate, voltage, and the current that a circuit carries.
 SPS = 5
 VOLTS = 230.0
 MOST_AMPS = 6.0
-RUN_SCHEMA = "device string, run int, idx int, t_sec double, u double, i double, p double, s double, q double, pf double, frequency double, thd_u double, thd_i double"
-PLAN_SCHEMA = "series_id string, mode string, total int, ord int, device string, on_idx int, off_idx int"
-SHARE_SCHEMA = "series_id string, ord int, idx int, p double, q double, i double, thd double"
-
-
-def _plateau(fp, n, rng):
-    p = rng.normal(fp["on_p_mean"] * rng.normal(1.0, 0.05), max(fp["on_p_std"], 0.01), n)
-    q = rng.normal(fp["on_q_mean"] * rng.normal(1.0, 0.05), max(fp["on_q_std"], 0.01), n)
-    if fp["inrush_ratio"] > 1.05 and n > 1:
-        p[0] = fp["on_p_mean"] * fp["inrush_ratio"] * rng.uniform(0.9, 1.1)
-        if fp["on_q_mean"] > 30:
-            q[0] = fp["on_q_mean"] * 1.4 * rng.uniform(0.9, 1.1)
-    return p, q
-
-
-def _two_speeds(fp, n, rng):
-    turn = int(np.clip(n // 2 + rng.integers(-SPS, SPS + 1), 5, n - 5))
-    level = np.where(np.arange(n) < turn, rng.uniform(0.55, 0.75), rng.uniform(1.25, 1.45)) * fp["on_p_mean"]
-    p = rng.normal(level, max(fp["on_p_std"], 0.01))
-    p[[0, turn]] = fp["inrush_ratio"] * fp["on_p_mean"] * rng.uniform(0.85, 1.15, 2)
-    return p, rng.normal(fp["on_q_mean"], max(fp["on_q_std"], 0.01), n)
-
-
-#: Devices whose ON level has a shape of its own; others have one plateau.
-SHAPES = {"Mixer": _two_speeds}
-
-
-def _run(fp: dict, run: int, rng: np.random.Generator) -> pd.DataFrame:
-    total = int(rng.uniform(70, 110) * SPS)
-    start, lasts = rng.uniform(15, 30), rng.uniform(20, 60)
-    on, off = int(start * SPS), min(int((start + lasts) * SPS), total - 5)
-    p, q = np.zeros(total), np.zeros(total)
-    p[on:off], q[on:off] = SHAPES.get(fp["device"], _plateau)(fp, off - on, rng)
-    u, s = rng.normal(fp["voltage_mean"], 0.4, total), np.hypot(p, q)
-    runs = np.zeros(total, bool)
-    runs[on:off] = True
-    thd_u = fp["on_thd_u_mean"] if fp["on_thd_u_mean"] > 0 else 1.7
-    thd_i = rng.normal(fp["on_thd_i_mean"], max(fp["on_thd_i_std"], 0.01), total).clip(min=0.1)
-    return pd.DataFrame({
-        "device": fp["device"], "run": run, "idx": np.arange(total), "t_sec": np.cumsum(rng.normal(1 / SPS, 0.005, total)), "u": u, "i": np.where(runs, s / u, 0.0), "p": p, "s": s, "q": q,
-        "pf": np.where(runs & (s > 0), p / np.maximum(s, 1e-12), None), "frequency": rng.normal(50.01, 0.012, total), "thd_u": rng.normal(thd_u, 0.05, total), "thd_i": np.where(runs, thd_i, None),
-    }).astype({"pf": "float64", "thd_i": "float64"})
+#: Fixed values of a run: seconds in all, before and while it is on; rows after it at least; deviation of a
+#: gap between rows; deviations of a run's level, of voltage, frequency and both distortions; least deviations.
+RUN_S, START_S, LASTS_S, TAIL_ROWS, GAP_STD = (70, 110), (15, 30), (20, 60), 5, 0.005
+LEVEL_STD, VOLT_STD, HERTZ, HERTZ_STD, THD_U, THD_U_STD, LEAST_THD, LEAST_STD = 0.05, 0.4, 50.01, 0.012, 1.7, 0.05, 0.1, 0.01
+#: Fixed values of inrush: ratio from which there is one, its spread; reactive inrush and from which var.
+INRUSH_FROM, INRUSH_SPREAD, Q_INRUSH, Q_INRUSH_FROM = 1.05, (0.9, 1.1), 1.4, 30
+#: Devices with two speeds, their shares of the mean level, and the spread of their spikes.
+TWO_SPEEDS, SLOW, FAST, SPIKE_SPREAD = ["Mixer"], (0.55, 0.75), (1.25, 1.45), (0.85, 1.15)
+#: Fixed values of a signal: seconds in all and per device, jitter in rows.
+SIGNAL_S, PER_DEVICE_S, JITTER = 20, 18, 3
+MODES = ("sequential", "simultaneous")
 
 
-def synthetic_runs(fingerprints: DataFrame, runs: int, seed: int) -> DataFrame:
-    """RUN_SCHEMA: `runs` recordings of each device. fingerprints: device, on_p_mean, on_p_std, on_q_mean,
-    on_q_std, on_thd_i_mean, on_thd_i_std, on_thd_u_mean, voltage_mean, inrush_ratio."""
-    wanted = fingerprints.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("sub_seed", F.pmod(F.xxhash64(F.lit(seed), "device", "run"), F.lit(2**62)))
+def uniform(low: float, high: float, *keys) -> Column:
+    """A number in (low, high) that depends on the keys alone."""
+    share = (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
+    return low + (high - low) * share
+
+
+def normal(mean, std, *keys) -> Column:
+    """A normal number that depends on the keys alone."""
+    far = F.sqrt(-2 * F.log(uniform(0.0, 1.0, *keys, F.lit("far"))))
+    return mean + std * far * F.cos(uniform(0.0, 2 * math.pi, *keys, F.lit("turn")))
+
+
+def _sub_seed(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "device", "run"), F.lit(2**62))
 
-    def make(batches):
-        for batch in batches:
-            for fp in batch.to_dict("records"):
-                yield _run(fp, fp["run"], np.random.default_rng(fp["sub_seed"])).replace({np.nan: None})
 
-    return wanted.repartition("device", "run").mapInPandas(make, RUN_SCHEMA)
+def synthetic_runs(fingerprints: DataFrame, runs: int, seed: int) -> DataFrame:
+    """`runs` recordings of each device: device, run, idx, t_sec, u, i, p, s, q, pf, frequency, thd_u, thd_i.
+
+    A run is off, on around its device's mean, and off again; pf and thd_i are null while it is off.
+    fingerprints: device, on_p_mean, on_p_std, on_q_mean, on_q_std, on_thd_i_mean, on_thd_i_std,
+    on_thd_u_mean, voltage_mean, inrush_ratio.
+    """
+    c = F.col
+    of_run = lambda name: (c("sub_seed"), F.lit(name))
+    of_row = lambda name: (c("sub_seed"), F.lit(name), c("idx"))
+    rows = lambda seconds: F.floor(seconds * SPS).cast("int")
+    wanted = fingerprints.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("sub_seed", _sub_seed(seed))
+    start, lasts = uniform(*START_S, *of_run("start")), uniform(*LASTS_S, *of_run("lasts"))
+    wanted = wanted.withColumn("total", rows(uniform(*RUN_S, *of_run("total"))))
+    wanted = wanted.withColumns({"on": rows(start), "off": F.least(rows(start + lasts), c("total") - TAIL_ROWS)})
+    half = F.floor((c("off") - c("on")) / 2) + F.pmod(F.xxhash64(*of_run("turn")), F.lit(2 * SPS + 1)) - SPS
+    wanted = wanted.withColumn("turn", F.greatest(F.lit(5), F.least(half, c("off") - c("on") - 5)))
+    every = wanted.repartition("device", "run").withColumn("idx", F.explode(F.sequence(F.lit(0), c("total") - 1)))
+
+    at, two = c("idx") - c("on"), c("device").isin(TWO_SPEEDS)
+    runs_now = (at >= 0) & (c("idx") < c("off"))
+    std = lambda name: F.greatest(c(name), F.lit(LEAST_STD))
+    speed = F.when(at < c("turn"), uniform(*SLOW, *of_run("slow"))).otherwise(uniform(*FAST, *of_run("fast")))
+    level = lambda name: 1 + LEVEL_STD * normal(0.0, 1.0, *of_run(name))
+    rushes = (c("inrush_ratio") > INRUSH_FROM) & (c("off") - c("on") > 1) & (at == 0)
+    spike = lambda spread: c("on_p_mean") * c("inrush_ratio") * uniform(*spread, *of_row("spike"))
+    p_on = F.when(two & ((at == 0) | (at == c("turn"))), spike(SPIKE_SPREAD)).when(~two & rushes, spike(INRUSH_SPREAD)).otherwise(normal(c("on_p_mean") * F.when(two, speed).otherwise(level("p")), std("on_p_std"), *of_row("p")))
+    q_rush = c("on_q_mean") * Q_INRUSH * uniform(*INRUSH_SPREAD, *of_row("q_spike"))
+    q_on = F.when(~two & rushes & (c("on_q_mean") > Q_INRUSH_FROM), q_rush).otherwise(normal(c("on_q_mean") * F.when(two, 1.0).otherwise(level("q")), std("on_q_std"), *of_row("q")))
+    out = every.withColumns({"p": F.when(runs_now, p_on).otherwise(0.0), "q": F.when(runs_now, q_on).otherwise(0.0), "u": normal(c("voltage_mean"), VOLT_STD, *of_row("u"))})
+    s = F.hypot("p", "q")
+    so_far = Window.partitionBy("device", "run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return out.select(
+        "device", "run", "idx", F.sum(normal(1 / SPS, GAP_STD, *of_row("gap"))).over(so_far).alias("t_sec"), "u", F.when(runs_now, s / c("u")).otherwise(0.0).alias("i"), "p", s.alias("s"), "q",
+        F.when(runs_now, F.try_divide(c("p"), s)).alias("pf"), normal(HERTZ, HERTZ_STD, *of_row("frequency")).alias("frequency"),
+        normal(F.when(c("on_thd_u_mean") > 0, c("on_thd_u_mean")).otherwise(THD_U), THD_U_STD, *of_row("thd_u")).alias("thd_u"),
+        F.when(runs_now, F.greatest(F.lit(LEAST_THD), normal(c("on_thd_i_mean"), std("on_thd_i_std"), *of_row("thd_i")))).alias("thd_i"),
+    )
 
 
 def manifest(runs: DataFrame, seed: int) -> DataFrame:
     """(device, run, seed, n_samples) of synthetic runs."""
-    return runs.groupBy("device", "run").agg(F.count("*").alias("n_samples")).withColumn("seed", F.pmod(F.xxhash64(F.lit(seed), "device", "run"), F.lit(2**62)))
-
-
-def feasible(devices: list[dict], most: int, rng: np.random.Generator, amps: float = MOST_AMPS) -> list[dict]:
-    """Up to `most` devices in random order whose currents fit together; the smallest one if none does."""
-    want, chosen, used = rng.integers(1, most + 1), [], 0.0
-    for k in rng.permutation(len(devices)):
-        if len(chosen) < want and used + devices[k]["i"] <= amps:
-            chosen.append(devices[k])
-            used += devices[k]["i"]
-    return chosen or [min(devices, key=lambda d: d["i"])]
-
-
-def _switching(combo: list[dict], mode: str, rng: np.random.Generator) -> tuple[int, list[tuple[int, int]]]:
-    n = len(combo)
-    total = (20 + 18 * n) * SPS
-    jitter = lambda: int(rng.integers(-3, 4))
-    if mode == "sequential":
-        gap = total // (n + 2)
-        spans = [(gap * (k + 1) + jitter(), total - gap // 2 - (n - k) * (gap // 3) + jitter()) for k in range(n)]
-    else:
-        spans = [(total // 3 + jitter(), total - total // 4 + jitter())] * n
-    fixed = []
-    for on, off in spans:
-        on = min(max(on, 2), total - 6)
-        fixed.append((on, min(max(off, on + 4), total - 2)))
-    return total, fixed
+    return runs.groupBy("device", "run").agg(F.count("*").alias("n_samples")).withColumn("seed", _sub_seed(seed))
 
 
-def signal_plans(spark: SparkSession, devices: DataFrame, n: int, seed: int, most: tuple[int, int] = (4, 3)) -> DataFrame:
-    """PLAN_SCHEMA: which devices run in each of n signals, from and until (excluded) which row; modes
-    alternate. devices: ord, device, P, Q; a site's table, so it goes to every task."""
-    rows = [r.asDict() for r in devices.select("ord", "device", (F.hypot("P", "Q") / VOLTS).alias("i")).orderBy("ord").limit(10_000).collect()]
+def feasible(entries: Column, want: Column, amps: float = MOST_AMPS) -> Column:
+    """Of an array of devices {turn, i, ord, device}, in its order, up to `want` whose currents fit together;
+    the one of least current if none does."""
+    start = F.struct(F.lit(0.0).alias("used"), F.slice(entries, 1, 0).alias("taken"))
 
-    def make(batches):
-        for batch in batches:
-            out = []
-            for k in batch["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                mode = ("sequential", "simultaneous")[k % 2]
-                combo = feasible(rows, most[k % 2], rng)
-                total, spans = _switching(combo, mode, rng)
-                out += [(str(k), mode, total, d["ord"], d["device"], on, off) for d, (on, off) in zip(combo, spans)]
-            yield pd.DataFrame(out, columns=["series_id", "mode", "total", "ord", "device", "on_idx", "off_idx"])
+    def step(state: Column, d: Column) -> Column:
+        fits = (F.size(state["taken"]) < want) & (state["used"] + d["i"] <= amps)
+        return F.struct(F.when(fits, state["used"] + d["i"]).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], d)).otherwise(state["taken"]).alias("taken"))
 
-    return spark.range(n).mapInPandas(make, PLAN_SCHEMA)
+    taken = F.aggregate(entries, start, step)["taken"]
+    least = F.array_min(F.transform(entries, lambda d: F.struct(d["i"].alias("i"), d["ord"].alias("ord"), d.alias("d"))))["d"]
+    return F.when(F.size(taken) > 0, taken).otherwise(F.array(least))
+
+
+def signal_plans(spark: SparkSession, devices: DataFrame, n: int, seed: int, most: tuple[int, int] = (4, 3)) -> DataFrame:
+    """series_id, mode, total, ord, device, on_idx, off_idx: which devices run in each of n signals, from
+    and until (excluded) which row; modes alternate. Sequential devices come on one after the other and go
+    off likewise, simultaneous ones share their times. devices: ord, device, P, Q; a site's table, of which
+    matching checks the size.
+    """
+    from .matching import folded, with_constant
+
+    c = F.col
+    site = folded(devices.select("ord", "device", (F.hypot("P", "Q") / VOLTS).alias("i")), "site")
+    signals = with_constant(spark.range(n).withColumn("mode", F.when(c("id") % 2 == 0, MODES[0]).otherwise(MODES[1])), site)
+    shuffled = F.array_sort(F.transform("site", lambda d: F.struct(F.xxhash64(F.lit(seed), c("id"), d["ord"]).alias("turn"), d["i"].alias("i"), d["ord"].alias("ord"), d["device"].alias("device"))))
+    limit = F.when(c("id") % 2 == 0, most[0]).otherwise(most[1])
+    want = 1 + F.pmod(F.xxhash64(F.lit(seed), c("id"), F.lit("want")), limit)
+    picked = signals.select("id", "mode", feasible(shuffled, want).alias("combo")).withColumn("m", F.size("combo"))
+    runs = picked.select("id", "mode", "m", ((SIGNAL_S + PER_DEVICE_S * c("m")) * SPS).cast("int").alias("total"), F.posexplode("combo").alias("k", "d"))
+    whole = lambda x: F.floor(x).cast("int")
+    gap = whole(c("total") / (c("m") + 2))
+    shared = c("mode") == MODES[1]
+    jitter = lambda end: (F.pmod(F.xxhash64(F.lit(seed), c("id"), F.when(shared, -1).otherwise(c("d.ord")), F.lit(end)), F.lit(2 * JITTER + 1)) - JITTER).cast("int")
+    on = F.when(shared, whole(c("total") / 3)).otherwise(gap * (c("k") + 1)) + jitter("on")
+    off = c("total") - F.when(shared, whole(c("total") / 4)).otherwise(whole(gap / 2) + (c("m") - c("k")) * whole(gap / 3)) + jitter("off")
+    runs = runs.withColumn("on_idx", F.greatest(F.lit(2), F.least(on, c("total") - 6)))
+    off = F.least(F.greatest(off, c("on_idx") + 4), c("total") - 2)
+    return runs.select(c("id").cast("string").alias("series_id"), "mode", "total", "d.ord", "d.device", "on_idx", off.alias("off_idx"))
 
 
 def device_shares(plan: DataFrame, devices: DataFrame, seed: int, noise_w: float = 1.0) -> DataFrame:
-    """SHARE_SCHEMA: each running device's power at each row of its signal, with normal noise."""
-    of = plan.join(devices.select("ord", "P", "Q", "thd_i"), "ord")
+    """series_id, ord, idx, p, q, i, thd: each running device's power at each row of its signal, with normal noise."""
+    rows = plan.select("series_id", "ord", "on_idx", "off_idx").join(devices.select("ord", "P", "Q", "thd_i"), "ord").withColumn("idx", F.explode(F.sequence("on_idx", F.col("off_idx") - 1)))
+    at = lambda name: (F.lit(seed), "series_id", "ord", "idx", F.lit(name))
+    return rows.select("series_id", "ord", "idx", normal(F.col("P"), noise_w, *at("p")).alias("p"), normal(F.col("Q"), noise_w, *at("q")).alias("q"), (F.hypot("P", "Q") / VOLTS).alias("i"), F.col("thd_i").alias("thd"))
 
-    def make(batches):
-        for batch in batches:
-            for d in batch.itertuples():
-                rng = np.random.default_rng([seed, int(d.series_id), int(d.ord)])
-                n = d.off_idx - d.on_idx
-                yield pd.DataFrame({"series_id": d.series_id, "ord": d.ord, "idx": np.arange(d.on_idx, d.off_idx), "p": rng.normal(d.P, noise_w, n), "q": rng.normal(d.Q, noise_w, n), "i": np.hypot(d.P, d.Q) / VOLTS, "thd": d.thd_i})
 
-    return of.mapInPandas(make, SHARE_SCHEMA)
+def sampled(files: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """n rows of each device, drawn without replacement by the hash of (seed, path). files: device, path."""
+    by = Window.partitionBy("device").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path")
+    return files.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).drop("_n")
 
 
 def summed(plan: DataFrame, shares: DataFrame) -> DataFrame:

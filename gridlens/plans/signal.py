@@ -31,17 +31,31 @@ METER = """meter AS (
          CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) - 50 AS DOUBLE) AS q
   FROM events),
 len AS (SELECT series_id, count(*) AS n FROM meter GROUP BY series_id)"""
-SMOOTH = """sm AS (SELECT *, sum(p) OVER w / 3 AS ps, sum(q) OVER w / 3 AS qs FROM meter
-  WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
-NOISE = """no0 AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN stddev_samp(p - ps) OVER w END AS raw FROM sm
-  WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-no AS (SELECT *, coalesce(first_value(raw IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+
+
+def _smooth(width: int) -> str:
+    h = width // 2
+    return f"""sm AS (SELECT *, sum(p) OVER w / {width} AS ps, sum(q) OVER w / {width} AS qs FROM meter
+  WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING))"""
+
+
+def _noise(k: int) -> str:
+    ahead = (k - 1) // 2
+    return f"""no0 AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN stddev_samp(p - ps) OVER w END AS raw FROM sm
+  WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {k - 1 - ahead} PRECEDING AND {ahead} FOLLOWING)),
+  no AS (SELECT *, coalesce(first_value(raw IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
                           last_value(raw IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS noise FROM no0)"""
-DIFF = """di AS (
-  SELECT no.*, n, CASE WHEN idx >= 3 AND idx < n - 3 THEN avg(ps) OVER a - avg(ps) OVER b ELSE 0 END AS diff_p,
-         CASE WHEN idx >= 3 AND idx < n - 3 THEN avg(qs) OVER a - avg(qs) OVER b ELSE 0 END AS diff_q, noise * sqrt(2.0 / 3) AS diff_noise
+
+
+def _diff(w: int) -> str:
+    return f"""di AS (
+  SELECT no.*, n, CASE WHEN idx >= {w} AND idx < n - {w} THEN avg(ps) OVER a - avg(ps) OVER b ELSE 0 END AS diff_p,
+         CASE WHEN idx >= {w} AND idx < n - {w} THEN avg(qs) OVER a - avg(qs) OVER b ELSE 0 END AS diff_q, noise * sqrt(2.0 / {w}) AS diff_noise
   FROM no JOIN len USING (series_id)
-  WINDOW a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
+  WINDOW a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING), b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING))"""
+
+
+SMOOTH, NOISE, DIFF = _smooth(3), _noise(5), _diff(3)
 REGION_CTE = f"""{METER}, {SMOOTH},
 base AS (SELECT series_id, median(p) AS baseline_w, greatest(1.0 * stddev_pop(p), 3.0) AS threshold FROM meter WHERE idx < 3 GROUP BY series_id),
 ab AS (SELECT sm.series_id, idx FROM sm JOIN base USING (series_id) WHERE abs(ps - baseline_w) > threshold),
@@ -51,24 +65,32 @@ re AS (SELECT series_id, min(idx) AS on_idx, max(idx) AS off_idx FROM ru GROUP B
 regions AS (SELECT re.*, a.t_sec AS on_t, b.t_sec AS off_t, baseline_w, 1 AS sps
   FROM re JOIN meter a ON a.series_id = re.series_id AND a.idx = on_idx JOIN meter b ON b.series_id = re.series_id AND b.idx = off_idx JOIN base ON base.series_id = re.series_id),
 longest AS (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY off_idx - on_idx DESC, on_idx) = 1)"""
-STEP_CTE = f"""{METER}, {SMOOTH}, {NOISE}, {DIFF},
+
+
+def step_cte(source: str, rules: steps.StepRules) -> str:
+    """CTEs down to `steps` over a CTE `meter` (and `len`) that `source` defines."""
+    w, width, k = rules.w, windows.odd_width(rules.smooth_s, rules.sps), int(rules.noise_s * rules.sps)
+    return f"""{source}, {_smooth(width)}, {_noise(k)}, {_diff(w)},
 ma AS (SELECT *, sqrt(diff_p * diff_p + diff_q * diff_q) AS force FROM di
-  WHERE idx >= 3 AND idx < n - 3 AND (abs(diff_p) >= greatest(5.0, coalesce(diff_noise, 0)) OR abs(diff_q) >= 40.0)),
+  WHERE idx >= {w} AND idx < n - {w} AND (abs(diff_p) >= greatest({rules.floor_w}, {rules.k_noise} * coalesce(diff_noise, 0)) OR abs(diff_q) >= {rules.q_floor})),
 gr AS (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ma),
 ks AS (SELECT series_id, idx AS k, n FROM gr QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY force DESC, idx) = 1),
 lv AS (
-  SELECT ks.series_id, k, any_value(n) AS n, median(m.p) FILTER (WHERE idx < k AND idx >= k - 3) AS p_before, median(m.p) FILTER (WHERE idx >= k AND idx < k + 3) AS p_after,
-         median(m.q) FILTER (WHERE idx < k AND idx >= k - 3) AS q_before, median(m.q) FILTER (WHERE idx >= k AND idx < k + 3) AS q_after,
-         median(m.p) FILTER (WHERE idx >= k + 3 AND idx < k + 6) AS later
-  FROM ks JOIN meter m ON m.series_id = ks.series_id AND m.idx BETWEEN k - 6 AND k + 5 GROUP BY ks.series_id, k),
+  SELECT ks.series_id, k, any_value(n) AS n, median(m.p) FILTER (WHERE idx < k AND idx >= k - {w}) AS p_before, median(m.p) FILTER (WHERE idx >= k AND idx < k + {w}) AS p_after,
+         median(m.q) FILTER (WHERE idx < k AND idx >= k - {w}) AS q_before, median(m.q) FILTER (WHERE idx >= k AND idx < k + {w}) AS q_after,
+         median(m.p) FILTER (WHERE idx >= k + {w} AND idx < k + {2 * w}) AS later
+  FROM ks JOIN meter m ON m.series_id = ks.series_id AND m.idx BETWEEN k - {2 * w} AND k + {2 * w - 1} GROUP BY ks.series_id, k),
 ld AS (SELECT *, p_after - p_before AS delta_p, q_after - q_before AS delta_q FROM lv),
 onset AS (
-  SELECT ld.series_id, k, max(idx) FILTER (WHERE idx > greatest(k - 6, 0) AND idx <= k AND abs(delta_p) > 1e-6 AND (m.p - p_before) / delta_p < 0.5) AS began
-  FROM ld JOIN meter m ON m.series_id = ld.series_id AND m.idx BETWEEN k - 6 AND k GROUP BY ld.series_id, k),
-so AS (SELECT ld.*, CASE WHEN abs(delta_p) > 1e-6 THEN coalesce(began, greatest(k - 3, 0)) ELSE k END AS idx FROM ld JOIN onset USING (series_id, k)),
+  SELECT ld.series_id, k, max(idx) FILTER (WHERE idx > greatest(k - {2 * w}, 0) AND idx <= k AND abs(delta_p) > 1e-6 AND (m.p - p_before) / delta_p < 0.5) AS began
+  FROM ld JOIN meter m ON m.series_id = ld.series_id AND m.idx BETWEEN k - {2 * w} AND k GROUP BY ld.series_id, k),
+so AS (SELECT ld.*, CASE WHEN abs(delta_p) > 1e-6 THEN coalesce(began, greatest(k - {w}, 0)) ELSE k END AS idx FROM ld JOIN onset USING (series_id, k)),
 steps AS (
   SELECT so.series_id, so.idx, m.t_sec, delta_p, delta_q, p_before, p_after FROM so JOIN meter m ON m.series_id = so.series_id AND m.idx = so.idx
-  WHERE (abs(delta_p) >= 5 OR abs(delta_q) >= 40) AND NOT (k + 6 <= n AND abs(delta_p) > 1e-6 AND abs(later - p_after) > 0.5 * abs(delta_p)))"""
+  WHERE (abs(delta_p) >= {rules.floor_w} OR abs(delta_q) >= {rules.q_floor}) AND NOT (k + {2 * w} <= n AND abs(delta_p) > 1e-6 AND abs(later - p_after) > {rules.sustain} * abs(delta_p)))"""
+
+
+STEP_CTE = step_cte(METER, STEPS)
 
 
 def _r(*names: str) -> str:
@@ -151,8 +173,8 @@ def band_check(spark, sf_dir):
 
 
 def settled_window(spark, sf_dir):
-    out = windows.settled_windows(meter(spark, sf_dir), seconds=7200)
-    return rounded(out.select("series_id", "idx", "p_std", "s_std"), "p_std", "s_std")
+    out = windows.settled_windows(meter(spark, sf_dir), seconds=7200, share=0.2)
+    return rounded(out.select("series_id", "idx", "p_std", "s_std", "settled"), "p_std", "s_std")
 
 
 def downsample_stride(spark, sf_dir):
@@ -218,7 +240,8 @@ e AS (SELECT device, feature, u, avg(value) AS m, stddev_samp(value) AS s FROM l
 k AS (SELECT device, feature, CASE WHEN count(*) >= 20 THEN quantile_cont(m, 0.05) END AS a, CASE WHEN count(*) >= 20 THEN quantile_cont(m, 0.95) END AS b, CASE WHEN count(*) >= 20 THEN quantile_cont(s, 0.05) END AS c, CASE WHEN count(*) >= 20 THEN quantile_cont(s, 0.95) END AS d FROM e GROUP BY ALL)
 SELECT device, feature, {_r('real_mean', 'real_std')}, round(a, 6) + 0.0 AS synth_mean_p05, round(b, 6) + 0.0 AS synth_mean_p95, round(c, 6) + 0.0 AS synth_std_p05, round(d, 6) + 0.0 AS synth_std_p95,
   coalesce(real_mean BETWEEN a AND b, false) AS mean_pass, coalesce(real_std BETWEEN c AND d, false) AS noise_pass, feature = 'pf' AS informational FROM o LEFT JOIN k USING (device, feature)""",
-    "settled_window": f"""WITH {METER} SELECT series_id, idx, round(stddev_pop(p) OVER w, 6) + 0.0 AS p_std, round(stddev_pop(sqrt(p*p + q*q)) OVER w, 6) + 0.0 AS s_std FROM meter
+    "settled_window": f"""WITH {METER} SELECT series_id, idx, round(stddev_pop(p) OVER w, 6) + 0.0 AS p_std, round(stddev_pop(sqrt(p*p + q*q)) OVER w, 6) + 0.0 AS s_std,
+  stddev_pop(p) OVER w <= greatest(1.5, 0.2 * greatest(abs(avg(p) OVER w), 1.0)) OR stddev_pop(sqrt(p*p + q*q)) OVER w <= greatest(1.5, 0.2 * greatest(abs(avg(sqrt(p*p + q*q)) OVER w), 1.0)) AS settled FROM meter
   WINDOW w AS (PARTITION BY series_id ORDER BY t_sec RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)""",
     "downsample_stride": f"WITH {METER} SELECT series_id, idx, p FROM meter JOIN len USING (series_id) WHERE idx % CAST(ceil(n / 20) AS BIGINT) = 0",
     "segments_by_event": f"WITH {STEP_CTE} SELECT m.series_id, m.idx, (SELECT count(*) FROM steps s WHERE s.series_id = m.series_id AND s.t_sec < m.t_sec) AS segment_no FROM meter m",
