@@ -41,6 +41,17 @@ def precision_recall(matches: DataFrame, detected: DataFrame, truth: DataFrame)
     return one.withColumns({"precision": share("detected"), "recall": share("truth")})
 
 
+def scores_by(matches: DataFrame, detected: DataFrame, truth: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """precision_recall of each group of signals, `by` being a column of groups (series_id, by)."""
+    n = lambda df, name: df.join(groups, "series_id").groupBy(by).agg(F.count("*").alias(name))
+    each = groups.select(by).distinct()
+    for df, name in ((matches, "matched"), (detected, "detected"), (truth, "truth")):
+        each = each.join(n(df, name), by, "left")
+    each = each.na.fill(0, ["matched", "detected", "truth"])
+    share = lambda c: F.coalesce(F.try_divide("matched", c), F.lit(0.0))
+    return each.withColumns({"precision": share("detected"), "recall": share("truth")})
+
+
 def _asof(left: DataFrame, right: DataFrame, value: str, forward: bool) -> DataFrame:
     """left (series_id, t, ...) with the value of right (series_id, t, value) at the last t before or at
     each t, or the first at or after it. One sort of the union, no row pairs."""

@@ -138,23 +138,6 @@ def advance(site: Site, on: set, dp: float, dq: float, classify=None):
     return on - gone, unknown
 
 
-def confirm_variable(site: Site, chosen: str, powers: list, distortions: list, p_tol: float = 2.0, thd_tol: float = 12.0) -> str:
-    """`chosen`, unless the seconds after its step wander as only a varying device does: then the first
-    varying device whose bands hold what was seen."""
-    ps = sorted(x for x in powers if x is not None and math.isfinite(x))
-    ts = sorted(x for x in distortions or [] if x is not None and math.isfinite(x))
-    if site.named.get(chosen, {"varies": False})["varies"] or len(ps) < 3:
-        return chosen
-    if ps[-1] - ps[0] <= p_tol and (len(ts) < 3 or ts[-1] - ts[0] <= thd_tol):
-        return chosen
-    middle = lambda s: (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
-    fits = lambda lo, hi, x, tol: lo is None or lo - tol <= x <= hi + tol
-    for d in site.rows:
-        if d["varies"] and fits(d["p_lo"], d["p_hi"], middle(ps), p_tol) and (not ts or fits(d["thd_lo"], d["thd_hi"], middle(ts), thd_tol)):
-            return d["device"]
-    return chosen
-
-
 def site_of(devices: DataFrame, rules: Rules = Rules(), most: int = 1000) -> Site:
     """The device table for use inside tasks. It is a site's; its size is checked."""
     rows = devices.limit(most + 1).collect()
@@ -167,31 +150,38 @@ def timelines(steps: DataFrame, devices: DataFrame, rules: Rules = Rules(), star
     """TIMELINE_SCHEMA: after every step of a series the sorted running set, and the residual where the
     step was no known load.
 
-    steps: series_id, t_sec, delta_p, delta_q. start: (series_id, step_no, active) to go on from.
+    steps: series_id, t_sec, delta_p, delta_q and optionally `said`, a classifier's device for the step, which
+    settles near-ties of single devices. start: (series_id, step_no, active) to go on from.
     """
     site = site_of(devices, rules)
+    cols = ["t_sec", "delta_p", "delta_q", "said"]
+    steps = steps if "said" in steps.columns else steps.withColumn("said", F.lit(None).cast("string"))
 
     def run(key, rows, before=None):
         on = set(before["active"].iloc[0]) if before is not None and len(before) else set()
         at = int(before["step_no"].iloc[0]) if before is not None and len(before) else 0
         out = []
-        for t, dp, dq in rows.sort_values(["t_sec", "delta_p", "delta_q"])[["t_sec", "delta_p", "delta_q"]].itertuples(index=False):
-            on, unknown = advance(site, on, dp, dq)
+        for t, dp, dq, said in rows.sort_values(cols[:3])[cols].itertuples(index=False):
+            on, unknown = advance(site, on, dp, dq, classify=lambda p, q, said=said: said)
             at += 1
             out.append((key[0], at, t, sorted(on), unknown))
         return pd.DataFrame(out, columns=["series_id", "step_no", "t_sec", "active", "unknown_residual"])
 
-    slim = steps.select("series_id", "t_sec", "delta_p", "delta_q").groupBy("series_id")
+    slim = steps.select("series_id", *cols).groupBy("series_id")
     if start is None:
         return slim.applyInPandas(lambda key, rows: run(key, rows), TIMELINE_SCHEMA)
     return slim.cogroup(start.select("series_id", "step_no", "active").groupBy("series_id")).applyInPandas(lambda key, rows, before: run(key, rows, before), TIMELINE_SCHEMA)
 
 
-def switch_events(timeline: DataFrame) -> DataFrame:
-    """(series_id, t_sec, device, kind): what each step turned on or off."""
+def switch_events(timeline: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(series_id, t_sec, device, kind): what each step turned on or off. before: (series_id, active) that ran
+    ahead of the first step."""
     from pyspark.sql import Window
 
-    was = F.coalesce(F.lag("active").over(Window.partitionBy("series_id").orderBy("step_no")), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    if before is not None:
+        timeline = timeline.join(before.select("series_id", F.col("active").alias("ran")), "series_id", "left")
+    was = F.coalesce(F.lag("active").over(Window.partitionBy("series_id").orderBy("step_no")), F.coalesce("ran", none) if before is not None else none)
     diff = timeline.withColumn("was", was)
     named = lambda a, b, kind: F.transform(F.array_except(a, b), lambda d: F.struct(d.alias("device"), F.lit(kind).alias("kind")))
     return diff.select("series_id", "t_sec", F.explode(F.concat(named("active", "was", "on"), named("was", "active", "off"))).alias("e")).select("series_id", "t_sec", "e.*")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import describe_load as described
 from ..operators import calibration, evaluation, matching, steps, synthesis, tracker
 from ..schema import devices, devices_sql
-from .signal import METER, STEP_CTE, STEPS, meter, rounded
+from ..streaming import live
+from .signal import METER, STEP_CTE, STEPS, meter, rounded, step_cte
 
 #: Devices that a recording of the event table is taken to switch, in order.
 ORDER_LENGTH = 5
-SIGNALS = 24
 
 
 def _steps(spark, sf_dir):
@@ -45,7 +45,7 @@ def novel_steps(spark, sf_dir):
 def standing_load(spark, sf_dir):
     levels = matching.snapshots(meter(spark, sf_dir))
     out = matching.standing_loads(levels, devices(spark))
-    return rounded(out.select("series_id", "P_now", "Q_now", "idle", F.concat_ws("+", "best").alias("best"), "residual", "confidence", "single"), "P_now", "Q_now", "residual")
+    return rounded(out.select("series_id", "P_now", "Q_now", "idle", F.concat_ws("+", "best").alias("best"), "residual", "confidence", "single", F.concat_ws("+", "alternatives").alias("alternatives"), "note"), "P_now", "Q_now", "residual")
 
 
 def _order(spark, found):
@@ -65,94 +65,165 @@ def apply_calibration(spark, sf_dir):
     return rounded(out.select("device", "ord", "P", "Q", "family", "varies", "calibrated"), "P", "Q")
 
 
-def _plan(spark):
-    """Switching of SIGNALS signals by a rule that SQL can repeat: three devices each, staggered."""
+def _plan(spark, sf_dir):
+    """Switching of one signal per supplier, by a rule that SQL can repeat: three devices each, staggered
+    for even suppliers and at one time for odd ones."""
     s, k = F.col("s"), F.col("k")
-    base = spark.range(SIGNALS).select(F.col("id").alias("s")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    base = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("s")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     ord_ = ((s * 5 + k * (s % 3 + 1)) % 13).cast("int")
-    return base.select(F.col("s").cast("string").alias("series_id"), F.lit("sequential").alias("mode"), F.lit(370).alias("total"), ord_.alias("ord"), (50 + k * 70 + s % 7).cast("int").alias("on_idx"), (250 + k * 30 + s % 5).cast("int").alias("off_idx")).join(devices(spark).select("ord", "device"), "ord")
+    odd = s % 2 == 1
+    on = F.when(odd, 120 + s % 7).otherwise(50 + k * 70 + s % 7).cast("int")
+    off = F.when(odd, 280 + s % 5).otherwise(250 + k * 30 + s % 5).cast("int")
+    mode = F.when(odd, "simultaneous").otherwise("sequential")
+    return base.select(s.cast("string").alias("series_id"), mode.alias("mode"), F.lit(370).alias("total"), ord_.alias("ord"), on.alias("on_idx"), off.alias("off_idx")).join(devices(spark).select("ord", "device"), "ord")
 
 
-def _shares(spark):
-    runs = _plan(spark).join(devices(spark).select("ord", "P", "Q", "thd_i"), "ord").withColumn("idx", F.explode(F.sequence("on_idx", F.col("off_idx") - 1)))
+def _shares(spark, sf_dir):
+    runs = _plan(spark, sf_dir).join(devices(spark).select("ord", "P", "Q", "thd_i"), "ord").withColumn("idx", F.explode(F.sequence("on_idx", F.col("off_idx") - 1)))
     noise = ((F.col("idx") * 37 + F.col("ord") * 11) % 100) / 100.0 - 0.5
     return runs.select("series_id", "ord", "idx", (F.col("P") + noise).alias("p"), (F.col("Q") + noise / 2).alias("q"), (F.hypot("P", "Q") / 230.0).alias("i"), F.col("thd_i").alias("thd"))
 
 
+def _signals(spark, sf_dir):
+    return synthesis.summed(_plan(spark, sf_dir), _shares(spark, sf_dir))
+
+
 def sum_signal(spark, sf_dir):
-    return rounded(synthesis.summed(_plan(spark), _shares(spark)), "t_sec", "p", "q", "thd", "s", "i", "pf")
+    return rounded(_signals(spark, sf_dir), "t_sec", "p", "q", "thd", "s", "i", "pf")
 
 
 def truth_events(spark, sf_dir):
-    return rounded(synthesis.truth_events(_plan(spark), devices(spark)), "t_sec", "delta_p", "delta_q")
+    return rounded(synthesis.truth_events(_plan(spark, sf_dir), devices(spark)), "t_sec", "delta_p", "delta_q")
 
 
 def active_long(spark, sf_dir):
-    return synthesis.active_sets(_plan(spark)).select("series_id", F.round("t", 6).alias("t"), F.concat_ws("+", "active").alias("active"))
+    return synthesis.active_sets(_plan(spark, sf_dir)).select("series_id", F.round("t", 6).alias("t"), F.concat_ws("+", "active").alias("active"))
+
+
+def synthetic_steps(spark, sf_dir):
+    """Steps of the summed signals, five rows a second, by the detector's own defaults."""
+    found = steps.detect_steps(_signals(spark, sf_dir)).drop("thd_i_after")
+    return rounded(found, "t_sec", "delta_p", "delta_q", "p_before", "p_after")
+
 
+def _timeline(spark, sf_dir):
+    return tracker.timelines(steps.detect_steps(_signals(spark, sf_dir)), devices(spark))
 
-def _timeline(spark):
-    found = steps.detect_steps(synthesis.summed(_plan(spark), _shares(spark)))
-    return tracker.timelines(found, devices(spark))
+
+def _shown(timeline):
+    return rounded(timeline.withColumn("active", F.concat_ws("+", "active")), "t_sec", "unknown_residual")
 
 
 def tracker_timeline(spark, sf_dir):
-    found = _steps(spark, sf_dir)
-    out = tracker.timelines(found, devices(spark))
-    return rounded(out.withColumn("active", F.concat_ws("+", "active")), "t_sec", "unknown_residual")
+    return _shown(tracker.timelines(_steps(spark, sf_dir), devices(spark)))
 
 
 def synthetic_timeline(spark, sf_dir):
-    return rounded(_timeline(spark).withColumn("active", F.concat_ws("+", "active")), "t_sec", "unknown_residual")
+    return _shown(_timeline(spark, sf_dir))
+
+
+def switch_events(spark, sf_dir):
+    """What each step of the summed signals turned on or off."""
+    return rounded(tracker.switch_events(_timeline(spark, sf_dir)), "t_sec")
+
+
+#: What makes live steps equal to a batch's: all rows are kept, and a step is final once all rows that bear on it are in.
+WHOLE = live.LiveRules(confirm_s=20.0, keep_s=1e9)
+
+
+def _session(spark, sf_dir):
+    session = live.Live(spark, live.new_folder(spark), devices(spark), WHOLE, seed=False)
+    live.replay(_signals(spark, sf_dir), session, batches=3)
+    return session
+
+
+def stream_steps(spark, sf_dir):
+    """The summed signals through a live session, three micro-batches."""
+    return rounded(_session(spark, sf_dir).steps().drop("thd_i_after"), "t_sec", "delta_p", "delta_q", "p_before", "p_after")
+
+
+def stream_tracker(spark, sf_dir):
+    return _shown(_session(spark, sf_dir).timeline())
+
+
+def stream_latest(spark, sf_dir):
+    """Each signal's running set after its last micro-batch."""
+    return rounded(_session(spark, sf_dir).latest(2).withColumn("active", F.concat_ws("+", "active")), "last_t")
+
 
+def _checks(spark, sf_dir):
+    return _plan(spark, sf_dir).select("series_id", F.explode(F.array("on_idx", "off_idx")).alias("at")).distinct().select("series_id", (F.col("at") / 5).alias("t"))
 
-def _checks(spark):
-    return _plan(spark).select("series_id", F.explode(F.array("on_idx", "off_idx")).alias("at")).distinct().select("series_id", (F.col("at") / 5).alias("t"))
+
+def _truth_at(spark, sf_dir):
+    later = _checks(spark, sf_dir).withColumn("t", F.col("t") + 0.5)
+    return evaluation.active_at(later, synthesis.active_sets(_plan(spark, sf_dir)))
 
 
 def asof_truth(spark, sf_dir):
-    later = _checks(spark).withColumn("t", F.col("t") + 0.5)
-    return evaluation.active_at(later, synthesis.active_sets(_plan(spark))).select("series_id", F.round("t", 6).alias("t"), F.concat_ws("+", "active").alias("active"))
+    return _truth_at(spark, sf_dir).select("series_id", F.round("t", 6).alias("t"), F.concat_ws("+", "active").alias("active"))
 
 
-def _ideal(spark):
+def _ideal(spark, sf_dir):
     """A timeline that follows the truth one second late."""
     at = F.explode(F.array("on_idx", "off_idx")).alias("at")
-    times = _plan(spark).select("series_id", at).distinct().withColumn("t", F.col("at") / 5)
-    sets = evaluation.active_at(times.select("series_id", "t"), synthesis.active_sets(_plan(spark)))
+    times = _plan(spark, sf_dir).select("series_id", at).distinct().withColumn("t", F.col("at") / 5)
+    sets = evaluation.active_at(times.select("series_id", "t"), synthesis.active_sets(_plan(spark, sf_dir)))
     return sets.select("series_id", F.lit(1).alias("step_no"), (F.col("t") + 1.0).alias("t_sec"), "active")
 
 
 def asof_pred(spark, sf_dir):
-    out = evaluation.predicted_at(_checks(spark), _ideal(spark))
+    out = evaluation.predicted_at(_checks(spark, sf_dir), _ideal(spark, sf_dir))
     return out.select("series_id", F.round("t", 6).alias("t"), F.concat_ws("+", "predicted").alias("predicted"))
 
 
-def jaccard_eval(spark, sf_dir):
-    truth = evaluation.active_at(_checks(spark).withColumn("t", F.col("t") + 0.5), synthesis.active_sets(_plan(spark))).withColumn("t", F.round(F.col("t") - 0.5, 6))
-    said = evaluation.predicted_at(_checks(spark), _ideal(spark)).withColumn("t", F.round("t", 6))
+def _scores(spark, sf_dir, timeline):
+    truth = _truth_at(spark, sf_dir).withColumn("t", F.round(F.col("t") - 0.5, 6))
+    said = evaluation.predicted_at(_checks(spark, sf_dir), timeline).withColumn("t", F.round("t", 6))
     return rounded(evaluation.set_scores(truth.join(said, ["series_id", "t"])), "jaccard", "exact_set_rate")
 
 
+def jaccard_eval(spark, sf_dir):
+    return _scores(spark, sf_dir, _ideal(spark, sf_dir))
+
+
 def tracker_eval(spark, sf_dir):
-    truth = evaluation.active_at(_checks(spark).withColumn("t", F.col("t") + 0.5), synthesis.active_sets(_plan(spark))).withColumn("t", F.round(F.col("t") - 0.5, 6))
-    said = evaluation.predicted_at(_checks(spark), _timeline(spark)).withColumn("t", F.round("t", 6))
-    return rounded(evaluation.set_scores(truth.join(said, ["series_id", "t"])), "jaccard", "exact_set_rate")
+    return _scores(spark, sf_dir, _timeline(spark, sf_dir))
 
 
-def greedy_match(spark, sf_dir):
+def _numbered(spark, sf_dir):
+    """Detected steps and true events of the summed signals, numbered in their order."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy("series_id").orderBy("t_sec", "delta_p")
-    found = steps.detect_steps(synthesis.summed(_plan(spark), _shares(spark))).withColumn("no", F.row_number().over(by))
-    truth = synthesis.truth_events(_plan(spark), devices(spark)).withColumn("no", F.row_number().over(by))
-    return rounded(evaluation.match_to_truth(found, truth), "dt")
+    found = steps.detect_steps(_signals(spark, sf_dir))
+    found = found.withColumn("no", F.row_number().over(Window.partitionBy("series_id").orderBy("t_sec", "delta_p")))
+    truth = synthesis.truth_events(_plan(spark, sf_dir), devices(spark))
+    return found, truth.withColumn("no", F.row_number().over(Window.partitionBy("series_id").orderBy("t_sec", "delta_p", "device")))
+
+
+def greedy_match(spark, sf_dir):
+    return rounded(evaluation.match_to_truth(*_numbered(spark, sf_dir)), "dt")
+
+
+def step_scores(spark, sf_dir):
+    """Precision and recall of detected steps by mode of the signal."""
+    found, truth = _numbered(spark, sf_dir)
+    modes = _plan(spark, sf_dir).select("series_id", "mode").distinct()
+    return rounded(evaluation.scores_by(evaluation.match_to_truth(found, truth), found, truth, modes, "mode"), "precision", "recall")
+
+
+def sample_runs(spark, sf_dir):
+    """Five suppliers of each nation, drawn without replacement."""
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("device"), F.col("s_suppkey").cast("string").alias("path"))
+    return synthesis.sampled(files, 5, 42)
 
 
 QUERIES = {
     "describe_load": describe_load, "nearest_device": nearest_device, "nearest_k": nearest_k, "match_combo": match_combo, "novel_steps": novel_steps, "standing_load": standing_load,
     "calibrate_zip": calibrate_zip, "apply_calibration": apply_calibration, "sum_signal": sum_signal, "truth_events": truth_events, "active_long": active_long,
-    "tracker_timeline": tracker_timeline, "synthetic_timeline": synthetic_timeline, "asof_truth": asof_truth, "asof_pred": asof_pred, "jaccard_eval": jaccard_eval, "tracker_eval": tracker_eval, "greedy_match": greedy_match,
+    "tracker_timeline": tracker_timeline, "synthetic_steps": synthetic_steps, "synthetic_timeline": synthetic_timeline, "switch_events": switch_events, "asof_truth": asof_truth, "asof_pred": asof_pred,
+    "jaccard_eval": jaccard_eval, "tracker_eval": tracker_eval, "greedy_match": greedy_match, "step_scores": step_scores, "sample_runs": sample_runs,
+    "stream_steps": stream_steps, "stream_tracker": stream_tracker, "stream_latest": stream_latest,
 }
 
 DEV = devices_sql()
@@ -185,14 +256,72 @@ ons AS (SELECT series_id, pos, device, abs(delta_p) AS P, delta_q AS Q FROM n1 J
 offs AS (SELECT device, abs(delta_p) AS P, -delta_q AS Q FROM n0 JOIN ons USING (series_id)
   QUALIFY row_number() OVER (PARTITION BY series_id, off_no ORDER BY abs(ons.P - abs(delta_p)), pos) = 1),
 ca AS (SELECT device, avg(P) AS P, avg(Q) AS Q, count(*) AS n_obs FROM (SELECT device, P, Q FROM ons UNION ALL SELECT device, P, Q FROM offs) GROUP BY device)"""
-_PLAN = f"""{DEV}, pl0 AS (SELECT s, k, (s * 5 + k * (s % 3 + 1)) % 13 AS ord, 50 + k * 70 + s % 7 AS on_idx, 250 + k * 30 + s % 5 AS off_idx FROM range({SIGNALS}) a(s), range(3) b(k)),
-pl AS (SELECT CAST(s AS VARCHAR) AS series_id, pl0.ord, device, on_idx, off_idx, dev.P, dev.Q, dev.thd_i FROM pl0 JOIN dev USING (ord)),
+_PLAN = f"""{DEV}, pl0 AS (SELECT s_suppkey AS s, k, CAST((s_suppkey * 5 + k * (s_suppkey % 3 + 1)) % 13 AS INTEGER) AS ord, CASE WHEN s % 2 = 1 THEN 120 + s % 7 ELSE 50 + k * 70 + s % 7 END AS on_idx,
+  CASE WHEN s % 2 = 1 THEN 280 + s % 5 ELSE 250 + k * 30 + s % 5 END AS off_idx, CASE WHEN s % 2 = 1 THEN 'simultaneous' ELSE 'sequential' END AS mode FROM supplier, range(3) b(k)),
+pl AS (SELECT CAST(s AS VARCHAR) AS series_id, pl0.ord, device, mode, on_idx, off_idx, dev.P, dev.Q, dev.thd_i FROM pl0 JOIN dev USING (ord)),
 ev AS (SELECT DISTINCT series_id FROM pl), gr AS (SELECT series_id, i AS idx FROM ev, range(370) r(i)),
 ac AS (SELECT gr.series_id, gr.idx, gr.idx / 5 AS t, coalesce(list(DISTINCT device ORDER BY device) FILTER (device IS NOT NULL), []) AS active FROM gr LEFT JOIN pl ON pl.series_id = gr.series_id AND gr.idx >= on_idx AND gr.idx < off_idx GROUP BY ALL),
 ck AS (SELECT DISTINCT series_id, tick / 5 AS t FROM (SELECT series_id, on_idx AS tick FROM pl UNION ALL SELECT series_id, off_idx FROM pl))"""
 _ASOF = """tru AS (SELECT ck.series_id, ck.t, arg_min(active, ac.t) AS active FROM ck JOIN ac ON ac.series_id = ck.series_id AND ac.t >= {shift} GROUP BY ALL)"""
 _IDEAL = f"""{_ASOF.format(shift='ck.t').replace('tru AS', 'now AS')}, tl AS (SELECT series_id, t + 1.0 AS t_sec, active FROM now),
 pr AS (SELECT ck.series_id, ck.t, coalesce(arg_max(active, t_sec), []) AS predicted FROM ck LEFT JOIN tl ON tl.series_id = ck.series_id AND t_sec <= ck.t + 0.5 GROUP BY ALL)"""
+_SUMMED = f"""{_PLAN}, sh AS (SELECT pl.series_id, idx, pl.P + (((idx * 37 + ord * 11) % 100) / 100.0 - 0.5) AS p, pl.Q + (((idx * 37 + ord * 11) % 100) / 100.0 - 0.5) / 2 AS q, sqrt(pl.P*pl.P + pl.Q*pl.Q) / 230.0 AS i, thd_i
+  FROM pl JOIN gr ON gr.series_id = pl.series_id AND idx >= on_idx AND idx < off_idx),
+su AS (SELECT series_id, idx, sum(p) AS p, sum(q) AS q, sum(thd_i * i) AS ti, sum(i) AS ii FROM sh GROUP BY ALL),
+al AS (SELECT gr.series_id, gr.idx, coalesce(p, 0) AS p, coalesce(q, 0) AS q, ti, ii FROM gr LEFT JOIN su ON su.series_id = gr.series_id AND su.idx = gr.idx),
+meter AS (SELECT series_id, idx, idx / 5 AS t_sec, p, q FROM al), len AS (SELECT series_id, count(*) AS n FROM meter GROUP BY series_id)"""
+_SYNTH = step_cte(_SUMMED, steps.StepRules())
+#: The tracker's rules over lists of devices (fields of dl: o, P, Q, f, v, lo, hi, g), sets of ords and one step at a time.
+_D = lambda p, q, d="x": f"sqrt(({d}.P - {p}) * ({d}.P - {p}) + ({d}.Q - {q}) * ({d}.Q - {q}))"
+_EP = "CASE WHEN x.v AND x.lo IS NOT NULL THEN CASE WHEN {p} BETWEEN x.lo AND x.hi THEN 0 ELSE least(abs({p} - x.lo), abs({p} - x.hi)) END ELSE {p} - x.P END"
+_TURN = "CASE WHEN list_contains(ons, x.o) THEN -{c} ELSE {c} END"
+_GEN = f"sqrt(power({_EP.format(p='(' + _TURN.format(c='dp') + ')')}, 2) + power({_TURN.format(c='dq')} - x.Q, 2))"
+_TRACK = f"""mv0 AS (SELECT list({{'a': a.ord, 'b': b.ord, 'P': b.P - a.P, 'Q': b.Q - a.Q}}) AS ml FROM dev a JOIN dev b ON a.family = b.family AND a.ord <> b.ord),
+dl0 AS (SELECT list({{'o': ord, 'P': P, 'Q': Q, 'f': family, 'v': varies, 'lo': p_lo, 'hi': p_hi, 'g': generator OR P < 0, 'n': device}} ORDER BY ord) AS dl FROM dev),
+pr0 AS (SELECT list({{'a': a.ord, 'b': b.ord, 'P': a.P + b.P, 'Q': a.Q + b.Q, 'm': least(sqrt(a.P*a.P + a.Q*a.Q), sqrt(b.P*b.P + b.Q*b.Q))}}) AS pl2 FROM dev a JOIN dev b ON a.ord < b.ord),
+st AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t_sec, delta_p, delta_q) AS step_no, t_sec, delta_p AS dp, delta_q AS dq, abs(delta_p) AS p, CASE WHEN delta_p >= 0 THEN delta_q ELSE -delta_q END AS q,
+  sqrt(delta_p * delta_p + delta_q * delta_q) AS size FROM steps),
+tr(series_id, step_no, t_sec, ons, unknown) AS (
+  SELECT DISTINCT series_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS INTEGER[]), CAST(NULL AS DOUBLE) FROM st
+  UNION ALL
+  SELECT series_id, step_no, t_sec, ons2, unknown FROM (
+    SELECT *, CASE WHEN kind = 'move' THEN list_distinct(list_append(list_filter(ons, lambda o: o <> mv.a), mv.b))
+                   WHEN kind = 'turn' THEN CASE WHEN list_contains(ons, tg.o) THEN list_filter(ons, lambda o: o <> tg.o) ELSE list_append(ons, tg.o) END
+                   WHEN kind = 'varies' THEN list_filter(ons, lambda o: o <> wide)
+                   WHEN kind = 'on' THEN list_filter(list_distinct(ons || said), lambda o: len(list_filter(said, lambda d: d <> o AND dl[d + 1].f = dl[o + 1].f)) = 0)
+                   ELSE list_filter(ons, lambda o: NOT list_contains(said, o)) END AS ons2,
+           CASE WHEN kind IN ('on', 'off') AND one IS NOT NULL AND judged > tol THEN judged END AS unknown
+    FROM (
+      SELECT *, CASE WHEN one IS NULL OR judged > tol THEN CAST([] AS INTEGER[]) WHEN coalesce(two.e + greatest(2.0, 0.03 * size) < one.e, false) THEN [two.a, two.b] ELSE [one.o] END AS said
+      FROM (
+        SELECT *, CASE WHEN kind = 'on' AND len(ons) = 0 THEN one.e ELSE least(one.e, coalesce(two.e, one.e)) END AS judged
+        FROM (
+          SELECT *, CASE WHEN mv IS NOT NULL AND mv.e <= greatest(8.0, 0.10 * size) THEN 'move'
+                         WHEN tg IS NOT NULL AND tg.e <= coalesce(CASE WHEN list_contains(ons, tg.o) THEN one_off.e ELSE one_run.e END, CAST('inf' AS DOUBLE)) THEN 'turn'
+                         WHEN dp >= 0 THEN 'on' WHEN one_run.e > tol AND wide IS NOT NULL THEN 'varies' ELSE 'off' END AS kind,
+                 CASE WHEN dp >= 0 THEN one_off ELSE one_run END AS one, CASE WHEN dp >= 0 THEN two_off ELSE two_run END AS two
+          FROM (
+            SELECT st.*, ons, dl, greatest(10.0, 0.18 * size) AS tol,
+              list_min(list_transform(list_filter(ml, lambda x: list_contains(ons, x.a)), lambda x: {{'e': {_D('dp', 'dq')}, 'a': x.a, 'b': x.b}})) AS mv,
+              list_min(list_transform(list_filter(dl, lambda x: x.g AND {_GEN} <= greatest(10.0, 0.18 * sqrt(x.P*x.P + x.Q*x.Q))), lambda x: {{'e': {_GEN}, 'o': x.o}})) AS tg,
+              list_min(list_transform(list_filter(dl, lambda x: NOT x.g AND NOT list_contains(ons, x.o)), lambda x: {{'e': {_D('p', 'q')}, 'o': x.o}})) AS one_off,
+              list_min(list_transform(list_filter(dl, lambda x: NOT x.g AND list_contains(ons, x.o)), lambda x: {{'e': {_D('p', 'q')}, 'o': x.o}})) AS one_run,
+              list_min(list_transform(list_filter(pl2, lambda x: x.m >= 0.10 * size AND NOT dl[x.a + 1].g AND NOT dl[x.b + 1].g AND NOT list_contains(ons, x.a) AND NOT list_contains(ons, x.b)), lambda x: {{'e': {_D('p', 'q')} + 6.0, 'a': x.a, 'b': x.b}})) AS two_off,
+              list_min(list_transform(list_filter(pl2, lambda x: x.m >= 0.10 * size AND NOT dl[x.a + 1].g AND NOT dl[x.b + 1].g AND list_contains(ons, x.a) AND list_contains(ons, x.b)), lambda x: {{'e': {_D('p', 'q')} + 6.0, 'a': x.a, 'b': x.b}})) AS two_run,
+              list_min(list_transform(list_filter(dl, lambda x: NOT x.g AND x.v AND x.lo IS NOT NULL AND list_contains(ons, x.o) AND p >= x.lo - 2.0 AND p <= x.hi + 2.0), lambda x: x.o)) AS wide
+            FROM tr JOIN st ON st.series_id = tr.series_id AND st.step_no = tr.step_no + 1, mv0, dl0, pr0)))))),
+tn AS (SELECT series_id, step_no, t_sec, list_sort(list_transform(ons, lambda o: dl[o + 1].n)) AS active, unknown FROM tr, dl0 WHERE step_no > 0)"""
+_SHOWN = "SELECT series_id, CAST(step_no AS INTEGER) AS step_no, round(t_sec, 6) + 0.0 AS t_sec, array_to_string(active, '+') AS active, round(unknown, 6) + 0.0 AS unknown_residual FROM tn"
+_GREEDY = """d AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t_sec, delta_p) AS no, t_sec, delta_p FROM steps),
+te AS (SELECT series_id, mode, on_idx / 5 AS t_sec, device, P AS delta_p FROM pl UNION ALL SELECT series_id, mode, off_idx / 5, device, -P FROM pl),
+tt AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t_sec, delta_p, device) AS no FROM te),
+tl AS (SELECT series_id, list({'no': no, 't': t_sec, 's': sign(delta_p)}) AS l FROM tt GROUP BY series_id),
+gm(series_id, no, used, hit) AS (
+  SELECT DISTINCT series_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(d DOUBLE, no BIGINT)) FROM d
+  UNION ALL
+  SELECT series_id, no, CASE WHEN best.d <= 2.0 THEN list_append(used, best.no) ELSE used END, CASE WHEN best.d <= 2.0 THEN best END FROM (
+    SELECT d.series_id, d.no, used, list_min(list_transform(list_filter(l, lambda x: x.s = sign(d.delta_p) AND NOT list_contains(used, x.no)), lambda x: {'d': abs(x.t - d.t_sec), 'no': x.no})) AS best
+    FROM gm JOIN d ON d.series_id = gm.series_id AND d.no = gm.no + 1 JOIN tl ON tl.series_id = d.series_id))"""
 ORACLE_SQL = {
     "describe_load": _described_sql(),
     "nearest_device": f"""WITH {STEP_CTE}, {DEV}, {_LOAD}, n AS (SELECT series_id, idx, device, ord, sqrt((dev.P - lp) * (dev.P - lp) + (dev.Q - lq) * (dev.Q - lq)) AS err FROM ld2, dev)
@@ -212,15 +341,17 @@ j AS (SELECT l2.*, s1.device, s1.res AS sres, c1.members, c1.res AS cres, greate
 r AS (SELECT *, CASE WHEN wins THEN cres ELSE sres END AS res FROM j)
 SELECT series_id, round(pn, 6) + 0.0 AS P_now, round(qn, 6) + 0.0 AS Q_now, idle, CASE WHEN idle OR res > tol THEN '' WHEN wins THEN array_to_string(list_sort(members), '+') ELSE device END AS best,
   round(CASE WHEN idle THEN 0 ELSE res END, 6) + 0.0 AS residual, CAST(CASE WHEN idle THEN 100 WHEN res > tol THEN 0 ELSE greatest(5, least(99, round_even(100.0 * (1.0 - res / tol), 0))) END AS INTEGER) AS confidence,
-  NOT idle AND res <= tol AND NOT wins AS single FROM r""",
+  NOT idle AND res <= tol AND NOT wins AS single,
+  CASE WHEN idle OR res > tol THEN '' ELSE coalesce((SELECT array_to_string(list(a.device ORDER BY a.score, a.ord), '+') FROM (SELECT si.*, row_number() OVER (PARTITION BY series_id ORDER BY score, ord) AS n FROM si) a WHERE a.series_id = r.series_id AND a.n BETWEEN 2 AND 4 AND a.res <= r.tol * 1.5), '') END AS alternatives,
+  CASE WHEN idle THEN 'Nothing is drawing power.' WHEN res > tol THEN 'The standing load does not match any known device or combination.'
+       WHEN wins THEN 'Several devices explain this level. Distortion cannot separate them, because it does not add up when devices run together.'
+       WHEN (SELECT varies FROM dev WHERE dev.device = r.device) THEN 'This device''s power changes while it runs, so it is recognised mainly by its current distortion rather than by how many watts it draws.'
+       ELSE 'Distortion was not available, so this rests on power alone.' END AS note FROM r""",
     "calibrate_zip": f"{_CALIB} SELECT device, round(P, 6) + 0.0 AS P, round(Q, 6) + 0.0 AS Q, n_obs FROM ca",
     "apply_calibration": f"""{_CALIB}, me AS (SELECT CASE WHEN device = 'TABLE_FAN' THEN 'NEW_FAN' ELSE device END AS device, P, Q FROM ca)
 SELECT coalesce(dev.device, me.device) AS device, CAST(coalesce(ord, 14) AS INTEGER) AS ord, round(coalesce(me.P, dev.P), 6) + 0.0 AS P, round(coalesce(me.Q, dev.Q), 6) + 0.0 AS Q, family, coalesce(varies, false) AS varies, me.device IS NOT NULL AS calibrated
 FROM dev FULL JOIN me ON dev.device = me.device""",
-    "sum_signal": f"""WITH {_PLAN}, sh AS (SELECT pl.series_id, idx, pl.P + (((idx * 37 + ord * 11) % 100) / 100.0 - 0.5) AS p, pl.Q + (((idx * 37 + ord * 11) % 100) / 100.0 - 0.5) / 2 AS q, sqrt(pl.P*pl.P + pl.Q*pl.Q) / 230.0 AS i, thd_i
-  FROM pl JOIN gr ON gr.series_id = pl.series_id AND idx >= on_idx AND idx < off_idx),
-su AS (SELECT series_id, idx, sum(p) AS p, sum(q) AS q, sum(thd_i * i) AS ti, sum(i) AS ii FROM sh GROUP BY ALL),
-al AS (SELECT gr.series_id, gr.idx, coalesce(p, 0) AS p, coalesce(q, 0) AS q, ti, ii FROM gr LEFT JOIN su ON su.series_id = gr.series_id AND su.idx = gr.idx)
+    "sum_signal": f"""WITH {_SUMMED}
 SELECT series_id, idx, round(idx / 5, 6) + 0.0 AS t_sec, round(p, 6) + 0.0 AS p, round(q, 6) + 0.0 AS q, round(CASE WHEN ii > 1e-6 THEN ti / ii END, 6) + 0.0 AS thd,
   round(sqrt(p*p + q*q), 6) + 0.0 AS s, round(sqrt(p*p + q*q) / 230.0, 6) + 0.0 AS i, round(CASE WHEN sqrt(p*p + q*q) > 1e-6 THEN p / sqrt(p*p + q*q) END, 6) + 0.0 AS pf FROM al""",
     "truth_events": f"""WITH {_PLAN} SELECT series_id, round(on_idx / 5, 6) + 0.0 AS t_sec, device, 'on' AS kind, P + 0.0 AS delta_p, Q + 0.0 AS delta_q FROM pl
@@ -230,4 +361,24 @@ UNION ALL SELECT series_id, round(off_idx / 5, 6) + 0.0, device, 'off', -P + 0.0
     "asof_pred": f"WITH {_PLAN}, {_IDEAL} SELECT series_id, round(t, 6) AS t, array_to_string(predicted, '+') AS predicted FROM pr",
     "jaccard_eval": f"""WITH {_PLAN}, {_IDEAL}, {_ASOF.format(shift='ck.t + 0.5')}, b AS (SELECT active, predicted, len(list_intersect(active, predicted)) AS x, len(list_distinct(active || predicted)) AS u FROM tru JOIN pr USING (series_id, t))
 SELECT round(avg(CASE WHEN u = 0 THEN 1.0 ELSE x / u END), 6) + 0.0 AS jaccard, round(avg(CASE WHEN list_sort(active) = list_sort(predicted) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS exact_set_rate, count(*) AS n_checks FROM b""",
+    "synthetic_steps": f"WITH {_SYNTH} SELECT series_id, idx, round(t_sec, 6) + 0.0 AS t_sec, round(delta_p, 6) + 0.0 AS delta_p, round(delta_q, 6) + 0.0 AS delta_q, round(p_before, 6) + 0.0 AS p_before, round(p_after, 6) + 0.0 AS p_after FROM steps",
+    "stream_steps": f"WITH {_SYNTH} SELECT series_id, round(t_sec, 6) + 0.0 AS t_sec, round(delta_p, 6) + 0.0 AS delta_p, round(delta_q, 6) + 0.0 AS delta_q, round(p_before, 6) + 0.0 AS p_before, round(p_after, 6) + 0.0 AS p_after FROM steps",
+    "tracker_timeline": f"WITH RECURSIVE {STEP_CTE}, {DEV}, {_TRACK} {_SHOWN}",
+    "synthetic_timeline": f"WITH RECURSIVE {_SYNTH}, {_TRACK} {_SHOWN}",
+    "stream_tracker": f"WITH RECURSIVE {_SYNTH}, {_TRACK} {_SHOWN}",
+    "stream_latest": f"""WITH RECURSIVE {_SYNTH}, {_TRACK}, la AS (SELECT series_id, arg_max(active, step_no) AS active FROM tn GROUP BY series_id)
+SELECT g.series_id, round(max(g.idx) / 5, 6) + 0.0 AS last_t, array_to_string(coalesce(any_value(active), []), '+') AS active FROM gr g LEFT JOIN la ON la.series_id = g.series_id GROUP BY g.series_id""",
+    "switch_events": f"""WITH RECURSIVE {_SYNTH}, {_TRACK}, wa AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY series_id ORDER BY step_no), []) AS was FROM tn)
+SELECT series_id, round(t_sec, 6) + 0.0 AS t_sec, unnest(list_filter(active, lambda x: NOT list_contains(was, x))) AS device, 'on' AS kind FROM wa
+UNION ALL SELECT series_id, round(t_sec, 6) + 0.0, unnest(list_filter(was, lambda x: NOT list_contains(active, x))), 'off' FROM wa""",
+    "tracker_eval": f"""WITH RECURSIVE {_SYNTH}, {_TRACK}, {_ASOF.format(shift='ck.t + 0.5')},
+pr AS (SELECT ck.series_id, ck.t, coalesce(arg_max(active, step_no), []) AS predicted FROM ck LEFT JOIN tn ON tn.series_id = ck.series_id AND t_sec <= ck.t + 0.5 GROUP BY ALL),
+b AS (SELECT active, predicted, len(list_intersect(active, predicted)) AS x, len(list_distinct(active || predicted)) AS u FROM tru JOIN pr USING (series_id, t))
+SELECT round(avg(CASE WHEN u = 0 THEN 1.0 ELSE x / u END), 6) + 0.0 AS jaccard, round(avg(CASE WHEN list_sort(active) = list_sort(predicted) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS exact_set_rate, count(*) AS n_checks FROM b""",
+    "greedy_match": f"WITH RECURSIVE {_SYNTH}, {_GREEDY} SELECT series_id, CAST(no AS INTEGER) AS detected_no, CAST(hit.no AS INTEGER) AS truth_no, round(hit.d, 6) + 0.0 AS dt FROM gm WHERE hit IS NOT NULL",
+    "step_scores": f"""WITH RECURSIVE {_SYNTH}, {_GREEDY}, mo AS (SELECT DISTINCT series_id, mode FROM pl),
+c AS (SELECT mode, (SELECT count(*) FROM gm JOIN mo USING (series_id) WHERE hit IS NOT NULL AND mo.mode = m.mode) AS matched, (SELECT count(*) FROM d JOIN mo USING (series_id) WHERE mo.mode = m.mode) AS detected,
+  (SELECT count(*) FROM tt WHERE tt.mode = m.mode) AS truth FROM (SELECT DISTINCT mode FROM mo) m)
+SELECT mode, matched, detected, truth, round(coalesce(matched / nullif(detected, 0), 0), 6) + 0.0 AS "precision", round(coalesce(matched / nullif(truth, 0), 0), 6) + 0.0 AS recall FROM c""",
+    "sample_runs": "SELECT s_nationkey AS device, CAST(s_suppkey AS VARCHAR) AS path FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY md5('42:' || CAST(s_suppkey AS VARCHAR)), CAST(s_suppkey AS VARCHAR)) <= 5",
 }

@@ -73,8 +73,8 @@ def step_cte(source: str, rules: steps.StepRules) -> str:
     return f"""{source}, {_smooth(width)}, {_noise(k)}, {_diff(w)},
 ma AS (SELECT *, sqrt(diff_p * diff_p + diff_q * diff_q) AS force FROM di
   WHERE idx >= {w} AND idx < n - {w} AND (abs(diff_p) >= greatest({rules.floor_w}, {rules.k_noise} * coalesce(diff_noise, 0)) OR abs(diff_q) >= {rules.q_floor})),
-gr AS (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ma),
-ks AS (SELECT series_id, idx AS k, n FROM gr QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY force DESC, idx) = 1),
+rn AS (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ma),
+ks AS (SELECT series_id, idx AS k, n FROM rn QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY force DESC, idx) = 1),
 lv AS (
   SELECT ks.series_id, k, any_value(n) AS n, median(m.p) FILTER (WHERE idx < k AND idx >= k - {w}) AS p_before, median(m.p) FILTER (WHERE idx >= k AND idx < k + {w}) AS p_after,
          median(m.q) FILTER (WHERE idx < k AND idx >= k - {w}) AS q_before, median(m.q) FILTER (WHERE idx >= k AND idx < k + {w}) AS q_after,

@@ -225,8 +225,6 @@ def test_tracker_generator_and_variable_load(spark):
 
 def test_tracker_helpers(spark):
     site = tracker.site_of(schema.devices(spark))
-    assert tracker.confirm_variable(site, "Monitor", [16, 16.5, 16.2], [165, 166, 165]) == "Monitor"
-    assert tracker.confirm_variable(site, "Monitor", [10, 16.5, 22], [150, 166, 180]) == "USB Ladegerät"
     assert tracker.explain(site, [site.named["Toaster"], site.named["WATER_HEATER"]], 709.0, 1.0, True, classify=lambda p, q: "WATER_HEATER") == ({"Toaster"}, None)
     tl = tracker.timelines(spark.createDataFrame([("s", 1.0, 709.0, 1.0), ("s", 5.0, -709.0, -1.0), ("s", 9.0, 709.0, 1.0)], "series_id string, t_sec double, delta_p double, delta_q double"), schema.devices(spark))
     assert sorted((r["from_t"], r["to_t"]) for r in tracker.intervals(tl).collect()) == [(1.0, 5.0), (9.0, None)]
