@@ -35,6 +35,12 @@ def median_of(values: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with further columns, each computed once: what reads them later, a filter too, is not unfolded into
+    their expressions again, which inside array functions would be for every element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def change_scores(df: DataFrame, rules: StepRules) -> DataFrame:
     """(series_id, idx, n, diff_p, diff_q, diff_noise, above) of every row."""
     w, width, k = rules.w, odd_width(rules.smooth_s, rules.sps), int(rules.noise_s * rules.sps)
@@ -69,13 +75,12 @@ def detect_steps(df: DataFrame, rules: StepRules = StepRules()) -> DataFrame:
     k = F.col("k")
     part = lambda lo, hi, c: F.transform(F.filter("r", lambda x: (x["idx"] >= lo) & (x["idx"] < hi)), lambda x: x[c])
     level = lambda lo, hi, c: median_of(part(lo, hi, c))
-    s = around.withColumns({"p_before": level(k - w, k, "p"), "p_after": level(k, k + w, "p"), "q_before": level(k - w, k, "q"), "q_after": level(k, k + w, "q"), "later": level(k + w, k + 2 * w, "p"), "thd_i_after": median_of(F.filter(part(k, k + w, "thd"), lambda x: x.isNotNull()))})
-    s = s.withColumns({"delta_p": F.col("p_after") - F.col("p_before"), "delta_q": F.col("q_after") - F.col("q_before")})
+    s = once(around, p_before=level(k - w, k, "p"), p_after=level(k, k + w, "p"), q_before=level(k - w, k, "q"), q_after=level(k, k + w, "q"), later=level(k + w, k + 2 * w, "p"), thd_i_after=median_of(F.filter(part(k, k + w, "thd"), lambda x: x.isNotNull())))
+    s = once(s, delta_p=F.col("p_after") - F.col("p_before"), delta_q=F.col("q_after") - F.col("q_before"))
+    gone = (k + 2 * w <= F.col("n")) & (F.abs("delta_p") > 1e-6) & (F.abs(F.col("later") - F.col("p_after")) > rules.sustain * F.abs("delta_p"))
+    s = s.where(((F.abs("delta_p") >= rules.floor_w) | (F.abs("delta_q") >= rules.q_floor)) & ~gone)
     low = F.filter("r", lambda x: (x["idx"] > F.greatest(k - 2 * w, F.lit(0))) & (x["idx"] <= k) & (F.try_divide(x["p"] - F.col("p_before"), F.col("delta_p")) < 0.5))
     onset = F.when(F.abs("delta_p") > 1e-6, F.coalesce(F.array_max(F.transform(low, lambda x: x["idx"])), F.greatest(k - w, F.lit(0)))).otherwise(k)
-    gone = (k + 2 * w <= F.col("n")) & (F.abs("delta_p") > 1e-6) & (F.abs(F.col("later") - F.col("p_after")) > rules.sustain * F.abs("delta_p"))
-    s = s.withColumn("idx", onset).where(((F.abs("delta_p") >= rules.floor_w) | (F.abs("delta_q") >= rules.q_floor)) & ~gone)
-    t = F.get(F.transform(F.filter("r", lambda x: x["idx"] == F.col("idx")), lambda x: x["t_sec"]), F.lit(0))
-    return s.select("series_id", "idx", t.alias("t_sec"), "delta_p", "delta_q", "p_before", "p_after", "thd_i_after")
-
-
+    s = once(s, idx=onset)
+    s = once(s, t_sec=F.get(F.transform(F.filter("r", lambda x: x["idx"] == F.col("idx")), lambda x: x["t_sec"]), F.lit(0)))
+    return s.select("series_id", "idx", "t_sec", "delta_p", "delta_q", "p_before", "p_after", "thd_i_after")

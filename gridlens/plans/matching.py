@@ -133,12 +133,12 @@ WHOLE = live.LiveRules(confirm_s=20.0, keep_s=1e9)
 
 def _session(spark, sf_dir):
     session = live.Live(spark, live.new_folder(spark), devices(spark), WHOLE, seed=False)
-    live.replay(_signals(spark, sf_dir), session, batches=3)
+    live.replay(_signals(spark, sf_dir), session, batches=2)
     return session
 
 
 def stream_steps(spark, sf_dir):
-    """The summed signals through a live session, three micro-batches."""
+    """The summed signals through a live session, two micro-batches."""
     return rounded(_session(spark, sf_dir).steps().drop("thd_i_after"), "t_sec", "delta_p", "delta_q", "p_before", "p_after")
 
 
@@ -148,7 +148,7 @@ def stream_tracker(spark, sf_dir):
 
 def stream_latest(spark, sf_dir):
     """Each signal's running set after its last micro-batch."""
-    return rounded(_session(spark, sf_dir).latest(2).withColumn("active", F.concat_ws("+", "active")), "last_t")
+    return rounded(_session(spark, sf_dir).latest(1).withColumn("active", F.concat_ws("+", "active")), "last_t")
 
 
 def _checks(spark, sf_dir):

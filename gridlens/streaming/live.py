@@ -157,6 +157,7 @@ class Live:
         """One micro-batch; the function for foreachBatch."""
         state = self._state(batch - 1)
         rows = by_session(rows).select("series_id", "t_sec", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"), "thd")
+        rows = self._put(rows, "rows", batch)  # several jobs read them
         steps, buffer, pointer = advance_steps(rows, state, self.rules, flush)
         self._put(buffer, "buffer", batch)
         steps = self._put(steps, "steps", batch)
