@@ -17,6 +17,7 @@ SIZES = {
     "inductive": [(500, "a large motor or a transformer"), (60, "a motor, a pump, or a compressor"), (None, "a small motor, a fan, or a lamp with a magnetic ballast")],
     "capacitive": [(100, "a larger power supply, an inverter, or a charger"), (20, "a computer, a monitor, or a television"), (None, "a small electronic device such as an LED lamp, a charger, or a USB supply")],
 }
+#: What the kinds of load do.
 NATURE = {
     "resistive": "draws current in phase with the voltage, so nearly all of its power does real work",
     "inductive": "draws current that lags the voltage, which means magnetic windings",
@@ -107,6 +108,11 @@ def apparent(p: str | Column, q: str | Column, volts: str | Column) -> dict[str,
     return {"s_va": s, "i_a": s / v, "pf": F.when(s > 1e-6, F.try_divide(col(p), s))}
 
 
+def device_params(p_std: str | Column, q_std: str | Column, least: float = 0.01) -> dict[str, Column]:
+    """P_std and Q_std of a device, at least `least` and so where they are missing."""
+    return {name: F.greatest(F.coalesce(col(c), F.lit(0.0)), F.lit(least)) for name, c in (("P_std", p_std), ("Q_std", q_std))}
+
+
 def clean_value(c: str | Column) -> Column:
     """A dashboard number: 0 where it is none, two digits."""
     return F.bround(F.coalesce(F.nanvl(col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0)), 2)

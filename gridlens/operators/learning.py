@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import step_features
+
 #: Rows of one side of a block of distances.
 BLOCK = 2048
 
@@ -99,7 +101,8 @@ def kmeans(df: DataFrame, k: int, starts: int = 10, seed: int = 0) -> DataFrame:
     data = _vectors(df).persist()
     models = [KMeans(k=k, seed=seed + i).fit(data) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
+    data.unpersist()
+    out = best.transform(_vectors(df)).withColumnRenamed("prediction", "cluster").drop("features")
     return out
 
 
@@ -112,16 +115,80 @@ def silhouette_curve(df: DataFrame, ks=range(2, 16), starts: int = 1) -> list[tu
     return out
 
 
-def _classified(train: DataFrame, test: DataFrame, learner) -> DataFrame:
+class Fitted:
+    """A fitted classifier: predicts for any table with `vector`, and can be stored and read again."""
+
+    def __init__(self, index, model):
+        self.index, self.model = index, model
+
+    def predict(self, df: DataFrame, name: str = "predicted") -> DataFrame:
+        said = self.model.transform(_vectors(df)).drop("features", "rawPrediction", "probability")
+        return said.withColumn(name, F.get(F.array(*[F.lit(x) for x in self.index.labels]), F.col("said_no").cast("int"))).drop("said_no")
+
+    def save(self, path: str) -> None:
+        self.index.write().overwrite().save(f"{path}/labels")
+        self.model.write().overwrite().save(f"{path}/model")
+
+    @staticmethod
+    def load(path: str, kind) -> Fitted:
+        """kind: the model's class, such as RandomForestClassificationModel."""
+        from pyspark.ml.feature import StringIndexerModel
+
+        return Fitted(StringIndexerModel.load(f"{path}/labels"), kind.load(f"{path}/model"))
+
+
+def fitted(train: DataFrame, learner) -> Fitted:
+    """train: label, vector."""
     from pyspark.ml.feature import StringIndexer
 
-    names = StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc", handleInvalid="keep")
-    text = lambda df: _vectors(df).withColumn("label", F.col("label").cast("string"))
-    index = names.fit(text(train))
-    model = learner.setLabelCol("label_no").setPredictionCol("said").fit(index.transform(text(train)))
-    said = model.transform(text(test))
-    name = F.get(F.array(*[F.lit(x) for x in index.labels]), F.col("said").cast("int"))
-    return said.select("id", "label", name.alias("predicted"))
+    data = _vectors(train).withColumn("label", F.col("label").cast("string"))
+    index = StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
+    return Fitted(index, learner.setLabelCol("label_no").setPredictionCol("said_no").fit(index.transform(data)))
+
+
+def _classified(train: DataFrame, test: DataFrame, learner) -> DataFrame:
+    return fitted(train, learner).predict(test.withColumn("label", F.col("label").cast("string"))).select("id", "label", "predicted")
+
+
+def step_vectors(steps: DataFrame) -> DataFrame:
+    """steps with `vector`, the seven features of a step."""
+    made = step_features("delta_p", "delta_q")
+    return steps.withColumn("vector", F.array(*made.values()))
+
+
+def step_forest(labelled: DataFrame, trees: int = 300, depth: int = 20, seed: int = 0) -> Fitted:
+    """A forest that names the device of a step. labelled: label, delta_p, delta_q, as true events tell them."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return fitted(step_vectors(labelled).select("label", "vector"), RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed))
+
+
+def with_said(steps: DataFrame, forest: Fitted) -> DataFrame:
+    """steps with `said`, the forest's device for each as if it were switched on; the tracker's near-ties go by it."""
+    turned = F.when(F.col("delta_p") >= 0, 1.0).otherwise(-1.0)
+    as_on = steps.withColumns({"_p": F.col("delta_p"), "_q": F.col("delta_q"), "delta_p": F.abs("delta_p"), "delta_q": F.col("delta_q") * turned})
+    said = forest.predict(step_vectors(as_on), "said").drop("vector")
+    return said.withColumns({"delta_p": F.col("_p"), "delta_q": F.col("_q")}).drop("_p", "_q")
+
+
+def onboarded(labelled: DataFrame, name: str, dp: float, dq: float, copies: int = 40, spread: float = 0.02, seed: int = 0) -> Fitted:
+    """The step forest trained anew with a further device, of which `copies` steps around (dp, dq) are made."""
+    turn = 1.0 if dp >= 0 else -1.0
+    u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(2001)) - 1000) / 1000.0 * spread
+    more = labelled.sparkSession.range(copies).select(F.lit(name).alias("label"), (F.lit(abs(float(dp))) * (1 + u("p"))).alias("delta_p"), (F.lit(float(dq) * turn) * (1 + u("q"))).alias("delta_q"))
+    return step_forest(labelled.select("label", "delta_p", "delta_q").unionByName(more), seed=seed)
+
+
+def false_alarms(means: DataFrame, repeats: int = 20, noise: float = 0.05, seed: int = 0, k: float = 2.0) -> DataFrame:
+    """(label, alarms, n): how often a known device, its means moved by noise * the components' sample
+    deviations over the devices, looks novel."""
+    from .synthesis import normal
+
+    dev = means.groupBy("pos").agg(F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("s"))
+    tries = means.join(dev, "pos").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    moved = tries.withColumn("x", F.col("x") + normal(0.0, noise * F.col("s"), F.lit(seed), "label", "pos", "repeat"))
+    rows = moved.groupBy("label", "repeat").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("vector"))
+    return novel_rows(rows, means, k).groupBy("label").agg(F.count_if("novel").alias("alarms"), F.count("*").alias("n"))
 
 
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 300, depth: int = 20, seed: int = 0) -> DataFrame:
@@ -213,7 +280,7 @@ def leave_one_out(means: DataFrame, k: float = 2.0) -> DataFrame:
     return to_own.join(bar, "held").withColumn("novel", F.col("nearest") > F.col("threshold"))
 
 
-def novel_rows(rows: DataFrame, means: DataFrame, k: float = 2.0) -> DataFrame:
+def novel_rows(rows: DataFrame, means: DataFrame, k: float = 2.0, most: int = 10_000) -> DataFrame:
     """rows (id, vector) with nearest, threshold and novel, against devices known by their means."""
     fit = means.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
     z = means.join(fit, "pos").select("label", "pos", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"))
@@ -222,6 +289,8 @@ def novel_rows(rows: DataFrame, means: DataFrame, k: float = 2.0) -> DataFrame:
     known = z.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "z"))).alias("zs")).agg(F.collect_list("zs").alias("known"))
     scale = fit.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("fit"))
     bar = near.agg((F.median("d") + k * F.stddev_pop("d")).alias("threshold"))
+    if means.select("label").distinct().count() > most:
+        raise ValueError(f"more than {most} known labels are too many to travel with every row")
     one = known.join(scale).join(bar)
     placed = rows.join(F.broadcast(one), F.lit(True)).withColumn("zv", F.zip_with("vector", "fit", lambda x, f: (x - f["m"]) / f["s"]))
     far = F.transform("known", lambda zs: F.sqrt(F.aggregate(F.zip_with("zv", zs, lambda x, y: (x - y["z"]) * (x - y["z"])), F.lit(0.0), lambda s, x: s + x)))

@@ -101,6 +101,7 @@ def standing_loads(levels: DataFrame, devices: DataFrame, largest: int = 3, tol_
     out = out.withColumn("_ok", F.col("residual") <= tol)
     others = F.filter(F.slice("singles", 2, alternatives), lambda s: s["residual"] <= tol * 1.5)
     none = F.array().cast("array<string>")
+    # fixed values: the sentences of a note
     note = (
         F.when(F.col("idle"), "Nothing is drawing power.")
         .when(~F.col("_ok"), "The standing load does not match any known device or combination.")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_name
+from ..functions.scalars import clean_name, slug
 from ..schema import MEASURES, WHOLE
 
 #: Devices that discovery leaves out unless asked.
@@ -36,26 +36,48 @@ def _number(name: str, kind: str) -> Column:
     return (value.try_cast("int") if kind == "int" else value).alias(name)
 
 
+#: A comma outside of quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Texts that count as missing.
+MISSING = ["", "nan", "null", "none", "n/a", "na"]
+
+
+def _cells(line: str) -> Column:
+    """The trimmed fields of a line; quoted ones may hold commas and doubled quotes."""
+    bare = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(F.split(line, _COMMA), lambda c: F.trim(bare(F.trim(F.regexp_replace(c, "^\ufeff", "")))))
+
+
+def _lines(spark: SparkSession, path: str, *needed: str) -> DataFrame:
+    """series_id (the file), _line, _names (of its header) and _cells of each line below a header that has the needed columns."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("series_id"), F.monotonically_increasing_id().alias("_line"), "value")
+    filled = lines.where(F.trim("value") != "")
+    head = filled.groupBy("series_id").agg(F.min_by("value", "_line").alias("_head"), F.min("_line").alias("_at"))
+    head = head.withColumn("_names", _cells("_head"))
+    for name in needed:
+        head = head.where(F.array_contains("_names", name))
+    return filled.join(head, "series_id").where(F.col("_line") > F.col("_at")).select("series_id", "_line", "_names", _cells("value").alias("_cells"))
+
+
+def _cell(name: str) -> Column:
+    """A line's field by its header's name, null where it is missing."""
+    got = F.try_element_at("_cells", F.array_position("_names", name).cast("int"))
+    return F.when(F.array_contains("_names", name) & ~F.lower(got).isin(MISSING), got).alias(name)
+
+
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     """All meter files under path as METER_SCHEMA.
 
     Header names are trimmed; files without device_name and p_total_w have no rows; rows without a
-    good timestamp or power go; bad numbers are null; the device's name is the first one that is not
-    null in the order of time. Equal timestamps keep the order of the file's lines.
+    good timestamp or with no power at all go; bad numbers are null, a power that is none too; the
+    device's name is the first one that is not null in the order of time. Fields may be quoted. Equal
+    timestamps keep the order of the file's lines.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("series_id"), F.monotonically_increasing_id().alias("_line"), "value")
-    filled = lines.where(F.trim("value") != "")
-    head = filled.groupBy("series_id").agg(F.min_by("value", "_line").alias("_head"), F.min("_line").alias("_at"))
-    names = F.transform(F.split("_head", ","), lambda c: F.trim(F.regexp_replace(c, "^﻿", "")))
-    head = head.withColumn("_names", names).where(F.array_contains("_names", "device_name") & F.array_contains("_names", "p_total_w"))
-    cells = filled.join(head, "series_id").where(F.col("_line") > F.col("_at")).withColumn("_cells", F.split("value", ","))
-    get = lambda c: F.nullif(F.trim(F.try_element_at("_cells", F.array_position("_names", c).cast("int"))), F.lit(""))
-    cell = lambda c: F.when(F.array_contains("_names", c), get(c)).alias(c)
-    raw = cells.select("series_id", "_line", *[cell(c) for c in ["timestamp_iso", "device_name", "run_id", *WHOLE, *MEASURES]])
-    good = raw.select(
+    raw = _lines(spark, path, "device_name", "p_total_w").select("series_id", "_line", *[_cell(c) for c in ["timestamp_iso", "device_name", "run_id", *WHOLE, *MEASURES]])
+    good = raw.where("p_total_w IS NOT NULL").select(
         "series_id", "_line", F.try_to_timestamp("timestamp_iso").alias("timestamp_iso"), "device_name", "run_id",
         *[_number(c, "int") for c in WHOLE], *[_number(c, "double") for c in MEASURES],
-    ).where("timestamp_iso IS NOT NULL AND p_total_w IS NOT NULL")
+    ).where("timestamp_iso IS NOT NULL")
     named = F.expr("min_by(device_name, struct(timestamp_iso, _line)) FILTER (WHERE device_name IS NOT NULL)")
     name = good.groupBy("series_id").agg(clean_name(named).alias("device_name"))
     placed = with_position(good.drop("device_name").join(name, "series_id"), "timestamp_iso", "_line")
@@ -65,18 +87,35 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
     """The lighter scan for calibration: (series_id, idx, t_sec, p, q), rows without either power dropped."""
-    rows = read_recordings(spark, path).where("q_total_var IS NOT NULL")
+    rows = read_recordings(spark, path).where("p_total_w IS NOT NULL AND q_total_var IS NOT NULL")
     return rows.select("series_id", "idx", "t_sec", F.col("p_total_w").alias("p"), F.col("q_total_var").alias("q"))
 
 
 def discover(spark: SparkSession, path: str, include_excluded: bool = False) -> DataFrame:
-    """(device, path) of the recordings under path: of files of one device the last by name stays."""
-    found = read_recordings(spark, path).groupBy("series_id").agg(F.first("device_name").alias("device")).where("device IS NOT NULL")
+    """(device, path) of the recordings under path. A file's device is the first name in the order of its
+    lines; only names are read from it. Files without one are left out; of files of one device the
+    last by name stays."""
+    names = _lines(spark, path, "device_name").select("series_id", "_line", _cell("device_name")).where("device_name IS NOT NULL")
+    found = names.groupBy("series_id").agg(clean_name(F.min_by("device_name", "_line")).alias("device"))
     if not include_excluded:
         found = found.where(~F.col("device").isin(EXCLUDED))
     return found.groupBy("device").agg(F.max("series_id").alias("path"))
 
 
+#: How run files are named, and their splits' tags.
+RUN_FILES = "pac4200_{slug}_{tag}_*.csv"
+TAGS = {"training": "train", "testing": "test"}
+
+
+def find_runs(spark: SparkSession, folder: str, devices: list[str], split: str = "training", per_device: int | None = None) -> DataFrame:
+    """(device, path) of the run files of a site's devices in folder/split, the first per_device by name."""
+    tag = TAGS.get(split, "test")
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{split}/{RUN_FILES.format(slug='*', tag=tag)}").select("path")
+    own = F.regexp_extract(F.element_at(F.split("path", "/"), -1), f"^pac4200_(.*)_{tag}_[^_]*\\.csv$", 1)
+    named = spark.createDataFrame([(d,) for d in devices], "device string").withColumn("slug", slug("device"))
+    return run_files(files.withColumn("slug", own).join(F.broadcast(named), "slug").select("device", "path"), per_device)
+
+
 def run_files(files: DataFrame, per_device: int | None = None) -> DataFrame:
     """The first per_device paths of each device. files: device, path."""
     if per_device is None:

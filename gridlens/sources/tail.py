@@ -3,7 +3,8 @@
     spark.dataSource.register(MeterTail)
     spark.readStream.format("meter_tail").option("path", "/data/live.csv").load()
 
-A half-written last line waits for its end; a header in mid-file sets the columns anew; rows of another
+A half-written last line waits for its end; a header in mid-file sets the columns anew, also for later
+micro-batches, as the offset holds it; rows of another
 length are dropped; a file that became shorter is read again from its start. startingOffset is
 latest (default) or earliest. A growing local file has one reader by nature.
 """
@@ -48,11 +49,17 @@ def parse_lines(lines: list[str], header: list[str]) -> tuple[list[dict], list[s
     return rows, header
 
 
-def read_from(path: str, pos: int) -> tuple[list[str], int]:
-    """Whole lines from byte pos on, and the byte after the last of them."""
+#: Bytes that one micro-batch reads at most, unless a single line is longer.
+MOST_BYTES = 8 << 20
+
+
+def read_from(path: str, pos: int, most: int = MOST_BYTES) -> tuple[list[str], int]:
+    """Whole lines from byte pos on, of about `most` bytes, and the byte after the last of them."""
     with open(path, "rb") as f:
         f.seek(pos)
-        data = f.read()
+        data = f.read(most)
+        while data and b"\n" not in data and (more := f.read(most)):
+            data += more
     end = data.rfind(b"\n") + 1
     return data[:end].decode("utf-8", "replace").splitlines(), pos + end
 
@@ -71,31 +78,34 @@ class TailReader(SimpleDataSourceStreamReader):
 
     def initialOffset(self) -> dict:
         there = os.path.exists(self.path)
-        return {"pos": 0 if self.earliest or not there else os.path.getsize(self.path), "session": 0}
+        return {"pos": 0 if self.earliest or not there else os.path.getsize(self.path), "session": 0, "header": header_of(self.path) if there else METER_COLUMNS}
 
-    def _rows(self, lines: list[str], session: int):
+    def _rows(self, parsed: list[dict], session: int):
         rows = []
-        for r in parse_lines(lines, header_of(self.path))[0]:
+        for r in parsed:
             at = moment(r.get("timestamp_iso", ""))
             if at is not None:
                 rows.append((self.path, session, at, *[number(r.get(c, "")) for c in MEASURES]))
         return iter(rows)
 
     def read(self, start: dict):
-        pos, session = start["pos"], start["session"]
+        pos, session, header = start["pos"], start["session"], start["header"]
         if not os.path.exists(self.path):
             return iter([]), start
         if os.path.getsize(self.path) < pos:  # truncated: a new session
-            pos, session = 0, session + 1
+            pos, session, header = 0, session + 1, header_of(self.path)
         lines, end = read_from(self.path, pos)
-        return self._rows(lines, session), {"pos": end, "session": session}
+        parsed, header = parse_lines(lines, header)
+        return self._rows(parsed, session), {"pos": end, "session": session, "header": header}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        pos = start["pos"] if start["session"] == end["session"] else 0
+        same = start["session"] == end["session"]
+        pos = start["pos"] if same else 0
         with open(self.path, "rb") as f:
             f.seek(pos)
             data = f.read(end["pos"] - pos)
-        return self._rows(data.decode("utf-8", "replace").splitlines(), end["session"])
+        header = start["header"] if same else header_of(self.path)
+        return self._rows(parse_lines(data.decode("utf-8", "replace").splitlines(), header)[0], end["session"])
 
 
 class MeterTail(DataSource):

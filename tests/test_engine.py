@@ -344,6 +344,50 @@ def test_recordings(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").where("device_slug = 'pv'").count() == 1
 
 
+def test_quoted_fields_bad_powers_and_discovery(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('device_name,run_id,"timestamp_iso",p_total_w\n"Fan, big","say ""x""",2024-01-01T00:00:05Z,3\nLater,r,2024-01-01T00:00:01Z,oops\n,r,2024-01-01T00:00:09Z,NaN\n')
+    rows = meter.read_recordings(spark, f"{tmp_path}/a.csv").orderBy("idx").collect()
+    assert [(r["p_total_w"], r["run_id"], r["device_name"]) for r in rows] == [(None, "r", "Later"), (3.0, 'say "x"', "Later")]
+    (tmp_path / "b.csv").write_text("device_name,x\nLamp,1\n")  # no power, yet a name
+    assert {r["device"] for r in meter.discover(spark, f"{tmp_path}/*.csv").collect()} == {"Fan, big", "Lamp"}
+    runs = tmp_path / "synth" / "training"
+    runs.mkdir(parents=True)
+    for name in ("pac4200_table_fan_train_002.csv", "pac4200_table_fan_train_001.csv", "pac4200_monitor_train_001.csv", "pac4200_other_train_001.csv", "pac4200_monitor_test_001.csv"):
+        (runs / name).write_text("x\n")
+    found = meter.find_runs(spark, str(tmp_path / "synth"), ["TABLE FAN", "Monitor"], per_device=1).collect()
+    assert sorted((r["device"], r["path"].rsplit("/")[-1]) for r in found) == [("Monitor", "pac4200_monitor_train_001.csv"), ("TABLE FAN", "pac4200_table_fan_train_001.csv")]
+
+
+def test_tail_header_holds_over_batches(tmp_path):
+    path = tmp_path / "live.csv"
+    path.write_text("timestamp_iso,p_total_w\n2024-01-01T00:00:00Z,1\np_total_w,timestamp_iso\n")
+    reader = tail.TailReader({"path": str(path), "startingOffset": "earliest"})
+    got, at = reader.read(reader.initialOffset())
+    with path.open("a") as f:
+        f.write("7,2024-01-01T00:00:02Z\n")
+    more, end = reader.read(at)
+    assert [r[5] for r in got] == [1.0] and [r[5] for r in more] == [7.0] == [r[5] for r in reader.readBetweenOffsets(at, end)]
+    assert tail.read_from(str(path), 0, 5)[0][0] == "timestamp_iso,p_total_w"
+
+
+def test_step_forest_and_false_alarms(spark, tmp_path):
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    labelled = spark.createDataFrame([(d, p + i / 10, q + i / 20) for d, p, q in (("A", 700.0, 2.0), ("B", 30.0, 50.0)) for i in range(20)], "label string, delta_p double, delta_q double")
+    forest = learning.step_forest(labelled, trees=5, depth=4)
+    forest.save(f"{tmp_path}/forest")
+    again = learning.Fitted.load(f"{tmp_path}/forest", RandomForestClassificationModel)
+    found = spark.createDataFrame([("s", 1.0, 701.0, 2.0), ("s", 2.0, -31.0, -50.0)], "series_id string, t_sec double, delta_p double, delta_q double")
+    assert [r["said"] for r in learning.with_said(found, again).orderBy("t_sec").collect()] == ["A", "B"]
+    new = learning.onboarded(labelled, "C", -250.0, 180.0)
+    assert learning.with_said(spark.createDataFrame([("s", 1.0, 250.0, -180.0)], found.schema), new).first()["said"] == "C"
+    devs = spark.createDataFrame([(*r[:2], 700.0, 1.0, *r[4:], True) for r in schema.DEVICES if r[0] in (7, 8)], schema.DEVICE_SCHEMA)
+    step = spark.createDataFrame([("s", 1.0, 700.0, 1.0, "Toaster")], "series_id string, t_sec double, delta_p double, delta_q double, said string")
+    assert tracker.timelines(step, devs).first()["active"] == ["Toaster"]  # a near-tie goes by the classifier
+    alarms = learning.false_alarms(learning.label_means(blobs(spark)), repeats=20).collect()
+    assert all(r["n"] == 20 and r["alarms"] == 0 for r in alarms)
+
+
 def test_positions_over_days(spark):
     rows = [("a", f"2024-01-0{1 + i // 3}T0{i % 3}:00:00") for i in range(9)]
     df = spark.createDataFrame(rows, "series_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).repartition(4)
