@@ -9,7 +9,6 @@ records that refer to its record id.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -166,6 +165,23 @@ def _split(data: bytes) -> Iterator[dict]:
         }
 
 
+def _inflated(data: bytes) -> bytes:
+    """The content of a file of gzip members, or of a plain one. Members are fed in small pieces, as what
+    follows a member's end is copied."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = view[at : at + 8192]
+            if not len(piece):
+                raise ValueError("the last gzip member is cut")
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out)
+
+
 def read_records(spark, path: str) -> DataFrame:
     """All records of the archives under path, segments apart."""
     schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
@@ -174,7 +190,7 @@ def read_records(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_py()
-                rows = list(_split(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+                rows = list(_split(_inflated(data)))
                 for a in range(0, len(rows), 200):
                     yield pa.RecordBatch.from_pylist(rows[a : a + 200], schema)
 
