@@ -40,7 +40,9 @@ BLOCK = 2048
 CROWD = 8192
 #: Pairs per member of a cell up to which all are verified at once.
 MANY = 4
-#: Documents per task of the bucket stage, at most about.
+#: Text bytes whose signatures one group of the bucket stage holds, at most about.
+PART_BYTES = 12 << 20
+#: Members of cells per group of the second look, at most about.
 PART_DOCS = 20_000
 SKETCH_WORDS = 8
 #: Text bytes whose signatures a mapping task holds at once.
@@ -170,6 +172,28 @@ def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, np.repeat(ids[order][heads], np.diff(np.append(heads, len(s)))), lead
 
 
+def _followers(low: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, leader, member) of the members of one part's buckets beside their leaders. low: the five
+    bytes of each signature; at: its owner's position in own, the sorted ids."""
+    wide = np.zeros((len(low), 8), np.uint8)
+    if len(own) <= 1 << 24:  # signature and position fit one word, which is sorted in place
+        wide[:, 3:] = low
+        sign = wide.view("<u8").ravel()
+        sign |= at.astype(np.uint64)
+        sign.sort()
+        owner = own[(sign & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        sign >>= np.uint64(24)
+    else:
+        wide[:, :5] = low
+        sign = wide.view("<u8").ravel()
+        order = np.lexsort((at, sign))
+        sign, owner = sign[order], own[at[order]]
+    lead = np.ones(len(sign), bool)
+    lead[1:] = sign[1:] != sign[:-1]
+    heads, rest = np.flatnonzero(lead), np.flatnonzero(~lead)
+    return sign[rest], owner[heads[np.searchsorted(heads, rest, "right") - 1]], owner[rest]
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers as the bytes of their differences, by byte position: zeros lie together, for the shuffle's compression."""
     return np.ascontiguousarray(np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -255,15 +279,13 @@ def _reduce(rows: pa.Table) -> pa.Table:
     joined = lambda c, at: b"".join(cols[c][i] for i in at)
     ids, sizes = pick("ids", docs), pick("sizes", docs)
     digests, sketches = joined("digests", docs), joined("sketches", docs)
-    owner = np.repeat(pick("ids", signed), pick("counts", signed))
+    own, at = np.unique(pick("ids", signed), return_inverse=True)
     low = np.frombuffer(joined("signs", signed), np.uint8).reshape(-1, 5)
-    sign = np.zeros((len(low), 8), np.uint8)
-    sign[:, :5] = low
-    sign = sign.view("<u8").ravel() + (np.uint64(cols["part"][0]) << np.uint64(40))
-    order, head, lead = _star(sign, owner)
-    a = np.concatenate([_whole(cols["a"]), head[~lead]])
-    b = np.concatenate([_whole(cols["b"]), owner[order][~lead]])
-    s = np.concatenate([_whole(cols["sign"]), sign[order][~lead].view(np.int64)])
+    sign, head, tail = _followers(low, own, np.repeat(at, pick("counts", signed)))
+    sign += np.uint64(cols["part"][0]) << np.uint64(40)
+    a = np.concatenate([_whole(cols["a"]), head])
+    b = np.concatenate([_whole(cols["b"]), tail])
+    s = np.concatenate([_whole(cols["sign"]), sign.view(np.int64)])
     distinct = a != b
     a, b, s = a[distinct], b[distinct], s[distinct]
     m, n = len(ids), len(a)
@@ -441,7 +463,8 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(_uncounted, "n_shingles long")
     docs = docs.where("doc_id IS NOT NULL")
-    parts = min(1 << 22, max(shuffle_width(spark), docs.count() // PART_DOCS))
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(1 << 22, max(shuffle_width(spark), bytes_ // PART_BYTES))
     found = stage(docs.mapInArrow(_mapper(parts, threshold), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "digest", "sketch")
     sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v"), (F.count("*") > 1).alias("repeated")).select("doc_id", "v.*", "repeated"), "sizes")

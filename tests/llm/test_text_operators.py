@@ -173,6 +173,19 @@ def check_jaccard(spark, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+@pytest.mark.parametrize("owners", [0, 1, 300, (1 << 24) + 1])
+def test_jaccard_followers_of_buckets(owners):
+    draw = np.random.default_rng(owners)
+    own, n = np.arange(owners) * 3, 2000 if owners else 0
+    sign, at = draw.integers(0, 1 << 40, 1500).astype("<u8")[draw.integers(0, 1500, n)], draw.integers(0, max(owners, 1), n)
+    got = partenum._followers(sign.view(np.uint8).reshape(-1, 8)[:, :5], own, at)
+    buckets = {}
+    for s, i in zip(sign.tolist(), at.tolist()):
+        buckets.setdefault(s, []).append(3 * i)
+    want = [(s, sorted(ids)[0], i) for s, ids in buckets.items() for i in sorted(ids)[1:]]
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
+
+
 def test_jaccard_brute_force(spark):
     check_jaccard(spark, odd_rows())
 
