@@ -89,6 +89,22 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def frugal(run):
+    """`run`, a function for mapInArrow, whose worker gives freed Arrow memory back after each batch
+    and at its end: workers are reused by later tasks, and would hold it through all of them."""
+
+    def rows(batches):
+        def freeing():
+            for batch in batches:
+                yield batch
+                pa.default_memory_pool().release_unused()
+
+        yield from run(freeing())
+        pa.default_memory_pool().release_unused()
+
+    return rows
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SEPARATORS.encode())] = True
 _LOWER = np.arange(256, dtype=np.uint8)

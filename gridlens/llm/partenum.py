@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shuffle_width, slices, small, stage, utf8, word_hashes
+from .common import components, frugal, mix, shuffle_width, slices, small, stage, utf8, word_hashes
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -272,6 +272,7 @@ def _whole(values: list) -> np.ndarray:
 
 
 def _reduce(rows: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # of the group before
     cols = {c: rows.column(c).to_pylist() for c in _MAPPED_NAMES}
     docs = [i for i, s in enumerate(cols["sizes"]) if s is not None]
     signed = [i for i, s in enumerate(cols["signs"]) if s is not None]
@@ -328,7 +329,7 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, threshold: in
     told = stage(told, "pairs")
     open_ = told.where("near AND NOT same")
     ends = stage(open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b").alias("doc_id"))).distinct(), "ends")
-    sets = stage(docs.select("doc_id", "text").join(small(ends), "doc_id", "left_semi").mapInArrow(_shingled, "doc_id long, digest binary, shingles array<long>"), "sets")
+    sets = stage(docs.select("doc_id", "text").join(small(ends), "doc_id", "left_semi").mapInArrow(frugal(_shingled), "doc_id long, digest binary, shingles array<long>"), "sets")
     if sizes.where("repeated").isEmpty():
         sets = sets.select("doc_id", "shingles")
     else:  # one text of a repeated doc_id speaks for all
@@ -437,7 +438,7 @@ def _cells(inside: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         return cells
     crowd = stage(cells.join(small(crowds), "cell"), "crowd")
     ends = stage(crowd.select("doc_id").distinct(), "crowd-ends")
-    again = docs.join(small(ends), "doc_id", "left_semi").mapInArrow(_signer(threshold, 7), "doc_id long, signs array<long>")
+    again = docs.join(small(ends), "doc_id", "left_semi").mapInArrow(frugal(_signer(threshold, 7)), "doc_id long, signs array<long>")
     again = stage(again.select("doc_id", F.explode("signs").alias("again")).distinct(), "again")
     split = crowd.join(again, "doc_id").select(F.xxhash64("cell", "again").alias("cell"), "doc_id")
     return stage(cells.join(small(crowds), "cell", "left_anti").unionByName(split), "cells")
@@ -465,7 +466,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     docs = docs.where("doc_id IS NOT NULL")
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(1 << 22, max(shuffle_width(spark), bytes_ // PART_BYTES))
-    found = stage(docs.mapInArrow(_mapper(parts, threshold), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
+    found = stage(docs.mapInArrow(frugal(_mapper(parts, threshold)), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "digest", "sketch")
     sizes = stage(rows.groupBy("doc_id").agg(F.max(F.struct("n", "digest", "sketch")).alias("v"), (F.count("*") > 1).alias("repeated")).select("doc_id", "v.*", "repeated"), "sizes")
     buckets = found.where("kind = 1").select("a", "b", "sign")

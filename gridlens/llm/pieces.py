@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Weights are whole millionths, so that sums are exact and ties are real.
@@ -186,7 +188,7 @@ def encoded(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataF
     schema = docs.withColumns({"n_pieces": F.lit(0).cast("long"), "n_byte_pieces": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decodes": F.lit(True)})
     if with_ids:
         schema = schema.withColumn("ids", F.array(F.lit(0)))
-    return docs.mapInArrow(_encoder(tuple(read_pieces(model)), len(docs.columns), with_ids), schema.schema)
+    return docs.mapInArrow(frugal(_encoder(tuple(read_pieces(model)), len(docs.columns), with_ids)), schema.schema)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -201,7 +203,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
             text = pa.array([machine.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], text], [*batch.schema.names, "text"])
 
-    return rows.mapInArrow(run, rows.withColumn("text", F.lit("")).schema)
+    return rows.mapInArrow(frugal(run), rows.withColumn("text", F.lit("")).schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
