@@ -146,9 +146,10 @@ class Spans:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in a buffer of texts, and words before each text (n+1)."""
-    inside = ~_IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in a buffer of texts, and words before each text (n+1). apart: whether
+    a byte separates words."""
+    inside = ~apart[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

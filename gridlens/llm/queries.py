@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, lines, lm, mixing, partenum, pieces, pq, quality, substrings, warc
+from . import chat, exact_dedup, lines, lm, mixing, partenum, phrases, pieces, pq, quality, substrings, warc, whiten
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_jaccard_join": partenum.op8_jaccard_join,
     "op9_embedding_near_dedup": pq.op9_embedding_near_dedup,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
+    "op12_embedding_whitening": whiten.op12_embedding_whitening,
     "op13_line_dedup": lines.op13_line_dedup,
 }
 
@@ -23,5 +25,6 @@ ORACLE_SQL = {
     "op6_mixing": mixing.OP6_SQL,
     "op8_jaccard_join": partenum.OP8_SQL,
     "op9_embedding_near_dedup": pq.OP9_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
     "op13_line_dedup": lines.OP13_SQL,
 }
