@@ -24,7 +24,7 @@ from .common import _LOWER, Spans, mix, shuffle_width, slices, small, stage, utf
 #: that makes it a part of that, and the phrases listed for a language.
 LONGEST, LEAST, PART_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of text in a shard, at most about (a longer single text is in one shard).
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: A text has a key per phrase length and word, words are this many bytes at least on average.
 WORD_BYTES = 5
 UNKNOWN = "und"
@@ -150,7 +150,7 @@ def _asker(longest: int, parts: int):
         found, keys, tags, order = _questions(Shard(rows.column("text"), rows.column("lang")), longest)
         counts = np.concatenate([count for _, count, _ in found])
         ask = ranges.asked(rows.column("shard")[0].as_py(), keys[order], tags[order], counts[order], parts)
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # workers are reused
         return pa.Table.from_batches([ask])
 
     return run
@@ -211,6 +211,7 @@ def _writer(longest: int, percent: int):
         rights += [None] * len(each)
         whole = pa.list_(pa.int64())
         pa.default_memory_pool().release_unused()
+        del shard, found, keys, order, said, totals
         return pa.Table.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64()), pa.array(lefts, whole), pa.array(rights, whole)], names=["lang", "phrase", "a", "ls", "rs"])
 
     return run

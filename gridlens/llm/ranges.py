@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 ASK = "part int, block long, tags binary, counts binary"
 ANSWER = "part int, block long, said binary"
 #: Keys that a range gets, at most about.
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 1_000_000
 _ASK_NAMES, _ANSWER_NAMES = ([c.split()[0] for c in s.split(", ")] for s in (ASK, ANSWER))
 
 
@@ -59,6 +59,7 @@ def answers(questions: DataFrame, judge: Callable[[list[np.ndarray], list[np.nda
         tags = [np.frombuffer(t, "<u8") for t in rows.column("tags").to_pylist()]
         counts = [unpacked(c) for c in rows.column("counts").to_pylist()]
         said = pa.array([packed(s) for s in judge(tags, counts)], pa.binary())
+        pa.default_memory_pool().release_unused()  # workers are reused
         return pa.Table.from_arrays([rows.column("part"), rows.column("block"), said], names=_ANSWER_NAMES)
 
     return questions.select(*_ASK_NAMES).groupBy("part").applyInArrow(run, ANSWER)
