@@ -206,8 +206,11 @@ def _passages(docs: DataFrame, least: int) -> DataFrame:
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) + least - 1).alias("stop"))
     )
     kept = F.col("first_doc_id") == F.col("doc_id")
-    trim = lambda f, c, g, other: F.when(kept, f(F.col(c), F.coalesce(g(other).over(order), F.col(c)))).otherwise(F.col(c)).alias(c)
-    trimmed = [trim(F.greatest, "start", F.lag, "end"), trim(F.least, "end", F.lead, "start"), trim(F.greatest, "at", F.lag, "stop"), trim(F.least, "stop", F.lead, "at")]
+    # what a kept run covers stays, so a cut one between kept ones is what they leave; runs ahead may reach over several
+    ahead, beyond = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    from_ = lambda c, other: F.when(kept, F.col(c)).otherwise(F.greatest(c, F.coalesce(F.max(F.when(kept, F.col(other))).over(ahead), F.col(c)))).alias(c)
+    until = lambda c, other: F.when(kept, F.col(c)).otherwise(F.least(c, F.coalesce(F.min(F.when(kept, F.col(other))).over(beyond), F.col(c)))).alias(c)
+    trimmed = [from_("start", "end"), until("end", "start"), from_("at", "stop"), until("stop", "at")]
     return runs.select(*row, "first_doc_id", *trimmed, kept.alias("kept")).withColumn("n_words", (F.col("stop") - F.col("at")).cast("long")).where("n_words > 0")
 
 
@@ -216,9 +219,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc_id, start, end (byte offsets of whole words), n_words, first_doc_id (smallest id in which its windows of
     min_words words occur) and kept (this is the first document).
 
-    All such passages are found. One is split where first_doc_id changes; parts may overlap by fewer than
-    min_words words, and of a kept one only what no other part takes is listed, so a kept row may be shorter
-    than min_words and its words do stay. Words are compared with their case, separators between them are not.
+    All such passages are found. One is split where first_doc_id changes. Kept parts are listed whole, so each window
+    of min_words words stands whole in the first document that holds it; of a part that is not kept only what no
+    kept part of its document covers is listed, so it may be shorter than min_words. Words are compared with their case, separators between them are not.
     Null texts and rows without doc_id have none; rows that repeat a doc_id count as one document,
     so passages within a document only are not listed. Other columns are ignored.
     """

@@ -362,12 +362,7 @@ def test_passages_of_51_to_60_short_words_match_brute_force(spark, most):
             texts[100 * copy + k] = f"{said(2000 + 10 * k + copy, 30 + k, 1, most)} {passage} {said(3000 + 10 * k + copy, 70, 1, most)}"
     texts[300], texts[301] = texts[7] + " end", "x " + texts[107].replace(" ", "\n")  # near copies
     texts[302], texts[303] = "a " * 120, "b " + "a " * 70
-    want = defaultdict(set)  # words cut in each document
-    listed = defaultdict(set)
-    for d, i, first in repeated_windows(texts, 51):
-        listed[d] |= set(range(i, i + 51))
-        if first < d:
-            want[d] |= set(range(i, i + 51))
+    want, listed = cut_words(texts, 51)
     cut, seen = defaultdict(set), defaultdict(set)
     for r in substrings.repeated_passages(odd_docs(spark, [(d, t, None, None, 0) for d, t in texts.items()])).collect():
         raw = texts[r["doc_id"]].encode()
@@ -375,11 +370,48 @@ def test_passages_of_51_to_60_short_words_match_brute_force(spark, most):
         assert n == r["n_words"] and r["kept"] == (r["first_doc_id"] == r["doc_id"])
         seen[r["doc_id"]] |= set(range(at, at + n))
         if not r["kept"]:
-            assert n >= 51
             cut[r["doc_id"]] |= set(range(at, at + n))
+        else:
+            assert n >= 51
     assert cut == want and seen == listed and len(want) > 40
 
 
+def cut_words(texts, least):
+    """By document the words that are cut (in a window that is first elsewhere, and in none that is first here)
+    and those in any repeated window."""
+    cut, kept = defaultdict(set), defaultdict(set)
+    for d, i, first in repeated_windows(texts, least):
+        (cut if first < d else kept)[d] |= set(range(i, i + least))
+    want = {d: c - kept[d] for d, c in cut.items() if c - kept[d]}
+    return want, {d: cut[d] | kept[d] for d in {*cut, *kept}}
+
+
+def test_a_passage_across_two_others_stays_where_it_is_first(spark):
+    a, b = said(21, 60), said(22, 60)
+    texts = {1: b, 2: f"{a} {b}", 3: " ".join(a.split()[30:] + b.split()[:30])}
+    left = {d: words(t) for d, t in (texts | without(spark, texts)).items()}
+    assert left == {1: b.split(), 2: a.split() + b.split()[:30], 3: []}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_each_repeated_window_stands_whole_in_its_first_document(spark, seed):
+    rng = random.Random(seed)
+    pool = said(500 + seed, 400).split()
+    texts = {}
+    for d in range(14):
+        parts = [said(1000 * seed + 10 * d + k, rng.randint(0, 30)).split() + pool[(at := rng.randrange(330)) : at + rng.randint(20, 150)] for k in range(rng.randint(1, 3))]
+        texts[d] = " ".join(w for p in parts for w in p)
+    left = texts | without(spark, texts)
+    stands = {d: {tuple(w[i : i + 51]) for i in range(len(w) - 50)} for d, w in ((d, words(t)) for d, t in left.items())}
+    want, _ = cut_words(texts, 51)
+    assert want
+    for d, i, first in repeated_windows(texts, 51):
+        assert tuple(words(texts[d])[i : i + 51]) in stands[first]
+    for d, t in texts.items():
+        w = words(t)
+        assert words(left[d]) == [x for i, x in enumerate(w) if i not in want.get(d, set())]
+
+
 def without(spark, texts):
     docs = odd_docs(spark, [(d, t, None, None, 0) for d, t in texts.items()])
     return {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
