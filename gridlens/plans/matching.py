@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import describe_load as described
 from ..operators import calibration, evaluation, matching, steps, synthesis, tracker
 from ..schema import devices, devices_sql
-from ..streaming import live
 from .signal import METER, STEP_CTE, STEPS, meter, rounded, step_cte
 
 #: Devices that a recording of the event table is taken to switch, in order.
@@ -127,30 +126,6 @@ def switch_events(spark, sf_dir):
     return rounded(tracker.switch_events(_timeline(spark, sf_dir)), "t_sec")
 
 
-#: What makes live steps equal to a batch's: all rows are kept, and a step is final once all rows that bear on it are in.
-WHOLE = live.LiveRules(confirm_s=20.0, keep_s=1e9)
-
-
-def _session(spark, sf_dir):
-    session = live.Live(spark, live.new_folder(spark), devices(spark), WHOLE, seed=False)
-    live.replay(_signals(spark, sf_dir), session, batches=2)
-    return session
-
-
-def stream_steps(spark, sf_dir):
-    """The summed signals through a live session, two micro-batches."""
-    return rounded(_session(spark, sf_dir).steps().drop("thd_i_after"), "t_sec", "delta_p", "delta_q", "p_before", "p_after")
-
-
-def stream_tracker(spark, sf_dir):
-    return _shown(_session(spark, sf_dir).timeline())
-
-
-def stream_latest(spark, sf_dir):
-    """Each signal's running set after its last micro-batch."""
-    return rounded(_session(spark, sf_dir).latest(1).withColumn("active", F.concat_ws("+", "active")), "last_t")
-
-
 def _checks(spark, sf_dir):
     return _plan(spark, sf_dir).select("series_id", F.explode(F.array("on_idx", "off_idx")).alias("at")).distinct().select("series_id", (F.col("at") / 5).alias("t"))
 
@@ -223,7 +198,6 @@ QUERIES = {
     "calibrate_zip": calibrate_zip, "apply_calibration": apply_calibration, "sum_signal": sum_signal, "truth_events": truth_events, "active_long": active_long,
     "tracker_timeline": tracker_timeline, "synthetic_steps": synthetic_steps, "synthetic_timeline": synthetic_timeline, "switch_events": switch_events, "asof_truth": asof_truth, "asof_pred": asof_pred,
     "jaccard_eval": jaccard_eval, "tracker_eval": tracker_eval, "greedy_match": greedy_match, "step_scores": step_scores, "sample_runs": sample_runs,
-    "stream_steps": stream_steps, "stream_tracker": stream_tracker, "stream_latest": stream_latest,
 }
 
 DEV = devices_sql()
@@ -322,6 +296,15 @@ gm(series_id, no, used, hit) AS (
   SELECT series_id, no, CASE WHEN best.d <= 2.0 THEN list_append(used, best.no) ELSE used END, CASE WHEN best.d <= 2.0 THEN best END FROM (
     SELECT d.series_id, d.no, used, list_min(list_transform(list_filter(l, lambda x: x.s = sign(d.delta_p) AND NOT list_contains(used, x.no)), lambda x: {'d': abs(x.t - d.t_sec), 'no': x.no})) AS best
     FROM gm JOIN d ON d.series_id = gm.series_id AND d.no = gm.no + 1 JOIN tl ON tl.series_id = d.series_id))"""
+#: The loads that explain levels lv(series_id, pn, qn), no distortion being known.
+_STANDING = """l2 AS (SELECT *, sqrt(pn*pn + qn*qn) AS mag FROM lv),
+si AS (SELECT series_id, device, ord, sqrt(power((P - pn) / CASE WHEN varies THEN 15 ELSE 2 END, 2) + power((Q - qn) / CASE WHEN varies THEN 15 ELSE 2 END, 2)) AS score,
+  sqrt(power(CASE WHEN varies AND p_lo IS NOT NULL THEN CASE WHEN pn < p_lo THEN p_lo - pn WHEN pn > p_hi THEN pn - p_hi ELSE 0 END ELSE P - pn END, 2) + power(Q - qn, 2)) AS res FROM l2, dev),
+s1 AS (SELECT * FROM si QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score, ord) = 1),
+cb AS (SELECT series_id, members, size, ords, sqrt(power(P - pn, 2) + power(Q - qn, 2)) + 4 * (size - 1) AS res FROM l2, combos WHERE size > 1 AND least_va >= 0.1 * mag),
+c1 AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY res, size, ords) = 1),
+j AS (SELECT l2.*, s1.device, s1.res AS sres, c1.members, c1.res AS cres, greatest(8.0, 0.1 * mag) AS tol, coalesce(c1.res + greatest(2.0, 0.03 * mag) < s1.res, false) AS wins, mag < 3 AS idle FROM l2 JOIN s1 USING (series_id) LEFT JOIN c1 USING (series_id)),
+r AS (SELECT *, CASE WHEN wins THEN cres ELSE sres END AS res FROM j)"""
 ORACLE_SQL = {
     "describe_load": _described_sql(),
     "nearest_device": f"""WITH {STEP_CTE}, {DEV}, {_LOAD}, n AS (SELECT series_id, idx, device, ord, sqrt((dev.P - lp) * (dev.P - lp) + (dev.Q - lq) * (dev.Q - lq)) AS err FROM ld2, dev)
@@ -331,14 +314,7 @@ SELECT series_id, idx, CAST(rank AS INTEGER) AS rank, device FROM n WHERE rank <
     "match_combo": f"{_MATCH} SELECT series_id, idx, array_to_string(list_sort(members), '+') AS members, round(err, 6) + 0.0 AS err, err <= greatest(10.0, 0.18 * sqrt(delta_p*delta_p + delta_q*delta_q)) AS ok FROM be",
     "novel_steps": f"{_MATCH} SELECT series_id, idx, round(err, 6) + 0.0 AS err, err > 30 AS novel FROM be",
     "standing_load": f"""WITH {METER}, {DEV}, {COMBOS}, lv AS (SELECT series_id, median(p) AS pn, median(q) AS qn FROM meter GROUP BY series_id),
-l2 AS (SELECT *, sqrt(pn*pn + qn*qn) AS mag FROM lv),
-si AS (SELECT series_id, device, ord, sqrt(power((P - pn) / CASE WHEN varies THEN 15 ELSE 2 END, 2) + power((Q - qn) / CASE WHEN varies THEN 15 ELSE 2 END, 2)) AS score,
-  sqrt(power(CASE WHEN varies AND p_lo IS NOT NULL THEN CASE WHEN pn < p_lo THEN p_lo - pn WHEN pn > p_hi THEN pn - p_hi ELSE 0 END ELSE P - pn END, 2) + power(Q - qn, 2)) AS res FROM l2, dev),
-s1 AS (SELECT * FROM si QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score, ord) = 1),
-cb AS (SELECT series_id, members, size, ords, sqrt(power(P - pn, 2) + power(Q - qn, 2)) + 4 * (size - 1) AS res FROM l2, combos WHERE size > 1 AND least_va >= 0.1 * mag),
-c1 AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY res, size, ords) = 1),
-j AS (SELECT l2.*, s1.device, s1.res AS sres, c1.members, c1.res AS cres, greatest(8.0, 0.1 * mag) AS tol, coalesce(c1.res + greatest(2.0, 0.03 * mag) < s1.res, false) AS wins, mag < 3 AS idle FROM l2 JOIN s1 USING (series_id) LEFT JOIN c1 USING (series_id)),
-r AS (SELECT *, CASE WHEN wins THEN cres ELSE sres END AS res FROM j)
+{_STANDING}
 SELECT series_id, round(pn, 6) + 0.0 AS P_now, round(qn, 6) + 0.0 AS Q_now, idle, CASE WHEN idle OR res > tol THEN '' WHEN wins THEN array_to_string(list_sort(members), '+') ELSE device END AS best,
   round(CASE WHEN idle THEN 0 ELSE res END, 6) + 0.0 AS residual, CAST(CASE WHEN idle THEN 100 WHEN res > tol THEN 0 ELSE greatest(5, least(99, round_even(100.0 * (1.0 - res / tol), 0))) END AS INTEGER) AS confidence,
   NOT idle AND res <= tol AND NOT wins AS single,
@@ -362,12 +338,8 @@ UNION ALL SELECT series_id, round(off_idx / 5, 6) + 0.0, device, 'off', -P + 0.0
     "jaccard_eval": f"""WITH {_PLAN}, {_IDEAL}, {_ASOF.format(shift='ck.t + 0.5')}, b AS (SELECT active, predicted, len(list_intersect(active, predicted)) AS x, len(list_distinct(active || predicted)) AS u FROM tru JOIN pr USING (series_id, t))
 SELECT round(avg(CASE WHEN u = 0 THEN 1.0 ELSE x / u END), 6) + 0.0 AS jaccard, round(avg(CASE WHEN list_sort(active) = list_sort(predicted) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS exact_set_rate, count(*) AS n_checks FROM b""",
     "synthetic_steps": f"WITH {_SYNTH} SELECT series_id, idx, round(t_sec, 6) + 0.0 AS t_sec, round(delta_p, 6) + 0.0 AS delta_p, round(delta_q, 6) + 0.0 AS delta_q, round(p_before, 6) + 0.0 AS p_before, round(p_after, 6) + 0.0 AS p_after FROM steps",
-    "stream_steps": f"WITH {_SYNTH} SELECT series_id, round(t_sec, 6) + 0.0 AS t_sec, round(delta_p, 6) + 0.0 AS delta_p, round(delta_q, 6) + 0.0 AS delta_q, round(p_before, 6) + 0.0 AS p_before, round(p_after, 6) + 0.0 AS p_after FROM steps",
     "tracker_timeline": f"WITH RECURSIVE {STEP_CTE}, {DEV}, {_TRACK} {_SHOWN}",
     "synthetic_timeline": f"WITH RECURSIVE {_SYNTH}, {_TRACK} {_SHOWN}",
-    "stream_tracker": f"WITH RECURSIVE {_SYNTH}, {_TRACK} {_SHOWN}",
-    "stream_latest": f"""WITH RECURSIVE {_SYNTH}, {_TRACK}, la AS (SELECT series_id, arg_max(active, step_no) AS active FROM tn GROUP BY series_id)
-SELECT g.series_id, round(max(g.idx) / 5, 6) + 0.0 AS last_t, array_to_string(coalesce(any_value(active), []), '+') AS active FROM gr g LEFT JOIN la ON la.series_id = g.series_id GROUP BY g.series_id""",
     "switch_events": f"""WITH RECURSIVE {_SYNTH}, {_TRACK}, wa AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY series_id ORDER BY step_no), []) AS was FROM tn)
 SELECT series_id, round(t_sec, 6) + 0.0 AS t_sec, unnest(list_filter(active, lambda x: NOT list_contains(was, x))) AS device, 'on' AS kind FROM wa
 UNION ALL SELECT series_id, round(t_sec, 6) + 0.0, unnest(list_filter(was, lambda x: NOT list_contains(active, x))), 'off' FROM wa""",
