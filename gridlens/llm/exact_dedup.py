@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, free_names, shuffle_width, small, stage
+from .common import SEPARATORS, free_names, frugal, shuffle_width, small, stage
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -146,6 +146,7 @@ def _combine(batches):
 
 def _apply(rows: pa.Table) -> pa.Table:
     """Run one shard's operations: its live keys in their buckets, then deletions, then insertions."""
+    pa.default_memory_pool().release_unused()  # of the group before
     cols = {c: rows.column(c).to_pylist() for c in ("shard", "op", *_INDEX_NAMES[1:])}
     ops = cols["op"]
     live = [i for i, op in enumerate(ops) if op == "live"]
@@ -184,7 +185,7 @@ def update_index(inserts: DataFrame, live: DataFrame | None = None, deletes: Dat
         last = live.agg(F.max("shards")).first()[0] if "shards" in live.columns else None
         shards = last or shards
     shards = shards or max(shuffle_width(inserts.sparkSession, 2), inserts.count() // SHARD_KEYS)
-    keys = inserts.select("doc_id", "chars", "digest").mapInArrow(_combine, _KEYS)
+    keys = inserts.select("doc_id", "chars", "digest").mapInArrow(frugal(_combine), _KEYS)
     blank = lambda df: df.withColumns({"size": F.lit(0).cast("long"), "bucket": F.lit(0).cast("long"), "mark": F.lit(0)})
     shard = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard")
     cols = ["op", *_INDEX_NAMES[1:]]

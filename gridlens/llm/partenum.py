@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, frugal, mix, shuffle_width, slices, small, stage, utf8, word_hashes
+from .common import components, free_names, frugal, mix, shuffle_width, slices, small, stage, utf8, word_hashes
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -375,6 +375,7 @@ def _across(threshold: int, every: bool):
                         yield np.full(near.sum(), i), others[js[near]], apart[near]
 
     def pairs(rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the group before
         rows = rows.sort_by([("cell", "ascending"), ("low", "ascending"), ("high", "ascending")])
         get = lambda c: rows.column(c).to_numpy()
         ids, comp, n, side = get("doc_id"), get("component"), get("n"), get("side")
@@ -451,19 +452,63 @@ def _uncounted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n_shingles"])
 
 
+def _sha(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _nodes(docs: DataFrame) -> DataFrame | None:
+    """(own, sha, node): a number, none of the doc_ids, for each text of a doc_id that several rows have; None if no id
+    repeats. docs: doc_id, text."""
+    twice = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return None
+    texts = docs.join(small(twice), "doc_id", "left_semi").select(F.col("doc_id").alias("own"), _sha("text").alias("sha")).distinct()
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = F.monotonically_increasing_id()
+    if low > -(1 << 62):
+        node = F.lit(low) - 1 - at
+    elif high < 1 << 62:
+        node = F.lit(high) + 1 + at
+    else:
+        raise ValueError("doc_ids that repeat need room beside the others within 64 bits")
+    return stage(texts.withColumn("node", node), "nodes")
+
+
+def _renamed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) with nodes for the doc_ids that repeat."""
+    odd = docs.withColumn("key", _sha("text")).join(small(nodes), (F.col("doc_id") == F.col("own")) & (F.col("key") == F.col("sha")), "left")
+    return odd.select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+
+
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and class_id.
 
     Links join documents whose shingle sets have a Jaccard similarity of threshold percent or more;
     component_id is the smallest doc_id reachable over links, class_id the smallest doc_id of an
-    equal set. Null and empty texts have no shingles and no links. doc_id is a key: rows that repeat
-    one get a row each, with the values of one of them; rows without one are linked with nothing and
+    equal set. Null and empty texts have no shingles and no links. doc_ids are whole numbers. Rows that repeat one
+    are told apart by their texts, each with its own shingles and links; rows without one are linked with nothing and
     have neither component nor class. Extra columns are ignored. Shingles are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(_uncounted, "n_shingles long")
+    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(frugal(_uncounted), "n_shingles long")
     docs = docs.where("doc_id IS NOT NULL")
+    nodes = _nodes(docs)
+    if nodes is None:
+        named = _components_by_id(docs, threshold)
+    else:
+        named = _components_by_id(_renamed(docs, nodes), threshold)
+        own = small(nodes.select("node", "own"))
+        named = stage(named.join(own, F.col("doc_id") == F.col("node"), "left").withColumn("doc_id", F.coalesce("own", "doc_id")).drop("node", "own"), "named")
+        for name in ("component_id", "class_id"):
+            least = named.groupBy(F.col(name).alias("was")).agg(F.min("doc_id").alias("least"))
+            named = named.join(least, F.col(name) == F.col("was")).withColumn(name, F.col("least")).drop("was", "least")
+    none = F.lit(None).cast("long")
+    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), none.alias("class_id")))
+
+
+def _components_by_id(docs: DataFrame, threshold: int) -> DataFrame:
+    """The rows of jaccard_components for docs (doc_id, text) whose doc_id tells the text."""
+    spark = docs.sparkSession
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(1 << 22, max(shuffle_width(spark), bytes_ // PART_BYTES))
     found = stage(docs.mapInArrow(frugal(_mapper(parts, threshold)), _MAPPED).groupBy("part").applyInArrow(_reduce, _FOUND), "signed")
@@ -506,19 +551,34 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
                 break
             cells = stage(cells.join(small(again), ["cell", "low", "high"], "left_semi"), "blocked")
             every = not linked  # where the closest pairs link nothing more, the rest is looked at too
-    named = (
+    return (
         member.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class_id")
     )
-    none = F.lit(None).cast("long")
-    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), none.alias("class_id")))
 
 
 def kept_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id, with all columns.
-    Documents without words or without a doc_id stay."""
-    gone = stage(jaccard_components(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component stays, the one with the smallest doc_id (of several texts of that id, any one),
+    with all columns. Documents without words or without a doc_id stay. Rows that repeat a doc_id and its text
+    are copies, of which one stays."""
+    slim = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    nodes = _nodes(slim)
+    if nodes is None:
+        found = _components_by_id(slim, threshold)
+        gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    found = _components_by_id(_renamed(slim, nodes), threshold).select("doc_id", "component_id").distinct()
+    found = stage(found.join(small(nodes), F.col("doc_id") == F.col("node"), "left").withColumn("own", F.coalesce("own", "doc_id")), "found")
+    keep = found.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("keep"))
+    gone = stage(found.join(keep, "component_id").where(F.col("keep.doc_id") != F.col("doc_id")).select("doc_id", "own", "sha"), "gone")
+    row, sha, stay = free_names(docs, "row", "sha", "stay")
+    again = small(nodes.select(F.col("own").alias(row)).distinct())
+    plain = docs.withColumn(row, F.col("doc_id").cast("long")).join(small(gone.where("sha IS NULL").select(F.col("doc_id").alias(row))), row, "left_anti").join(again, row, "left_anti")
+    left = nodes.join(gone.select(F.col("doc_id").alias("node")), "node", "left_anti")
+    left = small(stage(left.select(F.col("own").alias(stay), F.col("sha").alias(f"{stay}_sha")), "left"))
+    odd = docs.withColumns({row: F.col("doc_id").cast("long"), sha: _sha("text")}).join(again, row, "left_semi")
+    odd = odd.join(left, (F.col(row) == F.col(stay)) & (F.col(sha) == F.col(f"{stay}_sha")), "left_semi").dropDuplicates([row, sha])
+    return plain.select(*docs.columns).unionByName(odd.select(*docs.columns))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Weights are whole millionths, so that sums are exact and ties are real.
 SCALE = 1_000_000
-#: Segments whose paths a Python worker remembers, in two generations of half as many.
-REMEMBERED = 400_000
+#: Bytes of segments and their paths that a task remembers, at most about, in two generations of half as many.
+REMEMBERED_BYTES = 24 << 20
 
 
 def read_pieces(path: str = MODEL) -> list[tuple[str, int, int]]:
@@ -81,8 +81,13 @@ class Transducer:
             self.parts = re.compile(r".+", re.S).findall
         else:
             self.parts = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else r" *[^ ]+| +").findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the segments that are remembered."""
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.young_bytes = 0
 
     def shortest(self, text: str) -> tuple[int, ...]:
         """Ids of the least-weight path; of equal weights, the path whose last pieces are longest."""
@@ -125,8 +130,9 @@ class Transducer:
                 ids = self.old.get(part) or self.shortest(part)
                 if len(part) < 64:
                     young[part] = ids
-                    if len(young) > REMEMBERED // 2:
-                        self.old, self.young = young, {}
+                    self.young_bytes += 200 + 4 * len(part) + 8 * len(ids)  # of the text, the tuple and their place
+                    if self.young_bytes > REMEMBERED_BYTES // 2:
+                        self.old, self.young, self.young_bytes = young, {}, 0
                         young = self.young
             out += ids
         return out
@@ -172,6 +178,7 @@ def _encoder(pieces: tuple, width: int, with_ids: bool):
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        machine.forget()  # workers are reused
 
     return rows
 

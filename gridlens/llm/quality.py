@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Spans, free_names, slices, utf8, word_bounds
+from .common import SEPARATORS, Spans, free_names, frugal, slices, utf8, word_bounds
 
 #: Rows with crc32(doc_id as text) mod FOLDS equal to HELD_OUT teach nothing.
 FOLDS, HELD_OUT = 4, 2
@@ -199,7 +199,7 @@ def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def _scored(docs: DataFrame, model: PUClassifier | None, name: str) -> DataFrame:
     docs = docs.drop(name)
     out = docs.withColumn(name, F.lit(0.5))
-    return out if model is None else docs.mapInArrow(_scorer(model, out.columns), out.schema)
+    return out if model is None else docs.mapInArrow(frugal(_scorer(model, out.columns)), out.schema)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -156,14 +156,32 @@ def test_mixing_empty(spark):
 # ---- Jaccard join ---------------------------------------------------------------------------
 
 
+def jaccard_of_rows(rows):
+    """(doc_id, shingles, component) of each row; rows are told apart by id and text."""
+    sets = {(doc_id, text or ""): shingles(text) for doc_id, text, *_ in rows}
+    keys = sorted(sets)
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = least_reachable(range(len(keys)), [(keys.index(a), keys.index(b)) for a, b in links])
+    at = {k: (len(sets[k]), keys[comp[i]][0]) for i, k in enumerate(keys)}
+    return [(doc_id, *at[doc_id, text or ""]) for doc_id, text, *_ in rows]
+
+
 def jaccard_wanted(rows):
-    sets = {}
-    for doc_id, text, *_ in rows:
-        sets.setdefault(doc_id, shingles(text))
-    ids = list(sets)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    comp = least_reachable(ids, links)
-    return {i: (len(sets[i]), comp[i]) for i in ids}
+    return {doc_id: (n, c) for doc_id, n, c in jaccard_of_rows(rows)}
+
+
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    base, clean = said(31, 160), said(32, 150)
+    near = base.replace(base.split()[80], "changed", 1)
+    rows = [(1, base), (2, near), (2, clean), (2, clean), (3, clean.upper()), (3, ""), (4, near), (4, base), (5, said(33, 90)), (7, None), (7, "")]
+    rows += [(9, said(40 + i, 30)) for i in range(6)] + [(9, said(43, 30))]
+    rows = [(i, t, "en", "web", 0) for i, t in rows]
+    out = partenum.jaccard_components(odd_docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(jaccard_of_rows(rows))
+    kept = partenum.kept_documents(odd_docs(spark, rows))
+    assert set(kept.columns) == set(odd_docs(spark, rows).columns)
+    left = sorted((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert left == sorted({(1, base), (2, clean), (3, ""), (5, said(33, 90)), (7, ""), *((9, said(40 + i, 30)) for i in range(6))})
 
 
 def check_jaccard(spark, rows):
