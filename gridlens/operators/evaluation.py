@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import CHUNK_SECONDS, carried, in_chunk
+
 MATCH_SCHEMA = "series_id string, detected_no int, truth_no int, dt double"
 
 
-def match_to_truth(detected: DataFrame, truth: DataFrame, tol_s: float = 2.0) -> DataFrame:
+def match_to_truth(detected: DataFrame, truth: DataFrame, tol_s: float = 2.0, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
     """One-to-one matches: each detected step, in its order, takes the unused true event of its sign
-    that is nearest in time and within tol_s; of equally near ones the first. The exclusion is
-    sequential within a signal, so signals are the unit of work.
+    that is nearest in time and within tol_s; of equally near ones the first.
+
+    The exclusion is sequential, but events farther apart than tol_s are no rivals: a signal is cut where nothing
+    happens for longer than that, and its parts are matched apart, those that begin in one chunk of time together.
+    Events without a time match nothing.
 
     detected, truth: series_id, no, t_sec, delta_p.
     """
 
-    def pairs(key, d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("no").reset_index(drop=True)
+    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        d, t = rows[rows["_found"]], rows[~rows["_found"]].sort_values("no").reset_index(drop=True)
         sign = (t["delta_p"] > 0).astype(int) - (t["delta_p"] < 0).astype(int)
         free = pd.Series(True, t.index)
         out = []
@@ -31,7 +36,14 @@ def match_to_truth(detected: DataFrame, truth: DataFrame, tol_s: float = 2.0) ->
         return pd.DataFrame(out, columns=["series_id", "detected_no", "truth_no", "dt"])
 
     cols = ["series_id", "no", "t_sec", "delta_p"]
-    return detected.select(*cols).groupBy("series_id").cogroup(truth.select(*cols).groupBy("series_id")).applyInPandas(pairs, MATCH_SCHEMA)
+    both = detected.select(*cols, F.lit(True).alias("_found")).unionByName(truth.select(*cols, F.lit(False).alias("_found"))).where("t_sec IS NOT NULL")
+    nearer = lambda a, b: F.coalesce(a, b)
+    ahead = {"_before": (F.max("t_sec").over(in_chunk("t_sec", last=-1)), F.max("t_sec"), lambda c, by: F.max(c).over(by), nearer)}
+    both = carried(both, ahead, chunk_s=chunk_s)
+    both = both.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("t_sec") - F.col("_before") > tol_s), F.col("t_sec")))
+    parts = {"_part": (F.max("_start").over(in_chunk("t_sec")), F.max("_start"), lambda c, by: F.max(c).over(by), nearer)}
+    both = carried(both, parts, chunk_s=chunk_s).withColumn("_part", F.floor(F.col("_part") / chunk_s))
+    return both.select(*cols, "_found", "_part").groupBy("series_id", "_part").applyInPandas(pairs, MATCH_SCHEMA)
 
 
 def precision_recall(matches: DataFrame, detected: DataFrame, truth: DataFrame) -> DataFrame:
@@ -52,13 +64,15 @@ def scores_by(matches: DataFrame, detected: DataFrame, truth: DataFrame, groups:
     return each.withColumns({"precision": share("detected"), "recall": share("truth")})
 
 
-def _asof(left: DataFrame, right: DataFrame, value: str, forward: bool) -> DataFrame:
+def _asof(left: DataFrame, right: DataFrame, value: str, forward: bool, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
     """left (series_id, t, ...) with the value of right (series_id, t, value) at the last t before or at
-    each t, or the first at or after it. One sort of the union, no row pairs."""
-    both = left.withColumn("_left", F.lit(True)).unionByName(right.select("series_id", "t", value, F.lit(False).alias("_left")), allowMissingColumns=True)
-    order = [F.col("t").desc() if forward else F.col("t").asc(), F.col("_left").asc()]
-    over = Window.partitionBy("series_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(over)).where("_left").drop("_left")
+    each t, or the first at or after it. A sort of the union by chunks of time and a value carried over from
+    chunk to chunk; no row pairs."""
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.select("series_id", "t", F.col(value).alias("_value"), F.lit(False).alias("_left")), allowMissingColumns=True)
+    inside = F.last("_value", ignorenulls=True).over(in_chunk(F.col("t").desc() if forward else F.col("t").asc(), F.col("_left").asc()))
+    own = (F.min_by if forward else F.max_by)("_value", F.when(F.col("_value").isNotNull(), F.col("t")))
+    made = {value: (inside, own, lambda c, by: F.last(c, ignorenulls=True).over(by), lambda a, b: F.coalesce(a, b))}
+    return carried(both, made, "t", forward, chunk_s).where("_left").drop("_left", "_value")
 
 
 def active_at(checks: DataFrame, active: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a series that one window partition holds, halo apart.
+#: Rows of a series that one window partition holds, halo apart, and seconds where windows go by time.
 CHUNK_ROWS = 1 << 20
+CHUNK_SECONDS = 86_400.0
 
 
 def odd_width(seconds: float, sps: int) -> int:
@@ -65,10 +66,12 @@ def series_lengths(df: DataFrame) -> DataFrame:
 
 def sample_rates(df: DataFrame, default: int = 5) -> DataFrame:
     """(series_id, sps): rows a second from the median gap, at least 1."""
+    from .medians import medians
+
     gap = F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("series_id", "chunk").orderBy("idx"))
     gaps = own_rows(with_halo(df.select("series_id", "idx", "t_sec"), 1, 0).withColumn("gap", gap))
-    rate = F.greatest(F.lit(1), F.bround(F.try_divide(F.lit(1.0), F.median("gap"))).cast("int"))
-    return gaps.groupBy("series_id").agg(F.when(F.count("gap") > 0, rate).otherwise(default).alias("sps"))
+    rate = F.greatest(F.lit(1), F.bround(F.try_divide(F.lit(1.0), F.col("median"))).cast("int"))
+    return medians(gaps, {"median": "gap"}).select("series_id", F.when(F.col("median").isNotNull(), rate).otherwise(default).alias("sps"))
 
 
 def islands(marked: DataFrame, most_gap: int = 0) -> DataFrame:
@@ -92,13 +95,37 @@ def rows_within(ranges: DataFrame, df: DataFrame, first: str, last: str, rows: i
     return wide.join(binned, ["series_id", "bin"]).where(F.col("idx").between(F.col(first), F.col(last))).drop("bin")
 
 
-def settled_windows(df: DataFrame, seconds: int = 5, least: float = 1.5, share: float = 0.02) -> DataFrame:
+def settled_windows(df: DataFrame, seconds: int = 5, least: float = 1.5, share: float = 0.02, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
     """df with p_std, s_std over the last `seconds` and `settled`: either deviation is within
-    max(least, share * mean size). Time-based frames, so they run over a whole series."""
-    over = Window.partitionBy("series_id").orderBy("t_sec").rangeBetween(-seconds, 0)
+    max(least, share * mean size). A series is cut by time; each chunk also holds the `seconds` before it."""
+    chunk_s = max(chunk_s, 8.0 * seconds)
+    own, next_ = (F.floor((F.col("t_sec") + shift) / chunk_s) for shift in (0, seconds))
+    wide = df.withColumn("_chunk", F.explode(F.array_distinct(F.array(own, next_))))
+    over = Window.partitionBy("series_id", "_chunk").orderBy("t_sec").rangeBetween(-seconds, 0)
     s = F.hypot("p", "q")
     calm = lambda c: F.stddev_pop(c).over(over) <= F.greatest(F.lit(least), share * F.greatest(F.abs(F.avg(c).over(over)), F.lit(1.0)))
-    return df.withColumns({"p_std": F.stddev_pop("p").over(over), "s_std": F.stddev_pop(s).over(over), "settled": calm(F.col("p")) | calm(s)})
+    out = wide.withColumns({"p_std": F.stddev_pop("p").over(over), "s_std": F.stddev_pop(s).over(over), "settled": calm(F.col("p")) | calm(s)})
+    return out.where(own.eqNullSafe(F.col("_chunk"))).drop("_chunk")
+
+
+def carried(df: DataFrame, made: dict[str, tuple], t: str = "t_sec", backward: bool = False, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
+    """df with further columns that look over all rows of a series up to each one (backward: from it on), by chunks of
+    time. made: name to (value within the chunk, given its window of rows; the chunk's own value as an aggregate; how
+    the chunks before give theirs, given a window over them; how both are joined)."""
+    chunk = F.floor(F.col(t) / chunk_s)
+    df = df.withColumn("_chunk", chunk)
+    by = Window.partitionBy("series_id").orderBy(F.col("_chunk").desc() if backward else F.col("_chunk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumns({f"_in_{name}": value for name, (value, _, _, _) in made.items()})
+    chunks = df.groupBy("series_id", "_chunk").agg(*[own.alias(f"_own_{name}") for name, (_, own, _, _) in made.items()])
+    before = chunks.select("series_id", "_chunk", *[far(F.col(f"_own_{name}"), by).alias(f"_far_{name}") for name, (_, _, far, _) in made.items()])
+    out = inside.join(before, ["series_id", "_chunk"], "left")
+    out = out.withColumns({name: both(F.col(f"_in_{name}"), F.col(f"_far_{name}")) for name, (_, _, _, both) in made.items()})
+    return out.drop("_chunk", *[f"{kind}{name}" for name in made for kind in ("_in_", "_far_")])
+
+
+def in_chunk(*order, first=Window.unboundedPreceding, last: int = 0):
+    """The window of `carried` within a chunk."""
+    return Window.partitionBy("series_id", "_chunk").orderBy(*order).rowsBetween(first, last)
 
 
 def every_nth(df: DataFrame, most: int = 900) -> DataFrame:
@@ -107,8 +134,11 @@ def every_nth(df: DataFrame, most: int = 900) -> DataFrame:
     return df.join(n, "series_id").where(F.col("idx") % F.ceil(F.col("n") / most) == 0).drop("n")
 
 
-def segments(df: DataFrame, events: DataFrame) -> DataFrame:
-    """df with segment_no, the number of events (series_id, t_sec) of its series before each row."""
+def segments(df: DataFrame, events: DataFrame, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
+    """df with segment_no, the number of events (series_id, t_sec) of its series before each row, counted by
+    chunks of time."""
     both = df.withColumn("event", F.lit(0)).unionByName(events.select("series_id", "t_sec", F.lit(1).alias("event")), allowMissingColumns=True)
-    before = Window.partitionBy("series_id").orderBy("t_sec", F.col("event")).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("segment_no", F.coalesce(F.sum("event").over(before), F.lit(0))).where("event = 0").drop("event")
+    inside = F.sum("event").over(in_chunk("t_sec", "event", last=-1))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    made = {"segment_no": (inside, F.sum("event"), lambda c, by: F.sum(c).over(by), lambda a, b: none(a) + none(b))}
+    return carried(both, made, chunk_s=chunk_s).where("event = 0").drop("event")

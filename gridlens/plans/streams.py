@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import devices
 from ..sources.replay import Replay, write_replay
+from ..staging import new_folder
 from ..streaming import keyed, live
 from .matching import _STANDING, _SUMMED, _TRACK, COMBOS, _signals
 from .signal import rounded, step_cte
@@ -23,7 +24,7 @@ _LATE = "(idx * 7 + s) % 41 = 0"
 
 def _found(spark, sf_dir):
     """(folder, stream of what is detected)."""
-    folder = live.new_folder(spark)
+    folder = new_folder(spark)
     rows = _signals(spark, sf_dir).withColumns({"s": F.col("series_id").cast("long"), "t": F.col("t_sec")}).where(_COMES)
     due = F.col("t_sec") + F.when(F.expr(_LATE), float(DELAY)).otherwise(0.0)
     write_replay(rows.select("series_id", "t_sec", "p", "q", F.lit(None).cast("double").alias("thd"), due.alias("due")), f"{folder}/replay")

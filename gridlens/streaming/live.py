@@ -8,9 +8,7 @@ same state and writes the same result.
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,6 +22,7 @@ from ..operators.steps import StepRules, detect_steps
 from ..operators.tracker import Rules, switch_events, timelines
 from ..operators.windows import settled_windows
 from ..schema import TIMELINE_SCHEMA
+from ..staging import new_folder
 
 BUFFER_SCHEMA = "series_id string, t_sec double, p double, q double, thd double"
 POINTER_SCHEMA = "series_id string, first_t double, last_t double, finalized double, decided boolean"
@@ -33,14 +32,6 @@ UNKNOWN_SCHEMA = "series_id string, t_sec double, delta_p double, delta_q double
 LIVE_STEP_SCHEMA = "series_id string, t_sec double, delta_p double, delta_q double, p_before double, p_after double, thd_i_after double"
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or in local mode without that setting a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='gridlens-live-')).rstrip('/')}/live-{uuid.uuid4().hex}"
-
-
 def by_session(rows: DataFrame) -> DataFrame:
     """rows with each session after a series' first one as a series of its own (`name#session`), so that a
     source that began anew starts from no state."""
