@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, device_residual, pick_sign, single_score
+from ..staging import staged
 from .medians import medians
 
 #: Devices or combinations that may travel with every row, at most.
@@ -79,9 +80,8 @@ def is_novel_step(steps: DataFrame, devices: DataFrame, threshold: float = 30.0)
 
 def snapshots(df: DataFrame) -> DataFrame:
     """One steady level per series: median P and Q, their deviations, median distortion."""
-    spread = df.groupBy("series_id").agg(F.stddev_pop("p").alias("p_std"), F.stddev_pop("q").alias("q_std"))
-    middle = medians(df.select("series_id", "p", "q", "thd"), {"P_now": "p", "Q_now": "q", "thd_now": "thd"})
-    return middle.join(spread, "series_id").select("series_id", "P_now", "Q_now", "p_std", "q_std", "thd_now")
+    spread = (F.stddev_pop("p").alias("p_std"), F.stddev_pop("q").alias("q_std"))
+    return medians(staged(df.select("series_id", "p", "q", "thd"), "levels"), {"P_now": "p", "Q_now": "q", "thd_now": "thd"}, more=spread)
 
 
 def standing_loads(levels: DataFrame, devices: DataFrame, largest: int = 3, tol_abs: float = 8.0, tol_share: float = 0.10, min_share: float = 0.10, alternatives: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
@@ -47,17 +47,19 @@ def _refined(values: DataFrame, by: str) -> DataFrame:
     return targets.groupBy(by).agg((F.min("low") / 2 + F.max("low") / 2).alias("median"))
 
 
-def medians(df: DataFrame, columns: dict[str, str], by: str = "series_id", long_rows: int = LONG_ROWS) -> DataFrame:
-    """(by, a column for each name of `columns`): exact medians of df's columns by group, null where all are null.
-    Counts the groups first; of a df that is dear to make, give a staged one."""
+def medians(df: DataFrame, columns: dict[str, str], by: str = "series_id", more: tuple[Column, ...] = (), long_rows: int = LONG_ROWS) -> DataFrame:
+    """(by, a column for each name of `columns`, `more`): exact medians of df's columns by group, null where all are
+    null, and further aggregates. Counts the groups first; of a df that is dear to make, give a staged one."""
     plain = [F.median(c).alias(name) for name, c in columns.items()]
     long_ = df.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > long_rows).select(by)
     if long_.isEmpty():
-        return df.groupBy(by).agg(*plain)
+        return df.groupBy(by).agg(*plain, *more)
     long_ = _few(staged(long_, "long"))
-    out = df.join(long_, by, "left_anti").groupBy(by).agg(*plain)
+    out = df.join(long_, by, "left_anti").groupBy(by).agg(*plain, *more)
     found = long_
     for name, c in columns.items():
         values = df.join(long_, by, "left_semi").select(by, F.col(c).cast("double").alias("x")).where("x IS NOT NULL")
         found = found.join(_refined(values, by).withColumnRenamed("median", name), by, "left")
+    if more:
+        found = found.join(df.join(long_, by, "left_semi").groupBy(by).agg(*more), by)
     return out.unionByName(found)

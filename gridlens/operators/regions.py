@@ -37,16 +37,14 @@ def detect_regions(df: DataFrame, rules: RegionRules = RegionRules()) -> DataFra
     samples move once, by series and chunk; only rows above the threshold go on.
     """
     width = odd_width(rules.smooth_s, rules.sps)
-    power = df.select("series_id", "idx", F.coalesce("p", F.lit(0.0)).alias("p"))
+    power = df.select("series_id", "idx", "t_sec", F.coalesce("p", F.lit(0.0)).alias("p"))
     smoothed = own_rows(with_halo(power, width // 2, width // 2).withColumn("ps", smooth("p", width)))
     base = baselines(df, rules)
     above = smoothed.join(base, "series_id").where(F.abs(F.col("ps") - F.col("baseline_w")) > F.col("threshold"))
-    runs = islands(above, rules.rows(rules.max_gap_s)).where(F.col("last") - F.col("first") + 1 >= rules.rows(rules.min_on_s))
-    ends = runs.select("series_id", "first", "last", F.explode(F.array(F.struct(F.lit("on").alias("end"), F.col("first").alias("idx")), F.struct(F.lit("off").alias("end"), F.col("last").alias("idx")))).alias("e")).select("series_id", "first", "last", "e.*")
-    timed = ends.join(df.select("series_id", "idx", "t_sec"), ["series_id", "idx"])
-    at = lambda end: F.max(F.when(F.col("end") == end, F.col("t_sec")))
-    found = timed.groupBy("series_id", F.col("first").alias("on_idx"), F.col("last").alias("off_idx")).agg(at("on").alias("on_t"), at("off").alias("off_t"))
-    return found.join(base.drop("threshold"), "series_id").withColumn("sps", F.lit(rules.sps))
+    # a run begins and ends with rows that are marked, so their times and the baseline come along
+    runs = islands(above, rules.rows(rules.max_gap_s), F.min_by("t_sec", "idx").alias("on_t"), F.max_by("t_sec", "idx").alias("off_t"), F.first("baseline_w").alias("baseline_w"))
+    found = runs.where(F.col("last") - F.col("first") + 1 >= rules.rows(rules.min_on_s))
+    return found.select("series_id", F.col("first").alias("on_idx"), F.col("last").alias("off_idx"), "on_t", "off_t", "baseline_w", F.lit(rules.sps).alias("sps"))
 
 
 def longest_regions(regions: DataFrame) -> DataFrame:

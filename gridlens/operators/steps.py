@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import filled, odd_width, own_rows, rolling_std, series_lengths, smooth, window_difference, with_halo
+from .windows import filled, odd_width, own_rows, rolling_std, smooth, window_difference, with_halo, with_length
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,11 @@ def change_scores(df: DataFrame, rules: StepRules) -> DataFrame:
     """(series_id, idx, n, diff_p, diff_q, diff_noise, above) of every row."""
     w, width, k = rules.w, odd_width(rules.smooth_s, rules.sps), int(rules.noise_s * rules.sps)
     half = width // 2
-    signal = df.select("series_id", "idx", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    signal = with_length(df).select("series_id", "idx", "n", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
     reach = half + max(k, w)
     s = with_halo(signal, reach, reach).withColumns({"ps": smooth("p", width), "qs": smooth("q", width)})
     # the halo's outermost rows have cut frames; no frame of an own row reaches them
     s = s.withColumn("off", F.col("p") - F.col("ps")).withColumn("noise", rolling_std("off", k)).withColumn("noise", filled("noise"))
-    s = s.join(series_lengths(df), "series_id")
     s = s.withColumns({"diff_p": window_difference("ps", w, F.col("n")), "diff_q": window_difference("qs", w, F.col("n")), "diff_noise": F.col("noise") * math.sqrt(2.0 / w)})
     loud = F.abs("diff_p") >= F.greatest(F.lit(rules.floor_w), rules.k_noise * F.coalesce("diff_noise", F.lit(0.0)))
     above = (F.col("idx") >= w) & (F.col("idx") < F.col("n") - w) & (loud | (F.abs("diff_q") >= rules.q_floor))

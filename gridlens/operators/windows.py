@@ -64,23 +64,29 @@ def series_lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("series_id").agg(F.count("*").alias("n"))
 
 
+def with_length(df: DataFrame) -> DataFrame:
+    """df with `n`, the rows of its series: the one that came with its positions, else counted and joined."""
+    return df if "n" in df.columns else df.join(series_lengths(df), "series_id")
+
+
 def sample_rates(df: DataFrame, default: int = 5) -> DataFrame:
     """(series_id, sps): rows a second from the median gap, at least 1."""
+    from ..staging import staged
     from .medians import medians
 
     gap = F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("series_id", "chunk").orderBy("idx"))
-    gaps = own_rows(with_halo(df.select("series_id", "idx", "t_sec"), 1, 0).withColumn("gap", gap))
+    gaps = own_rows(with_halo(df.select("series_id", "idx", "t_sec"), 1, 0).withColumn("gap", gap)).select("series_id", "gap")
     rate = F.greatest(F.lit(1), F.bround(F.try_divide(F.lit(1.0), F.col("median"))).cast("int"))
-    return medians(gaps, {"median": "gap"}).select("series_id", F.when(F.col("median").isNotNull(), rate).otherwise(default).alias("sps"))
+    return medians(staged(gaps, "gaps"), {"median": "gap"}).select("series_id", F.when(F.col("median").isNotNull(), rate).otherwise(default).alias("sps"))
 
 
-def islands(marked: DataFrame, most_gap: int = 0) -> DataFrame:
-    """(series_id, first, last) of runs of the given rows by idx; gaps of up to most_gap rows are bridged.
-    Only the marked rows come here."""
+def islands(marked: DataFrame, most_gap: int = 0, *more: Column) -> DataFrame:
+    """(series_id, first, last, more aggregates of the rows) of runs of the given rows by idx; gaps of up to
+    most_gap rows are bridged. Only the marked rows come here."""
     by = Window.partitionBy("series_id").orderBy("idx")
     fresh = F.coalesce((F.col("idx") - F.lag("idx").over(by) > most_gap + 1).cast("int"), F.lit(1))
     run = F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.select("series_id", "idx").withColumn("fresh", fresh).withColumn("run", run).groupBy("series_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("run")
+    return marked.withColumn("fresh", fresh).withColumn("run", run).groupBy("series_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), *more).drop("run")
 
 
 def spread_over(ranges: DataFrame, first: Column, last: Column, rows: int = 4096) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import describe_load as described
 from ..operators import calibration, evaluation, matching, steps, synthesis, tracker
 from ..schema import devices, devices_sql
+from ..staging import staged
 from .signal import METER, STEP_CTE, STEPS, meter, rounded, step_cte
 
 #: Devices that a recording of the event table is taken to switch, in order.
@@ -53,12 +54,12 @@ def _order(spark, found):
 
 
 def calibrate_zip(spark, sf_dir):
-    found = _steps(spark, sf_dir)
+    found = staged(_steps(spark, sf_dir), "steps")
     return rounded(calibration.calibrate(found, _order(spark, found)), "P", "Q")
 
 
 def apply_calibration(spark, sf_dir):
-    found = _steps(spark, sf_dir)
+    found = staged(_steps(spark, sf_dir), "steps")
     measured = calibration.calibrate(found, _order(spark, found)).withColumn("device", F.when(F.col("device") == "TABLE_FAN", "NEW_FAN").otherwise(F.col("device")))
     out = calibration.apply_calibration(devices(spark, calibrated=False), measured)
     return rounded(out.select("device", "ord", "P", "Q", "family", "varies", "calibrated"), "P", "Q")
@@ -182,7 +183,7 @@ def greedy_match(spark, sf_dir):
 
 def step_scores(spark, sf_dir):
     """Precision and recall of detected steps by mode of the signal."""
-    found, truth = _numbered(spark, sf_dir)
+    found, truth = (staged(df, "events") for df in _numbered(spark, sf_dir))
     modes = _plan(spark, sf_dir).select("series_id", "mode").distinct()
     return rounded(evaluation.scores_by(evaluation.match_to_truth(found, truth), found, truth, modes, "mode"), "precision", "recall")
 

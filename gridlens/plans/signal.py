@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import step_features
 from ..operators import features, regions, steps, windows
 from ..sources.meter import meter_view
+from ..staging import staged
 
 REGIONS = regions.RegionRules(sps=1, baseline_s=3, k_noise=1.0, floor_w=3.0, min_on_s=3, max_gap_s=1, smooth_s=3)
 STEPS = steps.StepRules(sps=1, win_s=3, floor_w=5.0, k_noise=1.0, smooth_s=3, q_floor=40.0, noise_s=5)
@@ -98,7 +99,7 @@ def _r(*names: str) -> str:
 
 
 def load_normalise(spark, sf_dir):
-    return rounded(meter(spark, sf_dir).drop("thd"), "t_sec")
+    return rounded(meter(spark, sf_dir).drop("thd", "n"), "t_sec")
 
 
 def resolve_sps(spark, sf_dir):
@@ -150,15 +151,16 @@ FEATURE_RULES = regions.RegionRules(sps=1, baseline_s=3, k_noise=1.0, floor_w=3.
 
 
 def region_features(spark, sf_dir):
-    m = meter(spark, sf_dir)
-    found = features.cycles(regions.detect_regions(m, FEATURE_RULES))
+    m = staged(meter(spark, sf_dir), "meter")  # positions are counted once
+    found = staged(features.cycles(regions.detect_regions(m, FEATURE_RULES)), "regions")
     out = features.region_features(found, channels(m))
     return rounded(out, *[c for c in features.FEATURES if c not in ("q_sign", "n_state_changes")])
 
 
 def fingerprint(spark, sf_dir):
-    m = meter(spark, sf_dir)
-    out = features.fingerprints(regions.longest_regions(regions.detect_regions(m, FEATURE_RULES)), channels(m))
+    m = staged(meter(spark, sf_dir), "meter")
+    main = staged(regions.longest_regions(regions.detect_regions(m, FEATURE_RULES)), "regions")
+    out = features.fingerprints(main, channels(m))
     return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
 
 

@@ -13,7 +13,7 @@ EXCLUDED = ["PV"]
 
 
 def with_position(df: DataFrame, ts: str = "timestamp_iso", *ties: str) -> DataFrame:
-    """df with idx (0-based position in its series by ts, then ties) and t_sec (seconds since the first).
+    """df with idx (0-based position in its series by ts, then ties), t_sec (seconds since the first) and n (rows of the series).
 
     Positions are counted by day: rows are ordered within (series, day) and shifted by the running
     sum of the days before, so a series of any length spreads over as many tasks as it has days.
@@ -23,7 +23,8 @@ def with_position(df: DataFrame, ts: str = "timestamp_iso", *ties: str) -> DataF
     days = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ts).alias("_first"))
     by_day = Window.partitionBy("series_id").orderBy(F.col("_day").asc_nulls_first())
     before = F.coalesce(F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select(*keys, before.alias("_before"), F.min("_first").over(Window.partitionBy("series_id")).alias("_start"))
+    every = Window.partitionBy("series_id")
+    days = days.select(*keys, before.alias("_before"), F.min("_first").over(every).alias("_start"), F.sum("_n").over(every).alias("n"))
     inside = Window.partitionBy(*keys).orderBy(ts, *ties)
     at = F.row_number().over(inside) - 1 + F.col("_before")
     seconds = F.timestamp_diff("MICROSECOND", F.col("_start"), F.col(ts)) / F.lit(1e6)
@@ -138,4 +139,4 @@ def signal(recordings: DataFrame) -> DataFrame:
 def meter_view(events: DataFrame) -> DataFrame:
     """The driver's event table as one signal per user: p = value, q = props.k - 50, no distortion."""
     rows = events.select(F.col("user_id").cast("string").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("p"), (F.get_json_object("props", "$.k").cast("int") - 50).cast("double").alias("q"))
-    return with_position(rows, "ts", "event_id").select("series_id", "idx", "t_sec", "p", "q", F.lit(None).cast("double").alias("thd"))
+    return with_position(rows, "ts", "event_id").select("series_id", "idx", "t_sec", "n", "p", "q", F.lit(None).cast("double").alias("thd"))

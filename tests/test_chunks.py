@@ -62,12 +62,12 @@ def test_medians_of_long_groups_are_exact(spark):
     }
     rows = [(k, v) for k, vs in kinds.items() for v in vs]
     df = spark.createDataFrame(rows, "series_id string, x double").withColumn("y", -F.col("x")).repartition(5)
-    out = {r["series_id"]: r for r in medians.medians(df, {"m": "x", "other": "y"}, long_rows=100).collect()}
+    out = {r["series_id"]: r for r in medians.medians(df, {"m": "x", "other": "y"}, more=(F.count("x").alias("known"),), long_rows=100).collect()}
     assert set(out) == set(kinds)
     for k, vs in kinds.items():
         known = [v for v in vs if v is not None]
         want = statistics.median(known) if known else None
-        assert out[k]["m"] == want and out[k]["other"] == (None if want is None else -want), k
+        assert out[k]["known"] == len(known) and out[k]["m"] == want and out[k]["other"] == (None if want is None else -want), k
 
 
 def greedy(detected, truth, tol):
