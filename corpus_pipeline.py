@@ -34,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every row, with what tells that they decode."""
-    return pieces.encoded(docs.select("doc_id", "source", "text")).drop("text")
+    return pieces.encoded(docs.select("doc_id", "source", "text"), remembered=pieces.SPARE_BYTES).drop("text")
 
 
 STAGES = [

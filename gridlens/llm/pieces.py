@@ -27,8 +27,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Weights are whole millionths, so that sums are exact and ties are real.
 SCALE = 1_000_000
-#: Bytes of segments and their paths that a task remembers, at most about, in two generations of half as many.
-REMEMBERED_BYTES = 24 << 20
+#: Bytes of segments and their paths that a Python worker remembers, at most about, in two generations of half as many;
+#: and what it does where other stages have run in the same executors, then for one task only.
+REMEMBERED_BYTES, SPARE_BYTES = 72 << 20, 24 << 20
 
 
 def read_pieces(path: str = MODEL) -> list[tuple[str, int, int]]:
@@ -81,6 +82,7 @@ class Transducer:
             self.parts = re.compile(r".+", re.S).findall
         else:
             self.parts = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else r" *[^ ]+| +").findall
+        self.remembered = REMEMBERED_BYTES
         self.forget()
 
     def forget(self) -> None:
@@ -95,7 +97,7 @@ class Transducer:
         best = [math.inf] * (n + 1)
         back: list = [None] * (n + 1)
         best[0] = 0
-        root = self.root[0]
+        root, cheapest = self.root[0], self.byte_weight  # of a byte
         for i in range(n):
             base = best[i]
             state = root.get(text[i])
@@ -105,10 +107,11 @@ class Transducer:
                     best[j], back[j] = base + state[2], (i, state[1])
                 state = state[0].get(text[j]) if j < n else None
                 j += 1
-            raw = text[i].encode("utf-8", "surrogatepass")
-            far = base + self.byte_weight * len(raw)
-            if far < best[i + 1]:
-                best[i + 1], back[i + 1] = far, (i, raw)
+            if base + cheapest < best[i + 1]:
+                raw = text[i].encode("utf-8", "surrogatepass")
+                far = base + cheapest * len(raw)
+                if far < best[i + 1]:
+                    best[i + 1], back[i + 1] = far, (i, raw)
         out: list[int] = []
         while n:
             n, piece = back[n]
@@ -131,7 +134,7 @@ class Transducer:
                 if len(part) < 64:
                     young[part] = ids
                     self.young_bytes += 200 + 4 * len(part) + 8 * len(ids)  # of the text, the tuple and their place
-                    if self.young_bytes > REMEMBERED_BYTES // 2:
+                    if self.young_bytes > self.remembered // 2:
                         self.old, self.young, self.young_bytes = young, {}, 0
                         young = self.young
             out += ids
@@ -150,11 +153,12 @@ def compiled(pieces: tuple) -> Transducer:
     return Transducer(list(pieces))
 
 
-def _encoder(pieces: tuple, width: int, with_ids: bool):
+def _encoder(pieces: tuple, width: int, with_ids: bool, remembered: int):
     fallback = {i for _, i, byte in pieces if byte >= 0}
 
     def rows(batches):
         machine = compiled(pieces)
+        machine.remembered = remembered
         small = np.zeros(max(i for _, i, _ in pieces) + 1, bool)
         small[list(fallback)] = True
         for batch in batches:
@@ -178,24 +182,26 @@ def _encoder(pieces: tuple, width: int, with_ids: bool):
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
-        machine.forget()  # workers are reused
+        if remembered <= SPARE_BYTES:
+            machine.forget()  # workers are reused
 
     return rows
 
 
-def encoded(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, with_ids: bool = True, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """docs with n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit integers),
     decodes (decoding gives the text back) and, if asked, ids.
 
     Null text is empty and has no pieces. Columns of docs that clash with these names are replaced.
-    The vocabulary goes to the tasks; its size does not depend on the documents.
+    The vocabulary goes to the tasks; its size does not depend on the documents. remembered: bytes of paths that a
+    worker keeps, more of them for less work; up to SPARE_BYTES they are dropped at a task's end.
     """
     made = ["n_pieces", "n_byte_pieces", "ids_sha256", "decodes", "ids"]
     docs = docs.drop(*made)
     schema = docs.withColumns({"n_pieces": F.lit(0).cast("long"), "n_byte_pieces": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decodes": F.lit(True)})
     if with_ids:
         schema = schema.withColumn("ids", F.array(F.lit(0)))
-    return docs.mapInArrow(frugal(_encoder(tuple(read_pieces(model)), len(docs.columns), with_ids)), schema.schema)
+    return docs.mapInArrow(frugal(_encoder(tuple(read_pieces(model)), len(docs.columns), with_ids, remembered)), schema.schema)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
