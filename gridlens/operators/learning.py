@@ -121,18 +121,18 @@ class Fitted:
     def __init__(self, index, model):
         self.index, self.model = index, model
 
-    def predict(self, df: DataFrame, name: str = "predicted", with_shares: bool = False) -> DataFrame:
-        """df with `name`, the likeliest label, of equally likely ones the first by name, and `confidence`, its probability;
+    def predict(self, df: DataFrame, name: str = "predicted", with_shares: bool = False, confidence: str = "confidence") -> DataFrame:
+        """df with `name`, the likeliest label, of equally likely ones the first by name, and its probability as `confidence`;
         with_shares: also `shares`, the probability of each label in the order of `labels`. Columns of df with
         these names are replaced."""
         from pyspark.ml.functions import vector_to_array
 
         known = len(self.index.labels)
-        said = self.model.transform(_vectors(df.drop("confidence", "shares")))
+        said = self.model.transform(_vectors(df.drop(confidence, "shares")))
         said = said.withColumn("shares", F.slice(vector_to_array("probability"), 1, known)).drop("features", "rawPrediction", "probability", "said_no")
         # the earliest of the largest; labels are sorted by name
         best = F.array_position("shares", F.array_max("shares")).cast("int") - 1
-        said = said.withColumns({name: F.get(F.array(*[F.lit(x) for x in self.index.labels]), best), "confidence": F.array_max("shares")})
+        said = said.withColumns({name: F.get(F.array(*[F.lit(x) for x in self.index.labels]), best), confidence: F.array_max("shares")})
         return said if with_shares else said.drop("shares")
 
     @property
@@ -181,7 +181,7 @@ def with_said(steps: DataFrame, forest: Fitted) -> DataFrame:
     """steps with `said`, the forest's device for each as if it were switched on; the tracker's near-ties go by it."""
     turned = F.when(F.col("delta_p") >= 0, 1.0).otherwise(-1.0)
     as_on = steps.withColumns({"_p": F.col("delta_p"), "_q": F.col("delta_q"), "delta_p": F.abs("delta_p"), "delta_q": F.col("delta_q") * turned})
-    said = forest.predict(step_vectors(as_on), "said").drop("vector", "confidence")
+    said = forest.predict(step_vectors(as_on), "said", confidence="_sure").drop("vector", "_sure")
     return said.withColumns({"delta_p": F.col("_p"), "delta_q": F.col("_q")}).drop("_p", "_q")
 
 

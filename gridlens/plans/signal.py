@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import step_features
 from ..operators import features, regions, steps, windows
-from ..sources.meter import meter_view
-from ..staging import staged
+from ..sources.meter import meter_view, read_recordings
+from ..staging import new_folder, staged
 
 REGIONS = regions.RegionRules(sps=1, baseline_s=3, k_noise=1.0, floor_w=3.0, min_on_s=3, max_gap_s=1, smooth_s=3)
 STEPS = steps.StepRules(sps=1, win_s=3, floor_w=5.0, k_noise=1.0, smooth_s=3, q_floor=40.0, noise_s=5)
@@ -102,6 +102,18 @@ def load_normalise(spark, sf_dir):
     return rounded(meter(spark, sf_dir).drop("thd", "n"), "t_sec")
 
 
+def meter_files(spark, sf_dir):
+    """The event table written as meter files, one for each user with a header, and read back."""
+    folder = new_folder(spark, "meter-files")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_iso"), F.concat(F.lit("user "), "user_id").alias("device_name"),
+        F.col("value").alias("p_total_w"), (F.get_json_object("props", "$.k").cast("int") - 50).alias("q_total_var"), "user_id", "event_id",
+    )
+    rows.repartition("user_id").sortWithinPartitions("user_id", "timestamp_iso", "event_id").drop("event_id").write.partitionBy("user_id").option("header", True).csv(folder)
+    back = read_recordings(spark, f"{folder}/*")
+    return rounded(back.select("device_name", "idx", "t_sec", F.col("p_total_w").alias("p"), F.col("q_total_var").alias("q")), "t_sec")
+
+
 def resolve_sps(spark, sf_dir):
     return windows.sample_rates(meter(spark, sf_dir))
 
@@ -192,13 +204,14 @@ def segments_by_event(spark, sf_dir):
 QUERIES = {
     "load_normalise": load_normalise, "resolve_sps": resolve_sps, "smooth_zero_pad": smooth_zero_pad, "rolling_noise": rolling_noise, "window_diff": window_diff,
     "regions_all": regions_all, "regions_longest": regions_longest, "detect_steps": detect_steps, "step_features": step_feature_rows, "region_features": region_features,
-    "fingerprint": fingerprint, "band_check": band_check, "settled_window": settled_window, "downsample_stride": downsample_stride, "segments_by_event": segments_by_event,
+    "meter_files": meter_files, "fingerprint": fingerprint, "band_check": band_check, "settled_window": settled_window, "downsample_stride": downsample_stride, "segments_by_event": segments_by_event,
 }
 
 _REGION_COLS = "series_id, on_idx, off_idx, round(on_t, 6) + 0.0 AS on_t, round(off_t, 6) + 0.0 AS off_t, round(baseline_w, 6) + 0.0 AS baseline_w, sps"
 _STEADY = """st AS (SELECT g.*, CASE WHEN on_idx + 1 < off_idx THEN on_idx + 1 ELSE on_idx END AS sf FROM {src} g),
 ro AS (SELECT st.*, c.idx, c.p, c.q, c.s, c.i, c.thd_i, c.thd_u, c.pf, c.u, c.idx >= sf AS ok FROM st JOIN ch c ON c.series_id = st.series_id AND c.idx >= on_idx AND c.idx < off_idx)"""
 ORACLE_SQL = {
+    "meter_files": f"WITH {METER} SELECT 'user ' || series_id AS device_name, idx, round(t_sec, 6) + 0.0 AS t_sec, p, q FROM meter",
     "load_normalise": f"WITH {METER} SELECT series_id, idx, round(t_sec, 6) + 0.0 AS t_sec, p, q FROM meter",
     "resolve_sps": f"WITH {METER}, g AS (SELECT series_id, t_sec - lag(t_sec) OVER (PARTITION BY series_id ORDER BY idx) AS gap FROM meter) SELECT series_id, CAST(CASE WHEN count(gap) > 0 THEN greatest(1, round_even(1.0 / median(gap), 0)) ELSE 5 END AS INTEGER) AS sps FROM g GROUP BY series_id",
     "smooth_zero_pad": f"WITH {METER}, {SMOOTH} SELECT series_id, idx, {_r('ps', 'qs')} FROM sm",

@@ -191,8 +191,9 @@ def tracked(found: DataFrame, devices: DataFrame, rules: Rules = Rules(), seed:
     """
     rows = found.where("kind IN ('step', 'level')" if seed else "kind = 'step'")
     rows = standing_loads(rows, devices).withColumn("seed", F.col("kind") == "level")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("delta_p", "delta_q")})  # of levels
     rows = classify(rows) if classify else rows.withColumn("said", F.lit(None).cast("string"))
-    slim = rows.select("series_id", "seed", "t_sec", F.coalesce("delta_p", F.lit(0.0)).alias("delta_p"), F.coalesce("delta_q", F.lit(0.0)).alias("delta_q"), F.when(F.col("seed"), F.col("best")).alias("active"), "confidence", "said")
+    slim = rows.select("series_id", "seed", "t_sec", "delta_p", "delta_q", F.when(F.col("seed"), F.col("best")).alias("active"), "confidence", "said")
     return slim.groupBy("series_id").transformWithStateInPandas(Tracker(site_of(devices, rules)), _TRACKED, "Append", "None")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens import schema
-from gridlens.operators import buffered, steps, windows
+from gridlens.operators import buffered, learning, steps, tracker, windows
 from gridlens.sources import replay
 from gridlens.streaming import keyed
 
@@ -81,16 +81,15 @@ def test_tracker_begins_with_the_standing_load_and_tells_changes(spark, tmp_path
     assert {("a", "Toaster", "on"), ("a", "Toaster", "off"), ("b", "Toaster", "on")} <= events
 
 
-def test_a_classifier_settles_near_ties(spark, tmp_path):
+def test_a_forest_settles_near_ties_in_the_stream(spark, tmp_path):
     two = [(0, "ONE", 100.0, 0.0), (1, "TWO", 100.5, 0.0)]
     devices = spark.createDataFrame([(o, d, p, q, None, None, False, False, None, None, None, None, True) for o, d, p, q in two], schema.DEVICE_SCHEMA)
-    df = frame(spark, {"x": levels(7, (80, 0, 0), (100, 100.2, 0), noise=0.05)}).drop("idx")
-    last = {}
-    for name in ("ONE", "TWO"):
-        folder = f"{tmp_path}/{name}"
-        rows = keyed.run_to_table(keyed.tracked(keyed.detected(stream_of(spark, df, folder)), devices, classify=lambda rows, name=name: rows.withColumn("said", F.lit(name))), folder, 2)
-        last[name] = rows.where("kind = 'step'").first()["active"]
-    assert last == {"ONE": ["ONE"], "TWO": ["TWO"]}
+    df = frame(spark, {"x": levels(7, (80, 0, 0), (100, 100.2, 0), noise=0.02)}).drop("idx")
+    learnt = [("TWO" if i >= 30 else "ONE", 99.6 + i / 60, 0.0) for i in range(60)]  # where ONE is nearer, TWO from 100.1 on
+    forest = learning.step_forest(spark.createDataFrame(learnt, "label string, delta_p double, delta_q double"), trees=15, depth=4)
+    rows = keyed.run_to_table(keyed.tracked(keyed.detected(stream_of(spark, df, tmp_path)), devices, classify=lambda rows: learning.with_said(rows, forest)), str(tmp_path), 2)
+    assert [r["active"] for r in rows.where("kind = 'step'").collect()] == [["TWO"]]
+    assert tracker.advance(tracker.site_of(devices), set(), 100.2, 0.0)[0] == {"ONE"}
 
 
 def test_late_rows_are_listed_and_change_nothing(spark, tmp_path):
