@@ -182,8 +182,9 @@ def update_index(inserts: DataFrame, live: DataFrame | None = None, deletes: Dat
     holds. group_size counts the rows inserted since the key came in.
     """
     if live is not None:
-        last = live.agg(F.max("shards")).first()[0] if "shards" in live.columns else None
-        shards = last or shards
+        if "shards" not in live.columns and not shards:
+            raise ValueError("live has lost its column shards; give the number of shards it was made with")
+        shards = (live.agg(F.max("shards")).first()[0] if "shards" in live.columns else None) or shards
     shards = shards or max(shuffle_width(inserts.sparkSession, 2), inserts.count() // SHARD_KEYS)
     keys = inserts.select("doc_id", "chars", "digest").mapInArrow(frugal(_combine), _KEYS)
     blank = lambda df: df.withColumns({"size": F.lit(0).cast("long"), "bucket": F.lit(0).cast("long"), "mark": F.lit(0)})

@@ -27,6 +27,8 @@ BUCKETS = 24
 #: Histogram cells per unit of the natural logarithm of an event's likelihood ratio.
 CELLS = 64
 BLOCK_BYTES = 16 << 20
+#: Bytes of text for each range of keys.
+RANGE_BYTES = 32 << 20
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -234,8 +236,10 @@ def lm_scores(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     the added counts. docs is scanned several times and must give the same rows in the same order each
     time, as a table does; other columns are ignored.
     """
-    ranges = ranges or shuffle_width(docs.sparkSession, 4)
     docs = docs.select(F.col("doc_id").cast("long"), fold().cast("long").alias("fold"), "text")
+    if not ranges:  # a range's keys are what one task answers, so ranges grow in number with the texts
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(shuffle_width(docs.sparkSession, 4), size // RANGE_BYTES)
     asked = docs.mapInArrow(_asker(ranges), _ASK)
     answers = stage(asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "counts")
     sums = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()

@@ -78,6 +78,16 @@ def test_update_index_deletes_live_keys(spark):
     out = exact_dedup.update_index(more, live=live, deletes=gone)
     assert sorted((r["keep_id"], r["group_size"]) for r in out.collect()) == [(4, 1), (5, 1), (7, 2)]
     assert {r["bucket"] < r["size"] for r in out.collect()} == {True}
+    with pytest.raises(ValueError, match="shards"):
+        exact_dedup.update_index(more, live=live.drop("shards"))
+
+
+def test_lm_ranges_grow_with_the_texts(spark, sf_dir, monkeypatch):
+    few = lm.op10_lm_scoring(spark, sf_dir).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1 << 12)
+    many = lm.op10_lm_scoring(spark, sf_dir).orderBy("doc_id").collect()
+    assert [r["score"] for r in many] == pytest.approx([r["score"] for r in few], rel=1e-9)
+    assert [r["n_known"] for r in many] == [r["n_known"] for r in few]
 
 
 def test_copies_meet_in_the_index(monkeypatch):
