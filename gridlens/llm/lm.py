@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shuffle_width, slices, stage, utf8, word_hashes
+from .common import frugal, mix, shuffle_width, slices, stage, utf8, word_hashes
 
 #: Rows with crc32(doc_id as text) mod FOLDS equal to HELD_OUT are not learned from; those equal to
 #: TUNING are training rows whose deleted counts teach the mixture weights.
@@ -121,6 +121,7 @@ def _asker(ranges: int):
 
 
 def _answer(rows: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # of the group before
     blobs = rows.column("keys").to_pylist()
     length = np.array([len(b) // 6 for b in blobs])
     wide = np.zeros((int(length.sum()), 8), np.uint8)
@@ -193,6 +194,7 @@ def _counts_of(events: Events, answers: pa.Table) -> tuple[np.ndarray, np.ndarra
 
 def _histogram(model: Model):
     def rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the block before
         events = Events(docs.column("text"))
         words, pairs = _counts_of(events, answers)
         context = events.context_counts(words, model.documents) - 1
@@ -211,6 +213,7 @@ _SCORED = "doc_id long, fold long, n_tokens long, n_known long, base_score doubl
 
 def _scorer(model: Model):
     def rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the block before
         events = Events(docs.column("text"))
         words, pairs = _counts_of(events, answers)
         context = events.context_counts(words, model.documents)
@@ -240,13 +243,13 @@ def lm_scores(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     if not ranges:  # a range's keys are what one task answers, so ranges grow in number with the texts
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = max(shuffle_width(docs.sparkSession, 4), size // RANGE_BYTES)
-    asked = docs.mapInArrow(_asker(ranges), _ASK)
+    asked = docs.mapInArrow(frugal(_asker(ranges)), _ASK)
     answers = stage(asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "counts")
     sums = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     model = Model(sums["n"], sums["v"], docs.where(F.col("fold") != HELD_OUT).count())
     said = answers.select("kind", "part", "block", "counts")
     placed = "block long, doc_id long, fold long, text string"
-    together = lambda tuning: docs.mapInArrow(_placer(tuning), placed).groupBy("block").cogroup((said.where("block % 2 = 1") if tuning else said).groupBy("block"))
+    together = lambda tuning: docs.mapInArrow(frugal(_placer(tuning)), placed).groupBy("block").cogroup((said.where("block % 2 = 1") if tuning else said).groupBy("block"))
     bars = together(True).applyInArrow(_histogram(model), "bucket long, cell long, n long")
     bars = bars.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS times the cells
     model.tune(bars["bucket"].to_numpy(), bars["cell"].to_numpy(), bars["n"].to_numpy())
