@@ -28,9 +28,15 @@ SIGNAL_S, PER_DEVICE_S, JITTER = 20, 18, 3
 MODES = ("sequential", "simultaneous")
 
 
+def hashed(*keys) -> Column:
+    """A whole number of 60 bits that depends on the keys alone; names are columns, as any SQL engine can repeat it."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def uniform(low: float, high: float, *keys) -> Column:
     """A number in (low, high) that depends on the keys alone."""
-    share = (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
+    share = (F.shiftright(hashed(*keys), 7).cast("double") + 0.5) / float(1 << 53)
     return low + (high - low) * share
 
 
@@ -41,7 +47,7 @@ def normal(mean, std, *keys) -> Column:
 
 
 def _sub_seed(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "device", "run"), F.lit(2**62))
+    return hashed(F.lit(seed), "device", "run")
 
 
 def synthetic_runs(fingerprints: DataFrame, runs: int, seed: int) -> DataFrame:
@@ -59,7 +65,7 @@ def synthetic_runs(fingerprints: DataFrame, runs: int, seed: int) -> DataFrame:
     start, lasts = uniform(*START_S, *of_run("start")), uniform(*LASTS_S, *of_run("lasts"))
     wanted = wanted.withColumn("total", rows(uniform(*RUN_S, *of_run("total"))))
     wanted = wanted.withColumns({"on": rows(start), "off": F.least(rows(start + lasts), c("total") - TAIL_ROWS)})
-    half = F.floor((c("off") - c("on")) / 2) + F.pmod(F.xxhash64(*of_run("turn")), F.lit(2 * SPS + 1)) - SPS
+    half = F.floor((c("off") - c("on")) / 2) + F.pmod(hashed(*of_run("turn")), F.lit(2 * SPS + 1)) - SPS
     wanted = wanted.withColumn("turn", F.greatest(F.lit(5), F.least(half, c("off") - c("on") - 5)))
     every = wanted.repartition("device", "run").withColumn("idx", F.explode(F.sequence(F.lit(0), c("total") - 1)))
 
@@ -103,9 +109,9 @@ def feasible(entries: Column, want: Column, amps: float = MOST_AMPS) -> Column:
     return F.when(F.size(taken) > 0, taken).otherwise(F.array(least))
 
 
-def signal_plans(spark: SparkSession, devices: DataFrame, n: int, seed: int, most: tuple[int, int] = (4, 3)) -> DataFrame:
-    """series_id, mode, total, ord, device, on_idx, off_idx: which devices run in each of n signals, from
-    and until (excluded) which row; modes alternate. Sequential devices come on one after the other and go
+def signal_plans(spark: SparkSession, devices: DataFrame, n: int | DataFrame, seed: int, most: tuple[int, int] = (4, 3)) -> DataFrame:
+    """series_id, mode, total, ord, device, on_idx, off_idx: which devices run in each of n signals (or in
+    each `id` of a table), from and until (excluded) which row; modes alternate. Sequential devices come on one after the other and go
     off likewise, simultaneous ones share their times. devices: ord, device, P, Q; a site's table, of which
     matching checks the size.
     """
@@ -113,16 +119,17 @@ def signal_plans(spark: SparkSession, devices: DataFrame, n: int, seed: int, mos
 
     c = F.col
     site = folded(devices.select("ord", "device", (F.hypot("P", "Q") / VOLTS).alias("i")), "site")
-    signals = with_constant(spark.range(n).withColumn("mode", F.when(c("id") % 2 == 0, MODES[0]).otherwise(MODES[1])), site)
-    shuffled = F.array_sort(F.transform("site", lambda d: F.struct(F.xxhash64(F.lit(seed), c("id"), d["ord"]).alias("turn"), d["i"].alias("i"), d["ord"].alias("ord"), d["device"].alias("device"))))
+    ids = n.select("id") if isinstance(n, DataFrame) else spark.range(n)
+    signals = with_constant(ids.withColumn("mode", F.when(c("id") % 2 == 0, MODES[0]).otherwise(MODES[1])), site)
+    shuffled = F.array_sort(F.transform("site", lambda d: F.struct(hashed(F.lit(seed), c("id"), d["ord"]).alias("turn"), d["i"].alias("i"), d["ord"].alias("ord"), d["device"].alias("device"))))
     limit = F.when(c("id") % 2 == 0, most[0]).otherwise(most[1])
-    want = 1 + F.pmod(F.xxhash64(F.lit(seed), c("id"), F.lit("want")), limit)
+    want = 1 + F.pmod(hashed(F.lit(seed), c("id"), F.lit("want")), limit)
     picked = signals.select("id", "mode", feasible(shuffled, want).alias("combo")).withColumn("m", F.size("combo"))
     runs = picked.select("id", "mode", "m", ((SIGNAL_S + PER_DEVICE_S * c("m")) * SPS).cast("int").alias("total"), F.posexplode("combo").alias("k", "d"))
     whole = lambda x: F.floor(x).cast("int")
     gap = whole(c("total") / (c("m") + 2))
     shared = c("mode") == MODES[1]
-    jitter = lambda end: (F.pmod(F.xxhash64(F.lit(seed), c("id"), F.when(shared, -1).otherwise(c("d.ord")), F.lit(end)), F.lit(2 * JITTER + 1)) - JITTER).cast("int")
+    jitter = lambda end: (F.pmod(hashed(F.lit(seed), c("id"), F.when(shared, -1).otherwise(c("d.ord")), F.lit(end)), F.lit(2 * JITTER + 1)) - JITTER).cast("int")
     on = F.when(shared, whole(c("total") / 3)).otherwise(gap * (c("k") + 1)) + jitter("on")
     off = c("total") - F.when(shared, whole(c("total") / 4)).otherwise(whole(gap / 2) + (c("m") - c("k")) * whole(gap / 3)) + jitter("off")
     runs = runs.withColumn("on_idx", F.greatest(F.lit(2), F.least(on, c("total") - 6)))

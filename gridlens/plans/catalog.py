@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matching, models, signal, streams
+from . import generators, matching, models, signal, streams
 
-QUERIES: dict = {**signal.QUERIES, **matching.QUERIES, **models.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict = {**signal.ORACLE_SQL, **matching.ORACLE_SQL, **models.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict = {**signal.QUERIES, **matching.QUERIES, **models.QUERIES, **streams.QUERIES, **generators.QUERIES}
+ORACLE_SQL: dict = {**signal.ORACLE_SQL, **matching.ORACLE_SQL, **models.ORACLE_SQL, **streams.ORACLE_SQL, **generators.ORACLE_SQL}
