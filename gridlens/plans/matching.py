@@ -42,12 +42,14 @@ def novel_steps(spark, sf_dir):
     return rounded(matching.is_novel_step(_steps(spark, sf_dir), devices(spark)).select("series_id", "idx", "err", "novel"), "err")
 
 
-def standing_load(spark, sf_dir):
-    levels = matching.snapshots(meter(spark, sf_dir))
-    out = matching.standing_loads(levels, devices(spark))
+def _stood(out):
     return rounded(out.select("series_id", "P_now", "Q_now", "idle", F.concat_ws("+", "best").alias("best"), "residual", "confidence", "single", F.concat_ws("+", "alternatives").alias("alternatives"), "note"), "P_now", "Q_now", "residual")
 
 
+def standing_load(spark, sf_dir):
+    return _stood(matching.standing_loads(matching.snapshots(meter(spark, sf_dir)), devices(spark)))
+
+
 def _order(spark, found):
     names = devices(spark).where(F.col("ord") < ORDER_LENGTH).select((F.col("ord") + 1).alias("pos"), "device")
     return found.select("series_id").distinct().join(F.broadcast(names))
@@ -106,6 +108,17 @@ def synthetic_steps(spark, sf_dir):
     return rounded(found, "t_sec", "delta_p", "delta_q", "p_before", "p_after")
 
 
+def step_distortion(spark, sf_dir):
+    """Distortion after each step of the summed signals."""
+    return rounded(steps.detect_steps(_signals(spark, sf_dir)).select("series_id", "idx", "thd_i_after"), "thd_i_after")
+
+
+def standing_distortion(spark, sf_dir):
+    """The loads behind each eight seconds of the summed signals, told with their distortion."""
+    parts = _signals(spark, sf_dir).withColumn("series_id", F.concat_ws(":", "series_id", F.floor(F.col("idx") / 40)))
+    return _stood(matching.standing_loads(matching.snapshots(parts), devices(spark)))
+
+
 def _timeline(spark, sf_dir):
     return tracker.timelines(steps.detect_steps(_signals(spark, sf_dir)), devices(spark))
 
@@ -197,7 +210,7 @@ def sample_runs(spark, sf_dir):
 QUERIES = {
     "describe_load": describe_load, "nearest_device": nearest_device, "nearest_k": nearest_k, "match_combo": match_combo, "novel_steps": novel_steps, "standing_load": standing_load,
     "calibrate_zip": calibrate_zip, "apply_calibration": apply_calibration, "sum_signal": sum_signal, "truth_events": truth_events, "active_long": active_long,
-    "tracker_timeline": tracker_timeline, "synthetic_steps": synthetic_steps, "synthetic_timeline": synthetic_timeline, "switch_events": switch_events, "asof_truth": asof_truth, "asof_pred": asof_pred,
+    "tracker_timeline": tracker_timeline, "synthetic_steps": synthetic_steps, "step_distortion": step_distortion, "standing_distortion": standing_distortion, "synthetic_timeline": synthetic_timeline, "switch_events": switch_events, "asof_truth": asof_truth, "asof_pred": asof_pred,
     "jaccard_eval": jaccard_eval, "tracker_eval": tracker_eval, "greedy_match": greedy_match, "step_scores": step_scores, "sample_runs": sample_runs,
 }
 
@@ -297,15 +310,26 @@ gm(series_id, no, used, hit) AS (
   SELECT series_id, no, CASE WHEN best.d <= 2.0 THEN list_append(used, best.no) ELSE used END, CASE WHEN best.d <= 2.0 THEN best END FROM (
     SELECT d.series_id, d.no, used, list_min(list_transform(list_filter(l, lambda x: x.s = sign(d.delta_p) AND NOT list_contains(used, x.no)), lambda x: {'d': abs(x.t - d.t_sec), 'no': x.no})) AS best
     FROM gm JOIN d ON d.series_id = gm.series_id AND d.no = gm.no + 1 JOIN tl ON tl.series_id = d.series_id))"""
-#: The loads that explain levels lv(series_id, pn, qn), no distortion being known.
+#: The loads that explain levels lv(series_id, pn, qn, tn); tn, the distortion, may be null.
 _STANDING = """l2 AS (SELECT *, sqrt(pn*pn + qn*qn) AS mag FROM lv),
-si AS (SELECT series_id, device, ord, sqrt(power((P - pn) / CASE WHEN varies THEN 15 ELSE 2 END, 2) + power((Q - qn) / CASE WHEN varies THEN 15 ELSE 2 END, 2)) AS score,
+si AS (SELECT series_id, device, ord, sqrt(power((P - pn) / CASE WHEN varies THEN 15 ELSE 2 END, 2) + power((Q - qn) / CASE WHEN varies THEN 15 ELSE 2 END, 2)
+  + CASE WHEN tn IS NULL THEN 0 WHEN thd_lo IS NULL THEN power((thd_i - tn) / 20, 2) WHEN tn < thd_lo THEN power((thd_lo - tn) / 20, 2) WHEN tn > thd_hi THEN power((tn - thd_hi) / 20, 2) ELSE 0 END) AS score,
   sqrt(power(CASE WHEN varies AND p_lo IS NOT NULL THEN CASE WHEN pn < p_lo THEN p_lo - pn WHEN pn > p_hi THEN pn - p_hi ELSE 0 END ELSE P - pn END, 2) + power(Q - qn, 2)) AS res FROM l2, dev),
 s1 AS (SELECT * FROM si QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score, ord) = 1),
 cb AS (SELECT series_id, members, size, ords, sqrt(power(P - pn, 2) + power(Q - qn, 2)) + 4 * (size - 1) AS res FROM l2, combos WHERE size > 1 AND least_va >= 0.1 * mag),
 c1 AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY res, size, ords) = 1),
 j AS (SELECT l2.*, s1.device, s1.res AS sres, c1.members, c1.res AS cres, greatest(8.0, 0.1 * mag) AS tol, coalesce(c1.res + greatest(2.0, 0.03 * mag) < s1.res, false) AS wins, mag < 3 AS idle FROM l2 JOIN s1 USING (series_id) LEFT JOIN c1 USING (series_id)),
 r AS (SELECT *, CASE WHEN wins THEN cres ELSE sres END AS res FROM j)"""
+_STOOD = """SELECT series_id, round(pn, 6) + 0.0 AS P_now, round(qn, 6) + 0.0 AS Q_now, idle, CASE WHEN idle OR res > tol THEN '' WHEN wins THEN array_to_string(list_sort(members), '+') ELSE device END AS best,
+  round(CASE WHEN idle THEN 0 ELSE res END, 6) + 0.0 AS residual, CAST(CASE WHEN idle THEN 100 WHEN res > tol THEN 0 ELSE greatest(5, least(99, round_even(100.0 * (1.0 - res / tol), 0))) END AS INTEGER) AS confidence,
+  NOT idle AND res <= tol AND NOT wins AS single,
+  CASE WHEN idle OR res > tol THEN '' ELSE coalesce((SELECT array_to_string(list(a.device ORDER BY a.score, a.ord), '+') FROM (SELECT si.*, row_number() OVER (PARTITION BY series_id ORDER BY score, ord) AS n FROM si) a WHERE a.series_id = r.series_id AND a.n BETWEEN 2 AND 4 AND a.res <= r.tol * 1.5), '') END AS alternatives,
+  CASE WHEN idle THEN 'Nothing is drawing power.' WHEN res > tol THEN 'The standing load does not match any known device or combination.'
+       WHEN wins THEN 'Several devices explain this level. Distortion cannot separate them, because it does not add up when devices run together.'
+       WHEN (SELECT varies FROM dev WHERE dev.device = r.device) THEN 'This device''s power changes while it runs, so it is recognised mainly by its current distortion rather than by how many watts it draws.'
+       WHEN tn IS NULL THEN 'Distortion was not available, so this rests on power alone.' ELSE '' END AS note FROM r"""
+#: Distortion of the summed signals, and levels of eight seconds of them.
+_DISTORTED = "di2 AS (SELECT series_id, idx, p, q, CASE WHEN ii > 1e-6 THEN ti / ii END AS thd FROM al)"
 ORACLE_SQL = {
     "describe_load": _described_sql(),
     "nearest_device": f"""WITH {STEP_CTE}, {DEV}, {_LOAD}, n AS (SELECT series_id, idx, device, ord, sqrt((dev.P - lp) * (dev.P - lp) + (dev.Q - lq) * (dev.Q - lq)) AS err FROM ld2, dev)
@@ -314,16 +338,9 @@ SELECT series_id, idx, device, round(err, 6) + 0.0 AS err FROM n QUALIFY row_num
 SELECT series_id, idx, CAST(rank AS INTEGER) AS rank, device FROM n WHERE rank < 2""",
     "match_combo": f"{_MATCH} SELECT series_id, idx, array_to_string(list_sort(members), '+') AS members, round(err, 6) + 0.0 AS err, err <= greatest(10.0, 0.18 * sqrt(delta_p*delta_p + delta_q*delta_q)) AS ok FROM be",
     "novel_steps": f"{_MATCH} SELECT series_id, idx, round(err, 6) + 0.0 AS err, err > 30 AS novel FROM be",
-    "standing_load": f"""WITH {METER}, {DEV}, {COMBOS}, lv AS (SELECT series_id, median(p) AS pn, median(q) AS qn FROM meter GROUP BY series_id),
+    "standing_load": f"""WITH {METER}, {DEV}, {COMBOS}, lv AS (SELECT series_id, median(p) AS pn, median(q) AS qn, CAST(NULL AS DOUBLE) AS tn FROM meter GROUP BY series_id),
 {_STANDING}
-SELECT series_id, round(pn, 6) + 0.0 AS P_now, round(qn, 6) + 0.0 AS Q_now, idle, CASE WHEN idle OR res > tol THEN '' WHEN wins THEN array_to_string(list_sort(members), '+') ELSE device END AS best,
-  round(CASE WHEN idle THEN 0 ELSE res END, 6) + 0.0 AS residual, CAST(CASE WHEN idle THEN 100 WHEN res > tol THEN 0 ELSE greatest(5, least(99, round_even(100.0 * (1.0 - res / tol), 0))) END AS INTEGER) AS confidence,
-  NOT idle AND res <= tol AND NOT wins AS single,
-  CASE WHEN idle OR res > tol THEN '' ELSE coalesce((SELECT array_to_string(list(a.device ORDER BY a.score, a.ord), '+') FROM (SELECT si.*, row_number() OVER (PARTITION BY series_id ORDER BY score, ord) AS n FROM si) a WHERE a.series_id = r.series_id AND a.n BETWEEN 2 AND 4 AND a.res <= r.tol * 1.5), '') END AS alternatives,
-  CASE WHEN idle THEN 'Nothing is drawing power.' WHEN res > tol THEN 'The standing load does not match any known device or combination.'
-       WHEN wins THEN 'Several devices explain this level. Distortion cannot separate them, because it does not add up when devices run together.'
-       WHEN (SELECT varies FROM dev WHERE dev.device = r.device) THEN 'This device''s power changes while it runs, so it is recognised mainly by its current distortion rather than by how many watts it draws.'
-       ELSE 'Distortion was not available, so this rests on power alone.' END AS note FROM r""",
+{_STOOD}""",
     "calibrate_zip": f"{_CALIB} SELECT device, round(P, 6) + 0.0 AS P, round(Q, 6) + 0.0 AS Q, n_obs FROM ca",
     "apply_calibration": f"""{_CALIB}, me AS (SELECT CASE WHEN device = 'TABLE_FAN' THEN 'NEW_FAN' ELSE device END AS device, P, Q FROM ca)
 SELECT coalesce(dev.device, me.device) AS device, CAST(coalesce(ord, 14) AS INTEGER) AS ord, round(coalesce(me.P, dev.P), 6) + 0.0 AS P, round(coalesce(me.Q, dev.Q), 6) + 0.0 AS Q, family, coalesce(varies, false) AS varies, me.device IS NOT NULL AS calibrated
@@ -338,6 +355,11 @@ UNION ALL SELECT series_id, round(off_idx / 5, 6) + 0.0, device, 'off', -P + 0.0
     "asof_pred": f"WITH {_PLAN}, {_IDEAL} SELECT series_id, round(t, 6) AS t, array_to_string(predicted, '+') AS predicted FROM pr",
     "jaccard_eval": f"""WITH {_PLAN}, {_IDEAL}, {_ASOF.format(shift='ck.t + 0.5')}, b AS (SELECT active, predicted, len(list_intersect(active, predicted)) AS x, len(list_distinct(active || predicted)) AS u FROM tru JOIN pr USING (series_id, t))
 SELECT round(avg(CASE WHEN u = 0 THEN 1.0 ELSE x / u END), 6) + 0.0 AS jaccard, round(avg(CASE WHEN list_sort(active) = list_sort(predicted) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS exact_set_rate, count(*) AS n_checks FROM b""",
+    "standing_distortion": f"""WITH {_SUMMED}, {COMBOS}, {_DISTORTED}, lv AS (SELECT series_id || ':' || (idx // 40) AS series_id, median(p) AS pn, median(q) AS qn, median(thd) AS tn FROM di2 GROUP BY ALL),
+{_STANDING}
+{_STOOD}""",
+    "step_distortion": f"""WITH {_SYNTH}, {_DISTORTED}, kn AS (SELECT DISTINCT s.series_id, s.idx, so.k FROM steps s JOIN so ON so.series_id = s.series_id AND so.idx = s.idx AND so.p_before = s.p_before AND so.p_after = s.p_after AND so.delta_q = s.delta_q)
+SELECT kn.series_id, kn.idx, round(median(thd), 6) + 0.0 AS thd_i_after FROM kn JOIN di2 ON di2.series_id = kn.series_id AND di2.idx >= k AND di2.idx < k + {steps.StepRules().w} GROUP BY kn.series_id, kn.idx, k""",
     "synthetic_steps": f"WITH {_SYNTH} SELECT series_id, idx, round(t_sec, 6) + 0.0 AS t_sec, round(delta_p, 6) + 0.0 AS delta_p, round(delta_q, 6) + 0.0 AS delta_q, round(p_before, 6) + 0.0 AS p_before, round(p_after, 6) + 0.0 AS p_after FROM steps",
     "tracker_timeline": f"WITH RECURSIVE {STEP_CTE}, {DEV}, {_TRACK} {_SHOWN}",
     "synthetic_timeline": f"WITH RECURSIVE {_SYNTH}, {_TRACK} {_SHOWN}",

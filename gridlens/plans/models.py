@@ -85,6 +85,16 @@ def rf_accuracy(spark, sf_dir):
     return evaluation.accuracy(learning.random_forest(*_split(spark, sf_dir)), "label", "predicted")
 
 
+def rf_shares(spark, sf_dir):
+    """Each test row's likeliest label, its probability and the sum of all labels' probabilities, which is 1."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    train, test = _split(spark, sf_dir)
+    said = learning.fitted(train, RandomForestClassifier(numTrees=100, maxDepth=12, featureSubsetStrategy="sqrt", seed=0)).predict(test, with_shares=True)
+    whole = F.round(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x), 6)
+    return rounded(said.select("id", F.col("label").cast("string").alias("label"), "predicted", "confidence", whole.alias("whole")), "confidence")
+
+
 def lr_accuracy(spark, sf_dir):
     return evaluation.accuracy(learning.logistic(*_split(spark, sf_dir)), "label", "predicted")
 
@@ -95,7 +105,7 @@ def pca2(spark, sf_dir):
 
 QUERIES = {
     "zscore": zscore, "knn5": knn5, "silhouette_exact": silhouette_exact, "confusion": confusion, "accuracy": accuracy, "purity": purity, "ari": ari, "cluster_majority": cluster_majority,
-    "novelty_loo": novelty_loo, "novelty_rows": novelty_rows, "kmeans_purity": kmeans_purity, "rf_accuracy": rf_accuracy, "lr_accuracy": lr_accuracy, "pca2": pca2,
+    "novelty_loo": novelty_loo, "novelty_rows": novelty_rows, "kmeans_purity": kmeans_purity, "rf_accuracy": rf_accuracy, "rf_shares": rf_shares, "lr_accuracy": lr_accuracy, "pca2": pca2,
 }
 
 _ROWS = "e AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"

@@ -119,7 +119,7 @@ _SEEDS = f"""sw AS (SELECT own, b, series_id, t_sec, {_CALM('p')} OR {_CALM('sqr
 sl AS (SELECT sw.* FROM sw JOIN ju ON ju.series_id = own AND ju.b = sw.b WHERE calm AND t_sec >= first_t + {RULES.warm_s} AND t_sec <= first_t + {RULES.give_up_s} AND coalesce(was, first_t) - first_t <= {RULES.give_up_s}
   QUALIFY row_number() OVER (PARTITION BY own ORDER BY sw.b, t_sec) = 1),
 lvl AS (SELECT own AS series_id, sl.b, sl.t_sec, median(p) AS pn, median(q) AS qn FROM sl JOIN meter m USING (own, b) WHERE m.t_sec BETWEEN sl.t_sec - {RULES.warm_s} AND sl.t_sec GROUP BY ALL),
-{COMBOS}, {_STANDING.replace('FROM lv)', 'FROM lvl)')},
+{COMBOS}, {_STANDING.replace('SELECT *, sqrt', 'SELECT *, CAST(NULL AS DOUBLE) AS tn, sqrt').replace('FROM lv)', 'FROM lvl)')},
 sd AS (SELECT series_id, t_sec, CASE WHEN idle OR res > tol THEN CAST([] AS VARCHAR[]) WHEN wins THEN list_sort(members) ELSE [device] END AS active,
   CAST(CASE WHEN idle THEN 100 WHEN res > tol THEN 0 ELSE greatest(5, least(99, round_even(100.0 * (1.0 - res / tol), 0))) END AS INTEGER) AS confidence
   FROM r WHERE b <= coalesce((SELECT min(b) FROM steps WHERE steps.series_id = r.series_id), 9999)),
