@@ -63,19 +63,25 @@ def nearest_known(steps: DataFrame, devices: DataFrame, k: int = 2) -> DataFrame
 
 
 def match_steps(steps: DataFrame, devices: DataFrame, largest: int = 3, penalty: float = 6.0, penalty_share: float = 0.0, tol_abs: float = 10.0, tol_share: float = 0.18) -> DataFrame:
-    """steps with members, err and ok: the set of up to `largest` devices nearest to the step, each
+    """steps with members, ords, err and ok: the set of up to `largest` devices nearest to the step, each
     device after the first costing max(penalty, penalty_share * size); ok if err is within tolerance."""
     p, q = pick_sign("delta_p", "delta_q")
     mag = F.hypot("delta_p", "delta_q")
     extra = F.greatest(F.lit(penalty), penalty_share * mag)
     tried = F.transform("combos", lambda c: F.struct((F.hypot(c["P"] - p, c["Q"] - q) + extra * (c["size"] - 1)).alias("err"), c["size"].alias("size"), c["ords"].alias("ords"), c["members"].alias("members")))
     out = with_constant(steps, folded(combinations(devices, 1, largest), "combos")).withColumn("_best", F.array_min(tried))
-    return out.withColumns({"members": F.array_sort("_best.members"), "err": F.col("_best.err"), "ok": F.col("_best.err") <= F.greatest(F.lit(tol_abs), tol_share * mag)}).drop("combos", "_best")
+    return out.withColumns({"members": F.array_sort("_best.members"), "ords": F.col("_best.ords"), "err": F.col("_best.err"), "ok": F.col("_best.err") <= F.greatest(F.lit(tol_abs), tol_share * mag)}).drop("combos", "_best")
 
 
 def is_novel_step(steps: DataFrame, devices: DataFrame, threshold: float = 30.0) -> DataFrame:
     """steps with err and novel: no set of up to three devices comes within threshold."""
-    return match_steps(steps, devices).withColumn("novel", F.col("err") > threshold).drop("members", "ok")
+    return match_steps(steps, devices).withColumn("novel", F.col("err") > threshold).drop("members", "ords", "ok")
+
+
+def best_of_onset(matched: DataFrame, *order: str) -> DataFrame:
+    """Of the steps of a series that begin at one row (series_id, idx), the one that comes first by `order`."""
+    rest = [c for c in matched.columns if c not in ("series_id", "idx", *order)]
+    return matched.groupBy("series_id", "idx").agg(F.min(F.struct(*order, *rest)).alias("_first")).select("series_id", "idx", "_first.*")
 
 
 def snapshots(df: DataFrame) -> DataFrame:

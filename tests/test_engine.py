@@ -183,6 +183,18 @@ def test_match_ties_margins_and_unknowns(spark):
     assert [n["device"] for n in matching.nearest_known(st, devs).first()["nearest"]] == ["a", "b"]
 
 
+def test_steps_that_begin_at_one_row_are_judged_together(spark, monkeypatch):
+    from gridlens.plans import matching as plans
+
+    st = spark.createDataFrame([("s", 43, 8.6, 13.85, -8.0), ("s", 43, 8.6, 15.38, 25.0), ("t", 43, 8.6, 709.0, 1.0)], "series_id string, idx long, t_sec double, delta_p double, delta_q double")
+    monkeypatch.setattr(plans, "_steps", lambda spark, sf_dir: st)
+    rows = lambda query, *cols: sorted(tuple(r[c] for c in cols) for r in query(spark, "").collect())
+    assert rows(plans.nearest_device, "series_id", "idx", "device") == [("s", 43, "TABLE_FAN"), ("t", 43, "Toaster")]
+    assert rows(plans.nearest_k, "series_id", "rank", "device")[:2] == [("s", 0, "TABLE_FAN"), ("s", 1, "Monitor")]
+    assert rows(plans.match_combo, "series_id", "members", "ok") == [("s", "TABLE_FAN", True), ("t", "Toaster", True)]
+    assert rows(plans.novel_steps, "series_id", "err", "novel") == [("s", 2.241093, False), ("t", 0.05, False)]
+
+
 def test_too_many_combinations_are_refused(spark, monkeypatch):
     st = spark.createDataFrame([(50.0, 0.0)], "delta_p double, delta_q double")
     with pytest.raises(ValueError):
