@@ -108,10 +108,25 @@ def settled_windows(df: DataFrame, seconds: int = 5, least: float = 1.5, share:
     own, next_ = (F.floor((F.col("t_sec") + shift) / chunk_s) for shift in (0, seconds))
     wide = df.withColumn("_chunk", F.explode(F.array_distinct(F.array(own, next_))))
     over = Window.partitionBy("series_id", "_chunk").orderBy("t_sec").rangeBetween(-seconds, 0)
-    s = F.hypot("p", "q")
-    calm = lambda c: F.stddev_pop(c).over(over) <= F.greatest(F.lit(least), share * F.greatest(F.abs(F.avg(c).over(over)), F.lit(1.0)))
-    out = wide.withColumns({"p_std": F.stddev_pop("p").over(over), "s_std": F.stddev_pop(s).over(over), "settled": calm(F.col("p")) | calm(s)})
-    return out.where(own.eqNullSafe(F.col("_chunk"))).drop("_chunk")
+    wide = wide.withColumn("_s", F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q")))
+    for c, name in (("p", "p_std"), ("_s", "s_std")):
+        wide = wide.withColumn(f"_{name}", F.collect_list(c).over(over)).withColumn(f"_{name}_mean", F.avg(c).over(over))
+    out = wide.where(own.eqNullSafe(F.col("_chunk"))).withColumns({name: deviation(f"_{name}") for name in ("p_std", "s_std")})
+    calm = lambda name: F.col(name) <= F.greatest(F.lit(least), share * F.greatest(F.abs(f"_{name}_mean"), F.lit(1.0)))
+    return out.withColumn("settled", calm("p_std") | calm("s_std")).drop("_chunk", "_s", *[f"_{name}{more}" for name in ("p_std", "s_std") for more in ("", "_mean")])
+
+
+def deviation(values: str) -> Column:
+    """Population deviation of an array without nulls, null of none. The squares grow by (x - mean before) * (x - mean
+    after), value by value, so that a deviation right at a limit falls on the side that SQL engines put it."""
+
+    def step(a: Column, x: Column) -> Column:
+        n, far = a["n"] + 1.0, x - a["mean"]
+        mean = a["mean"] + far / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + far * (x - mean)).alias("squares"))
+
+    zero = F.lit(0.0)
+    return F.aggregate(values, F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("squares")), step, lambda a: F.sqrt(F.try_divide(a["squares"], a["n"])))
 
 
 def carried(df: DataFrame, made: dict[str, tuple], t: str = "t_sec", backward: bool = False, chunk_s: float = CHUNK_SECONDS) -> DataFrame:

@@ -47,6 +47,13 @@ def test_settled_windows_by_chunks(spark):
     assert whole == cut and len(cut) == 400 and {x[2] for x in cut} == {True, False}
 
 
+def test_a_deviation_right_at_the_limit(spark):
+    rows = [("a", 0, 0.0, 4.7, 17.0), ("a", 1, 4.0, 1.7, -11.0), ("b", 0, 0.0, 1.0, 9.0), ("b", 1, 1.0, 4.0, -3.0)]
+    out = windows.settled_windows(spark.createDataFrame(rows, "series_id string, idx long, t_sec double, p double, q double"), 5, share=0.0)
+    # 4.7 - 1.7 is more than 3 as doubles, 4 - 1 is 3
+    assert {(r["series_id"], r["idx"]): r["settled"] for r in out.collect()} == {("a", 0): True, ("a", 1): False, ("b", 0): True, ("b", 1): True}
+
+
 def test_medians_of_long_groups_are_exact(spark):
     rng = random.Random(6)
     kinds = {
