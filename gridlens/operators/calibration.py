@@ -10,10 +10,10 @@ def calibrate(steps: DataFrame, order: DataFrame) -> DataFrame:
     """(device, P, Q, n_obs), means over all observations, not rounded.
 
     steps: series_id, t_sec, delta_p, delta_q. order: series_id, pos (from 1), device. The k-th ON step
-    of a recording is its k-th device; an OFF step belongs to the device of the recording whose ON
-    step was nearest in size, of equal ones the first.
+    of a recording is its k-th device, steps of one time in the order of their sizes; an OFF step belongs to
+    the device of the recording whose ON step was nearest in size, of equal ones the first.
     """
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("t_sec"))
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("t_sec", "delta_p", "delta_q"))
     on = steps.where("delta_p > 0").withColumn("pos", rank).join(order, ["series_id", "pos"]).select("series_id", "pos", "device", F.abs("delta_p").alias("P"), F.col("delta_q").alias("Q"))
     off = steps.where("delta_p < 0").withColumn("off_no", rank).select("series_id", "off_no", F.abs("delta_p").alias("size"), (-F.col("delta_q")).alias("off_q"))
     near = off.join(on, "series_id").groupBy("series_id", "off_no").agg(F.min_by(F.struct("device", F.col("size").alias("P"), F.col("off_q").alias("Q")), F.struct(F.abs(F.col("P") - F.col("size")), "pos")).alias("o"))

@@ -211,6 +211,14 @@ def test_calibration_overlay(spark):
     assert calibration.onboard(known, "Neu", -10.0, -4.0).where("device = 'Neu'").first()["Q"] == 4.0
 
 
+def test_calibration_of_steps_at_one_time(spark):
+    st = lambda rows: spark.createDataFrame(rows, "series_id string, t_sec double, delta_p double, delta_q double").coalesce(1)
+    order = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b")], "series_id string, pos int, device string")
+    rows = [("s", 1.0, 30.0, 2.0), ("s", 1.0, 20.0, 1.0), ("s", 2.0, -19.0, 0.0)]
+    for given in (rows, rows[::-1]):
+        assert {r["device"]: (r["P"], r["n_obs"]) for r in calibration.calibrate(st(given), order).collect()} == {"a": (19.5, 2), "b": (30.0, 1)}
+
+
 # ---- tracker --------------------------------------------------------------------------------
 
 
