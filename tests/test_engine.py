@@ -219,6 +219,17 @@ def test_calibration_of_steps_at_one_time(spark):
         assert {r["device"]: (r["P"], r["n_obs"]) for r in calibration.calibrate(st(given), order).collect()} == {"a": (19.5, 2), "b": (30.0, 1)}
 
 
+def test_a_forest_in_parts_sums_its_trees(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "xyz"[i % 3], [float(v) for v in rng.normal(i % 3, 0.8, 4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, label string, vector array<double>")
+    made = learning.forest_in_parts(df, trees=8, depth=4, seed=0, part=3)
+    assert [m.getNumTrees for m in made.model.models] == [3, 3, 2] and len({m.toDebugString for m in made.model.models}) == 3
+    out = made.predict(df, with_shares=True).collect()
+    assert all(math.isclose(sum(r["shares"]), 1.0) and r["confidence"] == max(r["shares"]) for r in out)
+    assert sum(r["predicted"] == r["label"] for r in out) > 100
+
+
 # ---- tracker --------------------------------------------------------------------------------
 
 
