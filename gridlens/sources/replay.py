@@ -38,7 +38,7 @@ def write_replay(recordings: DataFrame, path: str, buckets: int = 8, chunk_s: fl
     rows = rows.where("series_id IS NOT NULL AND t_sec IS NOT NULL AND due IS NOT NULL")
     placed = rows.select(*_ROWS, F.pmod(F.xxhash64("series_id"), F.lit(buckets)).alias("bucket"), F.floor(F.col("due") / chunk_s).cast("long").alias("chunk"))
     placed.repartition("bucket", "chunk").write.mode("overwrite").partitionBy("bucket", "chunk").parquet(f"{path}/rows")
-    span = recordings.sparkSession.read.parquet(f"{path}/rows").agg(F.min("due").alias("low"), F.max("due").alias("high"))
+    span = recordings.sparkSession.read.schema("due double").parquet(f"{path}/rows").agg(F.min("due").alias("low"), F.max("due").alias("high"))
     span.select(F.to_json(F.struct("low", "high", F.lit(buckets).alias("buckets"), F.lit(float(chunk_s)).alias("chunk_s"))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/span")
 
 

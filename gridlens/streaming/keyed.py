@@ -47,7 +47,9 @@ class Clock:
 
 
 def _found(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_FOUND_NAMES).astype({"n": "Int64"})
+    made = {c: [r.get(c) for r in rows] for c in _FOUND_NAMES}
+    number = lambda c, x: pd.array(x, "Int64") if c == "n" else np.array(x, float)
+    return pd.DataFrame({c: x if c in ("kind", "series_id") else number(c, x) for c, x in made.items()})
 
 
 class Detector(StatefulProcessor):
@@ -58,12 +60,12 @@ class Detector(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t_sec double, p double, q double, thd double")
-        self.at = handle.getValueState("at", "first_t double, last_t double, finalized double, decided boolean, late long, stale_at long, flush_at long")
+        # each call of the state is a round trip and a row of a list another one, so all is one value and rows are bytes
+        self.at = handle.getValueState("at", "first_t double, last_t double, finalized double, decided boolean, late long, stale_at long, flush_at long, rows binary")
 
-    def _buffer(self) -> np.ndarray:
-        held = list(self.rows.get()) if self.rows.exists() else []
-        return np.array([[np.nan if v is None else v for v in r] for r in held], float).reshape(-1, 4)
+    @staticmethod
+    def _buffer(was: tuple | None) -> np.ndarray:
+        return np.frombuffer(bytes(was[7]) if was and was[7] else b"", float).reshape(-1, 4)
 
     def _final(self, held: np.ndarray, after: float, cutoff: float, name: str) -> list[dict]:
         found = buffer_steps(*held.T, self.rules.steps)
@@ -71,28 +73,29 @@ class Detector(StatefulProcessor):
         return [dict(zip(cols, s), kind="step", series_id=name) for s in sorted(found, key=lambda s: s[:3]) if after < s[0] <= cutoff]
 
     def _set_timers(self, now_ms: int, was: tuple | None) -> tuple[int, int]:
-        for old in was[5:7] if was else ():
-            if old:
-                self.handle.deleteTimer(old)
-        times = tuple(now_ms + int(1000 * s) for s in (self.clock.stale_s, self.clock.flush_s))
-        for at in times:
-            self.handle.registerTimer(at)
-        return times
+        """One timer is set at a time: that of silence, and when it has run that of the last steps."""
+        old = (was[6] if was[5] is None else was[5]) if was else None
+        stale, flush = (now_ms + int(1000 * s) for s in (self.clock.stale_s, self.clock.flush_s))
+        if old:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(stale)
+        return stale, flush
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         name, r = key[0], self.rules
         if name is None:
             return  # a beat of the clock
-        come = pd.concat(list(rows))
-        was = self.at.get() if self.at.exists() else None
-        new = come[["t_sec", "p", "q", "thd"]].to_numpy(float)
+        come = list(rows)
+        come = come[0] if len(come) == 1 else pd.concat(come)
+        was = self.at.get()
+        new = np.column_stack([come[c].to_numpy(float) for c in ("t_sec", "p", "q", "thd")])
         new[:, 1:3] = np.nan_to_num(new[:, 1:3])
         now_ms = int(come["arrived"].max().timestamp() * 1000) if self.clock.event else timerValues.getCurrentProcessingTimeInMs()
         after = was[2] if was and was[2] is not None else -math.inf
         timely = new[:, 0] > after
         late = new[~timely]
         out = [{"kind": "late", "series_id": name, "t_sec": float(t)} for t in np.sort(late[:, 0])]
-        held = np.concatenate([self._buffer(), new[timely]])
+        held = np.concatenate([self._buffer(was), new[timely]])
         held = held[np.lexsort((held[:, 2], held[:, 1], held[:, 0]))]
         first, last, decided = (was[0], was[1], was[3]) if was else (None, -math.inf, False)
         if len(held):
@@ -109,10 +112,8 @@ class Detector(StatefulProcessor):
             out += self._final(held, after, cutoff, name)
             finalized = float(cutoff)
         kept = held[held[:, 0] >= last - r.keep_s]
-        if len(new[timely]):
-            self.rows.put([(float(t), float(p), float(q), None if math.isnan(d) else float(d)) for t, p, q, d in kept])
         timers = self._set_timers(now_ms, was)
-        self.at.update((first, last if last > -math.inf else None, finalized, bool(decided), (was[4] if was else 0) + len(late), *timers))
+        self.at.update((None if first is None else float(first), last if last > -math.inf else None, finalized, bool(decided), (was[4] if was else 0) + len(late), *timers, kept.tobytes()))
         if out:
             yield _found(out)
 
@@ -120,16 +121,21 @@ class Detector(StatefulProcessor):
         name, at = key[0], self.at.get()
         fired, out = expiredTimerInfo.getExpiryTimeInMs(), []
         stale, flush = at[5:7]
-        if fired == stale:
+        if stale is not None and fired == stale:
             out.append({"kind": "stale", "series_id": name, "t_sec": at[1], "n": at[4]})
             stale = None
-        if fired == flush:
-            held, after = self._buffer(), -math.inf if at[2] is None else at[2]
+            now_ms = timerValues.getCurrentWatermarkInMs() if self.clock.event else timerValues.getCurrentProcessingTimeInMs()
+            if flush > now_ms:
+                self.handle.registerTimer(flush)
+            else:
+                fired = flush  # the clock has passed it too
+        if stale is None and fired == flush:
+            held, after = self._buffer(at), -math.inf if at[2] is None else at[2]
             if len(held) >= self.rules.least_rows:
                 out += self._final(held, after, math.inf, name)
                 at = (*at[:2], at[1], *at[3:])
             flush = None
-        self.at.update((*at[:5], stale, flush))
+        self.at.update((*at[:5], stale, flush, bytes(at[7])))
         if out:
             yield _found(out)
 

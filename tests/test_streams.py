@@ -102,6 +102,63 @@ def test_late_rows_are_listed_and_change_nothing(spark, tmp_path):
     assert max(abs(r["delta_p"]) for r in found.where("kind = 'step'").collect()) < 1000
 
 
+class Told:
+    """State and timers of one series, as a processor calls them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, kind):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_micro_batch_of_a_series_takes_few_calls_of_its_state():
+    import pandas as pd
+
+    class Now:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return self.at
+
+    told, now = Told(), Now()
+    detector = keyed.Detector(keyed.LiveRules(), keyed.Clock())
+    detector.init(told)
+    for tick in range(3):
+        t = np.arange(tick * 50, (tick + 1) * 50) / 5
+        rows = pd.DataFrame({"series_id": "a", "t_sec": t, "p": np.where(t >= 26.4, 700.0, 0.0), "q": 0.0, "thd": np.nan, "arrived": pd.Timestamp("1970-01-01", tz="UTC") + pd.to_timedelta(t, unit="s")})
+        told.calls = 0
+        list(detector.handleInputRows(("a",), iter([rows]), now))
+        assert told.calls <= 4 and len(told.timers) == 1
+    end = 29_800
+    told.timers.remove(end + 3000)  # it runs
+    now.at = end + 3000
+    out = pd.concat(detector.handleExpiredTimer(("a",), now, now))
+    assert list(out["kind"]) == ["stale"] and told.timers == {end + 10_000}
+    now.at = end + 10_000
+    told.timers.clear()
+    out = pd.concat(detector.handleExpiredTimer(("a",), now, now))
+    assert list(out["kind"]) == ["step"] and not told.timers
+
+
 def test_nulls_and_extra_columns_on_a_stream(spark, tmp_path):
     df = frame(spark, {"a": [(None if i % 9 == 0 else p, None if i % 7 == 0 else q, None) for i, (p, q, _) in enumerate(levels(1, (80, 0, 0), (90, 0, 40)))]}).drop("idx")
     bad = spark.createDataFrame([("a", None, 1.0, 1.0, None), (None, 3.0, 1.0, 1.0, None)], "series_id string, t_sec double, p double, q double, thd double")
