@@ -104,7 +104,7 @@ def feasible(entries: Column, want: Column, amps: float = MOST_AMPS) -> Column:
         fits = (F.size(state["taken"]) < want) & (state["used"] + d["i"] <= amps)
         return F.struct(F.when(fits, state["used"] + d["i"]).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], d)).otherwise(state["taken"]).alias("taken"))
 
-    taken = F.aggregate(entries, start, step)["taken"]
+    taken = F.aggregate(entries, start, step, lambda state: state["taken"])
     least = F.array_min(F.transform(entries, lambda d: F.struct(d["i"].alias("i"), d["ord"].alias("ord"), d.alias("d"))))["d"]
     return F.when(F.size(taken) > 0, taken).otherwise(F.array(least))
 
@@ -116,15 +116,17 @@ def signal_plans(spark: SparkSession, devices: DataFrame, n: int | DataFrame, se
     matching checks the size.
     """
     from .matching import folded, with_constant
+    from .steps import once
 
     c = F.col
     site = folded(devices.select("ord", "device", (F.hypot("P", "Q") / VOLTS).alias("i")), "site")
     ids = n.select("id") if isinstance(n, DataFrame) else spark.range(n)
+    ids = ids.repartition(4 * spark.sparkContext.defaultParallelism, "id")  # few bytes an id, much work
     signals = with_constant(ids.withColumn("mode", F.when(c("id") % 2 == 0, MODES[0]).otherwise(MODES[1])), site)
     shuffled = F.array_sort(F.transform("site", lambda d: F.struct(hashed(F.lit(seed), c("id"), d["ord"]).alias("turn"), d["i"].alias("i"), d["ord"].alias("ord"), d["device"].alias("device"))))
     limit = F.when(c("id") % 2 == 0, most[0]).otherwise(most[1])
     want = 1 + F.pmod(hashed(F.lit(seed), c("id"), F.lit("want")), limit)
-    picked = signals.select("id", "mode", feasible(shuffled, want).alias("combo")).withColumn("m", F.size("combo"))
+    picked = once(once(signals, entries=shuffled, want=want), combo=feasible(c("entries"), c("want"))).select("id", "mode", "combo", F.size("combo").alias("m"))
     runs = picked.select("id", "mode", "m", ((SIGNAL_S + PER_DEVICE_S * c("m")) * SPS).cast("int").alias("total"), F.posexplode("combo").alias("k", "d"))
     whole = lambda x: F.floor(x).cast("int")
     gap = whole(c("total") / (c("m") + 2))

@@ -230,6 +230,11 @@ def test_a_forest_in_parts_sums_its_trees(spark):
     assert sum(r["predicted"] == r["label"] for r in out) > 100
 
 
+def test_plans_of_signals_spread_over_tasks(spark):
+    made = synthesis.signal_plans(spark, schema.devices(spark), spark.range(40).coalesce(1), 7)
+    assert made.rdd.getNumPartitions() > 4 and made.select("series_id").distinct().count() == 40
+
+
 # ---- tracker --------------------------------------------------------------------------------
 
 
