@@ -26,6 +26,15 @@ TWO_SPEEDS, SLOW, FAST, SPIKE_SPREAD = ["Mixer"], (0.55, 0.75), (1.25, 1.45), (0
 #: Fixed values of a signal: seconds in all and per device, jitter in rows.
 SIGNAL_S, PER_DEVICE_S, JITTER = 20, 18, 3
 MODES = ("sequential", "simultaneous")
+#: Signals or runs that one task makes.
+SIGNALS_A_TASK = 250
+
+
+def spread(df: DataFrame, *keys: str, rows: int = SIGNALS_A_TASK) -> DataFrame:
+    """df dealt by its keys over so many tasks that each takes about `rows` of its rows. For rows of few bytes and much work:
+    tasks that are cut by bytes would leave them together."""
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(tasks, -(-df.count() // rows)), *keys)
 
 
 def hashed(*keys) -> Column:
@@ -154,12 +163,14 @@ def sampled(files: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
 
 def summed(plan: DataFrame, shares: DataFrame) -> DataFrame:
     """One row per row of each signal: sums of power, distortion weighted by current, apparent power,
-    current and power factor; null where nothing runs."""
-    every = plan.groupBy("series_id").agg(F.max("total").alias("total")).select("series_id", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
-    sums = shares.groupBy("series_id", "idx").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("thd") * F.col("i")).alias("ti"), F.sum("i").alias("ii"))
-    out = every.join(sums, ["series_id", "idx"], "left").na.fill(0.0, ["p", "q"])
+    current and power factor, null where nothing runs, and n, the rows of the signal."""
+    every = plan.groupBy("series_id").agg(F.max("total").alias("total")).select("series_id", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"), F.col("total").cast("long").alias("n"))
+    # a plan that comes dealt by series_id stays so: no row moves, neither here nor for windows over the signals
+    both = shares.select("series_id", "idx", "p", "q", "thd", "i").unionByName(every, allowMissingColumns=True)
+    sums = both.groupBy("series_id", "idx").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("thd") * F.col("i")).alias("ti"), F.sum("i").alias("ii"), F.max("n").alias("n"))
+    out = sums.where("n IS NOT NULL").na.fill(0.0, ["p", "q"])
     s = F.hypot("p", "q")
-    return out.select("series_id", F.col("idx").cast("long").alias("idx"), (F.col("idx") / SPS).alias("t_sec"), "p", "q", F.when(F.col("ii") > 1e-6, F.col("ti") / F.col("ii")).alias("thd"), s.alias("s"), (s / VOLTS).alias("i"), F.when(s > 1e-6, F.try_divide(F.col("p"), s)).alias("pf"))
+    return out.select("series_id", F.col("idx").cast("long").alias("idx"), (F.col("idx") / SPS).alias("t_sec"), "n", "p", "q", F.when(F.col("ii") > 1e-6, F.col("ti") / F.col("ii")).alias("thd"), s.alias("s"), (s / VOLTS).alias("i"), F.when(s > 1e-6, F.try_divide(F.col("p"), s)).alias("pf"))
 
 
 def truth_events(plan: DataFrame, devices: DataFrame) -> DataFrame:
@@ -170,8 +181,9 @@ def truth_events(plan: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def active_sets(plan: DataFrame) -> DataFrame:
-    """(series_id, t, active): the true set at every row, empty ones included."""
-    every = plan.groupBy("series_id").agg(F.max("total").alias("total")).select("series_id", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
-    runs = plan.select("series_id", "device", F.explode(F.sequence("on_idx", F.col("off_idx") - 1)).alias("idx"))
-    sets = runs.groupBy("series_id", "idx").agg(F.sort_array(F.collect_set("device")).alias("active"))
-    return every.join(sets, ["series_id", "idx"], "left").select("series_id", (F.col("idx") / SPS).alias("t"), F.coalesce("active", F.array().cast("array<string>")).alias("active"))
+    """(series_id, t, active): the true set at every row, empty ones included. A signal's runs, as few as its devices,
+    travel with its rows, which meet by no join."""
+    runs = F.collect_list(F.struct("device", "on_idx", "off_idx"))
+    rows = plan.groupBy("series_id").agg(F.max("total").alias("total"), runs.alias("runs")).select("series_id", "runs", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
+    now = F.filter("runs", lambda r: (r["on_idx"] <= F.col("idx")) & (F.col("idx") < r["off_idx"]) & r["device"].isNotNull())
+    return rows.select("series_id", (F.col("idx") / SPS).alias("t"), F.array_sort(F.array_distinct(F.transform(now, lambda r: r["device"]))).alias("active"))

@@ -234,6 +234,18 @@ def test_plans_of_signals_spread_over_tasks(spark):
     made = synthesis.signal_plans(spark, schema.devices(spark), spark.range(40).coalesce(1), 7)
     assert made.rdd.getNumPartitions() > 4 and made.select("series_id").distinct().count() == 40
 
+def test_summed_signals_stay_where_their_plans_were_dealt(spark):
+    one = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("series_id"), F.lit(30).alias("total"), F.lit(3).alias("ord"), F.lit("Monitor").alias("device"), F.lit(5).alias("on_idx"), F.lit(20).alias("off_idx"))
+    plan = synthesis.spread(one, "series_id", rows=2)
+    shares = plan.select("series_id", F.explode(F.sequence("on_idx", F.col("off_idx") - 1)).alias("idx"), F.lit(2.0).alias("p"), F.lit(1.0).alias("q"), F.lit(5.0).alias("thd"), F.lit(1.0).alias("i"))
+    sig, sets = synthesis.summed(plan, shares), synthesis.active_sets(plan)
+    for made in (sig, sets):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == text.count("REPARTITION_BY_NUM") > 0
+        assert made.rdd.getNumPartitions() >= 20 and made.count() == 40 * 30
+    assert [tuple(r) for r in sig.groupBy("n", "p", "thd").count().orderBy("p").collect()] == [(30, 0.0, None, 600), (30, 2.0, 5.0, 600)]
+    assert sets.where(F.size("active") > 0).count() == 600
+
 
 # ---- tracker --------------------------------------------------------------------------------
 
