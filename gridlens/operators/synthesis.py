@@ -26,6 +26,8 @@ TWO_SPEEDS, SLOW, FAST, SPIKE_SPREAD = ["Mixer"], (0.55, 0.75), (1.25, 1.45), (0
 #: Fixed values of a signal: seconds in all and per device, jitter in rows.
 SIGNAL_S, PER_DEVICE_S, JITTER = 20, 18, 3
 MODES = ("sequential", "simultaneous")
+#: What tells the two uniform numbers of a normal one apart.
+PARTS = ("far", "turn")
 #: Signals or runs that one task makes.
 SIGNALS_A_TASK = 250
 
@@ -43,16 +45,23 @@ def hashed(*keys) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _share(number: Column) -> Column:
+    return (F.shiftright(number, 7).cast("double") + 0.5) / float(1 << 53)
+
+
 def uniform(low: float, high: float, *keys) -> Column:
     """A number in (low, high) that depends on the keys alone."""
-    share = (F.shiftright(hashed(*keys), 7).cast("double") + 0.5) / float(1 << 53)
-    return low + (high - low) * share
+    return low + (high - low) * _share(hashed(*keys))
+
+
+def _normal_of(mean, std, far: Column, turn: Column) -> Column:
+    """A normal number of two uniform ones in (0, 1)."""
+    return mean + std * F.sqrt(-2 * F.log(far)) * F.cos(2 * math.pi * turn)
 
 
 def normal(mean, std, *keys) -> Column:
     """A normal number that depends on the keys alone."""
-    far = F.sqrt(-2 * F.log(uniform(0.0, 1.0, *keys, F.lit("far"))))
-    return mean + std * far * F.cos(uniform(0.0, 2 * math.pi, *keys, F.lit("turn")))
+    return _normal_of(mean, std, *[uniform(0.0, 1.0, *keys, F.lit(part)) for part in PARTS])
 
 
 def _sub_seed(seed: int) -> Column:
@@ -70,32 +79,41 @@ def synthetic_runs(fingerprints: DataFrame, runs: int, seed: int) -> DataFrame:
     of_run = lambda name: (c("sub_seed"), F.lit(name))
     of_row = lambda name: (c("sub_seed"), F.lit(name), c("idx"))
     rows = lambda seconds: F.floor(seconds * SPS).cast("int")
-    wanted = fingerprints.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("sub_seed", _sub_seed(seed))
+    wanted = fingerprints.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    wanted = spread(wanted, "device", "run").withColumn("sub_seed", _sub_seed(seed))
     start, lasts = uniform(*START_S, *of_run("start")), uniform(*LASTS_S, *of_run("lasts"))
     wanted = wanted.withColumn("total", rows(uniform(*RUN_S, *of_run("total"))))
     wanted = wanted.withColumns({"on": rows(start), "off": F.least(rows(start + lasts), c("total") - TAIL_ROWS)})
     half = F.floor((c("off") - c("on")) / 2) + F.pmod(hashed(*of_run("turn")), F.lit(2 * SPS + 1)) - SPS
     wanted = wanted.withColumn("turn", F.greatest(F.lit(5), F.least(half, c("off") - c("on") - 5)))
-    every = wanted.repartition("device", "run").withColumn("idx", F.explode(F.sequence(F.lit(0), c("total") - 1)))
+    level = lambda name: 1 + LEVEL_STD * normal(0.0, 1.0, *of_run(name))
+    # what holds for a whole run is made before its rows are
+    wanted = wanted.withColumns({"slow": uniform(*SLOW, *of_run("slow")), "fast": uniform(*FAST, *of_run("fast")), "level_p": level("p"), "level_q": level("q")})
+    every = wanted.withColumn("idx", F.explode(F.sequence(F.lit(0), c("total") - 1)))
 
     at, two = c("idx") - c("on"), c("device").isin(TWO_SPEEDS)
     runs_now = (at >= 0) & (c("idx") < c("off"))
+    # a row's chances come as one array: spelled out in the expressions that use them they are more code than the JVM compiles
+    always, names = 4, ["u", "gap", "frequency", "thd_u", "p", "q", "thd_i"]
+    numbers = [hashed(*of_row(name), F.lit(part)) for name in names for part in PARTS]
+    numbers = [n if k < always * len(PARTS) else F.when(runs_now, n) for k, n in enumerate(numbers)]
+    every = every.withColumn("chances", F.transform(F.array(*numbers), _share))
+    noisy = lambda mean, std, name: _normal_of(mean, std, *[F.get("chances", F.lit(len(PARTS) * names.index(name) + k)) for k in range(len(PARTS))])
     std = lambda name: F.greatest(c(name), F.lit(LEAST_STD))
-    speed = F.when(at < c("turn"), uniform(*SLOW, *of_run("slow"))).otherwise(uniform(*FAST, *of_run("fast")))
-    level = lambda name: 1 + LEVEL_STD * normal(0.0, 1.0, *of_run(name))
+    speed = F.when(at < c("turn"), c("slow")).otherwise(c("fast"))
     rushes = (c("inrush_ratio") > INRUSH_FROM) & (c("off") - c("on") > 1) & (at == 0)
     spike = lambda spread: c("on_p_mean") * c("inrush_ratio") * uniform(*spread, *of_row("spike"))
-    p_on = F.when(two & ((at == 0) | (at == c("turn"))), spike(SPIKE_SPREAD)).when(~two & rushes, spike(INRUSH_SPREAD)).otherwise(normal(c("on_p_mean") * F.when(two, speed).otherwise(level("p")), std("on_p_std"), *of_row("p")))
+    p_on = F.when(two & ((at == 0) | (at == c("turn"))), spike(SPIKE_SPREAD)).when(~two & rushes, spike(INRUSH_SPREAD)).otherwise(noisy(c("on_p_mean") * F.when(two, speed).otherwise(c("level_p")), std("on_p_std"), "p"))
     q_rush = c("on_q_mean") * Q_INRUSH * uniform(*INRUSH_SPREAD, *of_row("q_spike"))
-    q_on = F.when(~two & rushes & (c("on_q_mean") > Q_INRUSH_FROM), q_rush).otherwise(normal(c("on_q_mean") * F.when(two, 1.0).otherwise(level("q")), std("on_q_std"), *of_row("q")))
-    out = every.withColumns({"p": F.when(runs_now, p_on).otherwise(0.0), "q": F.when(runs_now, q_on).otherwise(0.0), "u": normal(c("voltage_mean"), VOLT_STD, *of_row("u"))})
+    q_on = F.when(~two & rushes & (c("on_q_mean") > Q_INRUSH_FROM), q_rush).otherwise(noisy(c("on_q_mean") * F.when(two, 1.0).otherwise(c("level_q")), std("on_q_std"), "q"))
+    out = every.withColumns({"p": F.when(runs_now, p_on).otherwise(0.0), "q": F.when(runs_now, q_on).otherwise(0.0), "u": noisy(c("voltage_mean"), VOLT_STD, "u")})
     s = F.hypot("p", "q")
     so_far = Window.partitionBy("device", "run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return out.select(
-        "device", "run", "idx", F.sum(normal(1 / SPS, GAP_STD, *of_row("gap"))).over(so_far).alias("t_sec"), "u", F.when(runs_now, s / c("u")).otherwise(0.0).alias("i"), "p", s.alias("s"), "q",
-        F.when(runs_now, F.try_divide(c("p"), s)).alias("pf"), normal(HERTZ, HERTZ_STD, *of_row("frequency")).alias("frequency"),
-        normal(F.when(c("on_thd_u_mean") > 0, c("on_thd_u_mean")).otherwise(THD_U), THD_U_STD, *of_row("thd_u")).alias("thd_u"),
-        F.when(runs_now, F.greatest(F.lit(LEAST_THD), normal(c("on_thd_i_mean"), std("on_thd_i_std"), *of_row("thd_i")))).alias("thd_i"),
+        "device", "run", "idx", F.sum(noisy(1 / SPS, GAP_STD, "gap")).over(so_far).alias("t_sec"), "u", F.when(runs_now, s / c("u")).otherwise(0.0).alias("i"), "p", s.alias("s"), "q",
+        F.when(runs_now, F.try_divide(c("p"), s)).alias("pf"), noisy(HERTZ, HERTZ_STD, "frequency").alias("frequency"),
+        noisy(F.when(c("on_thd_u_mean") > 0, c("on_thd_u_mean")).otherwise(THD_U), THD_U_STD, "thd_u").alias("thd_u"),
+        F.when(runs_now, F.greatest(F.lit(LEAST_THD), noisy(c("on_thd_i_mean"), std("on_thd_i_std"), "thd_i"))).alias("thd_i"),
     )
 
 

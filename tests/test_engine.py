@@ -234,6 +234,13 @@ def test_plans_of_signals_spread_over_tasks(spark):
     made = synthesis.signal_plans(spark, schema.devices(spark), spark.range(40).coalesce(1), 7)
     assert made.rdd.getNumPartitions() > 4 and made.select("series_id").distinct().count() == 40
 
+def test_runs_spread_over_tasks(spark):
+    rules = {"on_p_mean": 50.0, "on_p_std": 1.0, "on_q_mean": 9.0, "on_q_std": 1.0, "on_thd_i_mean": 5.0, "on_thd_i_std": 1.0, "on_thd_u_mean": 0.0, "voltage_mean": 230.0, "inrush_ratio": 1.0}
+    prints = spark.range(20).coalesce(1).select(F.col("id").cast("string").alias("device"), *[F.lit(v).alias(n) for n, v in rules.items()])
+    made = synthesis.synthetic_runs(prints, 2, 7)
+    assert made.rdd.getNumPartitions() > 4 and made.select("device", "run").distinct().count() == 40
+
+
 def test_summed_signals_stay_where_their_plans_were_dealt(spark):
     one = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("series_id"), F.lit(30).alias("total"), F.lit(3).alias("ord"), F.lit("Monitor").alias("device"), F.lit(5).alias("on_idx"), F.lit(20).alias("off_idx"))
     plan = synthesis.spread(one, "series_id", rows=2)
