@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from ..staging import staged
 
 #: Rows of one side of a block of distances.
 BLOCK = 2048
+#: Rows of one side of a pair of blocks that meets in one task at most, and sums by row and label that it holds.
+LARGEST_BLOCK, BLOCK_CELLS = 1 << 16, 1 << 22
 #: Trees of a forest that are grown at a time.
 FOREST_PART = 25
 
@@ -71,19 +75,54 @@ def knn_classify(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     return votes.groupBy("id").agg(F.mode("n.label", True).alias("predicted"))
 
 
+def silhouette_blocks(n: int, labels: int, tasks: int) -> int:
+    """How many blocks n rows make: as many as give each task some pairs of blocks, more only where a block would
+    outgrow its bounds. Each row moves once a block, so until then the shuffle grows as the rows do."""
+    least = max(BLOCK, min(LARGEST_BLOCK, BLOCK_CELLS // max(1, labels)))
+    return max(1, -(-n // least), min(-(-n // BLOCK), math.isqrt(8 * tasks) + 1))
+
+
+def _label_sums(q: pd.DataFrame, r: pd.DataFrame | None = None) -> pd.DataFrame:
+    """(id, own, other, total): sums of distances from each row of q to each label's rows in r and the other way
+    round, of each pair once; without r, within q. By tiles of BLOCK rows."""
+    sides = [q] if r is None else [q, r]
+    coded = [pd.factorize(s["label"]) for s in sides]  # no code for null
+    sums = [np.zeros((len(s), len(names))) for s, (_, names) in zip(sides, reversed(coded))]
+    ones = [lambda at, c=codes, n=len(names): (c[at, None] == np.arange(n)).astype(float) for codes, names in coded]
+    tiles = [[slice(i, i + BLOCK) for i in range(0, len(s), BLOCK)] for s in sides]
+    for i in tiles[0]:
+        for j in tiles[-1]:
+            if r is None and j.start < i.start:
+                continue
+            d = _distances(q[i], sides[-1][j])
+            if r is None and i == j:
+                np.fill_diagonal(d, 0.0)
+            sums[0][i] += d @ ones[-1](j)
+            if r is not None or i != j:
+                sums[-1][j] += d.T @ ones[0](i)
+    parts = []
+    for s, total, (_, names) in zip(sides, sums, reversed(coded)):
+        at = np.repeat(np.arange(len(s)), len(names))
+        parts.append(pd.DataFrame({"id": s["id"].to_numpy()[at], "own": s["label"].to_numpy()[at], "other": np.tile(np.asarray(names), len(s)), "total": total.ravel()}))
+    return pd.concat(parts)
+
+
 def silhouettes(rows: DataFrame) -> DataFrame:
-    """(id, silhouette) by exact Euclidean distances; rows: id, label, vector. Alone in a cluster: 0."""
+    """(id, silhouette) by exact Euclidean distances; rows: id, label, vector. Alone in a cluster: 0.
+    Blocks of rows meet in pairs, each pair once; the work is quadratic by nature."""
 
-    def part(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"id": [], "own": [], "other": [], "total": []})
-        d = pd.DataFrame(_distances(q, r).T).groupby(r["label"].to_numpy()).sum()
-        at = np.repeat(np.arange(len(q)), len(d))
-        return pd.DataFrame({"id": q["id"].to_numpy()[at], "own": q["label"].to_numpy()[at], "other": np.tile(d.index.to_numpy(), len(q)), "total": d.to_numpy().T.ravel()})
+    def part(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        q, r = (both[both["block"] == k].reset_index(drop=True) for k in key)
+        if key[0] == key[1]:
+            return _label_sums(q)
+        return _label_sums(q, r) if len(q) and len(r) else pd.DataFrame({"id": [], "own": [], "other": [], "total": []})
 
     kind = dict(rows.dtypes)["label"]
-    cols = rows.select("id", "label", "vector")
-    sums = _paired(cols, cols).applyInPandas(part, f"id long, own {kind}, other {kind}, total double").groupBy("id", "own", "other").agg(F.sum("total").alias("total"))
+    n, labels = rows.agg(F.count("*"), F.count_distinct("label")).first()
+    blocks = silhouette_blocks(n, labels, rows.sparkSession.sparkContext.defaultParallelism)
+    cols = rows.select("id", "label", "vector").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    cols = cols.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"a": F.least("block", "with"), "b": F.greatest("block", "with")}).drop("with")
+    sums = cols.groupBy("a", "b").applyInPandas(part, f"id long, own {kind}, other {kind}, total double").groupBy("id", "own", "other").agg(F.sum("total").alias("total"))
     sizes = rows.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     means = sums.join(sizes, "other").withColumn("mean", F.when(F.col("own") == F.col("other"), F.try_divide("total", F.col("n") - 1)).otherwise(F.col("total") / F.col("n")))
     a, b = F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))), F.min(F.when(F.col("own") != F.col("other"), F.col("mean")))

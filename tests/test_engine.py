@@ -253,6 +253,21 @@ def test_summed_signals_stay_where_their_plans_were_dealt(spark):
     assert [tuple(r) for r in sig.groupBy("n", "p", "thd").count().orderBy("p").collect()] == [(30, 0.0, None, 600), (30, 2.0, 5.0, 600)]
     assert sets.where(F.size("active") > 0).count() == 600
 
+def test_silhouettes_of_many_blocks(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    assert learning.silhouette_blocks(120_000, 10, 12) == learning.silhouette_blocks(600_000, 10, 12) == 10
+    monkeypatch.setattr(learning, "BLOCK", 3)
+    rows = pd.DataFrame({"id": range(11), "label": [0, 1, 2, 0, 1, 2, 0, 1, 2, 0, 7], "vector": [[float(i * i % 7), float(i)] for i in range(11)]})
+    both = pd.concat([learning._label_sums(rows[:4]), learning._label_sums(rows[4:]), learning._label_sums(rows[:4], rows[4:].reset_index(drop=True))])
+    got = both.groupby(["id", "other"])["total"].sum()
+    v = np.array(rows["vector"].tolist())
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for (i, label), total in got.items():
+        assert abs(total - far[i, rows["label"] == label].sum()) < 1e-9
+    assert len(got) == 11 * 4
+
 
 # ---- tracker --------------------------------------------------------------------------------
 
