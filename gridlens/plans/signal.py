@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import step_features
 from ..operators import features, regions, steps, windows
+from ..operators.synthesis import spread
 from ..sources.meter import meter_view, read_recordings
 from ..staging import new_folder, staged
 
 REGIONS = regions.RegionRules(sps=1, baseline_s=3, k_noise=1.0, floor_w=3.0, min_on_s=3, max_gap_s=1, smooth_s=3)
 STEPS = steps.StepRules(sps=1, win_s=3, floor_w=5.0, k_noise=1.0, smooth_s=3, q_floor=40.0, noise_s=5)
 
+#: Events that one task writes as meter files.
+EVENTS_A_TASK = 50_000
+
 
 def meter(spark, sf_dir):
     return meter_view(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value", "props"))
@@ -109,7 +113,9 @@ def meter_files(spark, sf_dir):
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_iso"), F.concat(F.lit("user "), "user_id").alias("device_name"),
         F.col("value").alias("p_total_w"), (F.get_json_object("props", "$.k").cast("int") - 50).alias("q_total_var"), "user_id", "event_id",
     )
-    rows.repartition("user_id").sortWithinPartitions("user_id", "timestamp_iso", "event_id").drop("event_id").write.partitionBy("user_id").option("header", True).csv(folder)
+    dealt = spread(rows, "user_id", rows=EVENTS_A_TASK).sortWithinPartitions("user_id", "timestamp_iso", "event_id").drop("event_id")
+    # version 2: each task puts its own files in place, not the driver all of them one by one
+    dealt.write.partitionBy("user_id").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(folder)
     back = read_recordings(spark, f"{folder}/*")
     return rounded(back.select("device_name", "idx", "t_sec", F.col("p_total_w").alias("p"), F.col("q_total_var").alias("q")), "t_sec")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_name, slug
 from ..schema import MEASURES, WHOLE
+from ..staging import staged
 
 #: Devices that discovery leaves out unless asked.
 EXCLUDED = ["PV"]
@@ -52,7 +53,7 @@ def _cells(line: str) -> Column:
 def _lines(spark: SparkSession, path: str, *needed: str) -> DataFrame:
     """series_id (the file), _line, _names (of its header) and _cells of each line below a header that has the needed columns."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("series_id"), F.monotonically_increasing_id().alias("_line"), "value")
-    filled = lines.where(F.trim("value") != "")
+    filled = staged(lines.where(F.trim("value") != ""), "lines")  # many small files are opened once
     head = filled.groupBy("series_id").agg(F.min_by("value", "_line").alias("_head"), F.min("_line").alias("_at"))
     head = head.withColumn("_names", _cells("_head"))
     for name in needed:
@@ -79,6 +80,7 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
         "series_id", "_line", F.try_to_timestamp("timestamp_iso").alias("timestamp_iso"), "device_name", "run_id",
         *[_number(c, "int") for c in WHOLE], *[_number(c, "double") for c in MEASURES],
     ).where("timestamp_iso IS NOT NULL")
+    good = staged(good, "recordings")
     named = F.expr("min_by(device_name, struct(timestamp_iso, _line)) FILTER (WHERE device_name IS NOT NULL)")
     name = good.groupBy("series_id").agg(clean_name(named).alias("device_name"))
     placed = with_position(good.drop("device_name").join(name, "series_id"), "timestamp_iso", "_line")

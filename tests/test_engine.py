@@ -268,6 +268,12 @@ def test_silhouettes_of_many_blocks(monkeypatch):
         assert abs(total - far[i, rows["label"] == label].sum()) < 1e-9
     assert len(got) == 11 * 4
 
+def test_recordings_open_their_files_once(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("timestamp_iso,device_name,p_total_w\n2024-01-01T00:00:00,Lamp,5\n2024-01-01T00:00:01,Lamp,6\n")
+    made = meter.read_recordings(spark, f"{tmp_path}/*.csv")
+    assert made.count() == 4 and "Format: Text" not in made._jdf.queryExecution().executedPlan().toString()
+
 
 # ---- tracker --------------------------------------------------------------------------------
 
