@@ -198,10 +198,15 @@ def truth_events(plan: DataFrame, devices: DataFrame) -> DataFrame:
     return both.select("series_id", "device", "P", "Q", e.alias("e")).select("series_id", (F.col("e.at") / SPS).alias("t_sec"), "device", "e.kind", (F.col("e.sign") * F.col("P")).alias("delta_p"), (F.col("e.sign") * F.col("Q")).alias("delta_q"))
 
 
-def active_sets(plan: DataFrame) -> DataFrame:
+def active_sets(plan: DataFrame, changes: bool = False) -> DataFrame:
     """(series_id, t, active): the true set at every row, empty ones included. A signal's runs, as few as its devices,
-    travel with its rows, which meet by no join."""
+    travel with its rows, which meet by no join. With `changes` only the rows after which a set may change and the last
+    one: looking for the first row at or after a time finds the same set among them as among all."""
     runs = F.collect_list(F.struct("device", "on_idx", "off_idx"))
-    rows = plan.groupBy("series_id").agg(F.max("total").alias("total"), runs.alias("runs")).select("series_id", "runs", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
+    each = plan.groupBy("series_id").agg(F.max("total").alias("total"), runs.alias("runs"))
+    every = F.sequence(F.lit(0), F.col("total") - 1)
+    ends = F.concat(F.flatten(F.transform("runs", lambda r: F.array(r["on_idx"] - 1, r["off_idx"] - 1))), F.array(F.col("total") - 1))
+    ends = F.array_distinct(F.filter(ends, lambda i: (i >= 0) & (i < F.col("total"))))
+    rows = each.select("series_id", "runs", F.explode(ends if changes else every).alias("idx"))
     now = F.filter("runs", lambda r: (r["on_idx"] <= F.col("idx")) & (F.col("idx") < r["off_idx"]) & r["device"].isNotNull())
     return rows.select("series_id", (F.col("idx") / SPS).alias("t"), F.array_sort(F.array_distinct(F.transform(now, lambda r: r["device"]))).alias("active"))

@@ -253,6 +253,16 @@ def test_summed_signals_stay_where_their_plans_were_dealt(spark):
     assert [tuple(r) for r in sig.groupBy("n", "p", "thd").count().orderBy("p").collect()] == [(30, 0.0, None, 600), (30, 2.0, 5.0, 600)]
     assert sets.where(F.size("active") > 0).count() == 600
 
+def test_sets_at_their_changes_tell_the_set_at_any_time(spark):
+    runs = [("a", 12, "x", 0, 5), ("a", 12, "y", 3, 9), ("a", 12, "x", 5, 7), ("a", 12, None, 2, 4), ("b", 9, "x", 4, 20), ("c", 7, "y", None, None)]
+    plan = spark.createDataFrame(runs, "series_id string, total int, device string, on_idx int, off_idx int")
+    few, every = synthesis.active_sets(plan, changes=True), synthesis.active_sets(plan)
+    assert every.count() == 12 + 9 + 7 and few.groupBy("series_id").count().orderBy("series_id").collect() == [("a", 7), ("b", 2), ("c", 1)]
+    checks = plan.select("series_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("t", F.col("t") / 10)
+    told = [sorted(map(tuple, evaluation.active_at(checks, sets).select("series_id", "t", "active").collect())) for sets in (few, every)]
+    assert told[0] == told[1] and len(told[0]) == 3 * 31 and ("a", 0.6, ["x", "y"]) in told[0]
+
+
 def test_silhouettes_of_many_blocks(monkeypatch):
     import numpy as np
     import pandas as pd
