@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import CHUNK_SECONDS, carried, in_chunk
+from .windows import CHUNK_SECONDS, carried, dealt, in_chunk
 
 MATCH_SCHEMA = "series_id string, detected_no int, truth_no int, dt double"
 
@@ -43,7 +43,7 @@ def match_to_truth(detected: DataFrame, truth: DataFrame, tol_s: float = 2.0, ch
     both = both.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("t_sec") - F.col("_before") > tol_s), F.col("t_sec")))
     parts = {"_part": (F.max("_start").over(in_chunk("t_sec")), F.max("_start"), lambda c, by: F.max(c).over(by), nearer)}
     both = carried(both, parts, chunk_s=chunk_s).withColumn("_part", F.floor(F.col("_part") / chunk_s))
-    return both.select(*cols, "_found", "_part").groupBy("series_id", "_part").applyInPandas(pairs, MATCH_SCHEMA)
+    return dealt(both.select(*cols, "_found", "_part"), "series_id", "_part").groupBy("series_id", "_part").applyInPandas(pairs, MATCH_SCHEMA)
 
 
 def precision_recall(matches: DataFrame, detected: DataFrame, truth: DataFrame) -> DataFrame:

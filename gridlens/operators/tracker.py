@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TIMELINE_SCHEMA
+from .windows import dealt
 
 
 @dataclass(frozen=True)
@@ -167,10 +168,10 @@ def timelines(steps: DataFrame, devices: DataFrame, rules: Rules = Rules(), star
             out.append((key[0], at, t, sorted(on), unknown))
         return pd.DataFrame(out, columns=["series_id", "step_no", "t_sec", "active", "unknown_residual"])
 
-    slim = steps.select("series_id", *cols).groupBy("series_id")
+    slim = steps.select("series_id", *cols)
     if start is None:
-        return slim.applyInPandas(lambda key, rows: run(key, rows), TIMELINE_SCHEMA)
-    return slim.cogroup(start.select("series_id", "step_no", "active").groupBy("series_id")).applyInPandas(lambda key, rows, before: run(key, rows, before), TIMELINE_SCHEMA)
+        return dealt(slim, "series_id").groupBy("series_id").applyInPandas(lambda key, rows: run(key, rows), TIMELINE_SCHEMA)
+    return slim.groupBy("series_id").cogroup(start.select("series_id", "step_no", "active").groupBy("series_id")).applyInPandas(lambda key, rows, before: run(key, rows, before), TIMELINE_SCHEMA)
 
 
 def switch_events(timeline: DataFrame, before: DataFrame | None = None) -> DataFrame:

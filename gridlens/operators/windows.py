@@ -149,6 +149,13 @@ def in_chunk(*order, first=Window.unboundedPreceding, last: int = 0):
     return Window.partitionBy("series_id", "_chunk").orderBy(*order).rowsBetween(first, last)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys over tasks whose number does not hang on bytes, for groups of few bytes and much work: tasks cut
+    by bytes would leave them together. Nothing is counted, so what df is made of runs once."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def every_nth(df: DataFrame, most: int = 900) -> DataFrame:
     """Stride down-sampling of each series to at most `most` rows."""
     n = series_lengths(df)

@@ -273,6 +273,13 @@ def test_truth_at_checks_is_made_at_changes_only(spark, sf_dir, monkeypatch):
     assert len(made) == 2 and max(made) <= 7 * signals
 
 
+def test_matches_and_timelines_spread_over_tasks(spark):
+    found = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("series_id"), F.lit(1).alias("no"), F.lit(3.0).alias("t_sec"), F.lit(16.0).alias("delta_p"), F.lit(0.6).alias("delta_q"))
+    matches, timeline = evaluation.match_to_truth(found, found), tracker.timelines(found, schema.devices(spark))
+    for made in (matches, timeline):
+        assert made.rdd.getNumPartitions() >= 16 and made.select("series_id").distinct().count() == 40
+
+
 def test_silhouettes_of_many_blocks(monkeypatch):
     import numpy as np
     import pandas as pd
