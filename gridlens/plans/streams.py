@@ -23,24 +23,25 @@ _LATE = "(idx * 7 + s) % 41 = 0"
 
 
 def _found(spark, sf_dir):
-    """(folder, stream of what is detected)."""
-    folder = new_folder(spark)
+    """(folder, stream of what is detected, bins of series)."""
+    folder, tasks = new_folder(spark), spark.sparkContext.defaultParallelism
+    bins = keyed.bins_for(spark.read.parquet(f"{sf_dir}/supplier.parquet").count(), tasks)
     rows = _signals(spark, sf_dir).withColumns({"s": F.col("series_id").cast("long"), "t": F.col("t_sec")}).where(_COMES)
     due = F.col("t_sec") + F.when(F.expr(_LATE), float(DELAY)).otherwise(0.0)
-    write_replay(rows.select("series_id", "t_sec", "p", "q", F.lit(None).cast("double").alias("thd"), due.alias("due")), f"{folder}/replay")
+    write_replay(rows.select("series_id", "t_sec", "p", "q", F.lit(None).cast("double").alias("thd"), due.alias("due")), f"{folder}/replay", buckets=max(8, tasks), chunk_s=float(TICK))
     spark.dataSource.register(Replay)
     stream = spark.readStream.format("replay").options(path=f"{folder}/replay", progress=f"{folder}/progress").option("batchSeconds", TICK).option("drainSeconds", DRAIN).load()
-    return folder, keyed.detected(stream, RULES)
+    return folder, keyed.detected(stream, RULES, bins=bins), bins
 
 
 def _detected(spark, sf_dir, kind: str):
-    folder, found = _found(spark, sf_dir)
+    folder, found, _ = _found(spark, sf_dir)
     return keyed.run_to_table(found, folder, spark.sparkContext.defaultParallelism).where(F.col("kind") == kind)
 
 
 def _tracked(spark, sf_dir):
-    folder, found = _found(spark, sf_dir)
-    return keyed.run_to_table(keyed.tracked(found, devices(spark)), folder, spark.sparkContext.defaultParallelism)
+    folder, found, bins = _found(spark, sf_dir)
+    return keyed.run_to_table(keyed.tracked(found, devices(spark), bins=bins), folder, spark.sparkContext.defaultParallelism)
 
 
 def stream_steps(spark, sf_dir):

@@ -159,6 +159,58 @@ def test_a_micro_batch_of_a_series_takes_few_calls_of_its_state():
     assert list(out["kind"]) == ["step"] and not told.timers
 
 
+def test_series_of_a_bin_share_a_state_and_are_judged_as_alone():
+    import pandas as pd
+    import pyarrow as pa
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return self.at
+
+    rows = pd.DataFrame([(name, i / 5, p, q, np.nan if x is None else x) for name, signal in SIGNALS.items() for i, (p, q, x) in enumerate(signal)], columns=["series_id", "t_sec", "p", "q", "thd"])
+    due = rows["t_sec"] + np.where(rows.index % 29 == 3, 25.0, 0.0)  # some are late
+    rows["arrived"] = pd.Timestamp("2000-01-01", tz="UTC") + pd.to_timedelta(due, unit="s")
+    ticks = [own.drop(columns="tick") for _, own in rows.assign(tick=(due // 10)).groupby("tick")]
+
+    def run(ticks, pack):
+        told, out = Told(), []
+        detector = keyed.Detector(keyed.LiveRules(), keyed.Clock())
+        detector.init(told)
+        for own in ticks:
+            batch = pa.RecordBatch.from_pandas(own.assign(bin=5), preserve_index=False)
+            come = [b.to_pandas() for b in keyed._packed(iter([batch[:7], batch[7:]]))] if pack else [own]
+            told.calls = 0
+            out += detector.handleInputRows((5,), iter(come), None)
+            assert told.calls <= 4 and len(told.timers) == 1
+        while told.timers:
+            at = Now(told.timers.pop())
+            out += detector.handleExpiredTimer((5,), at, at)
+        return sorted((repr(tuple(r)) for part in out for r in part.astype(object).where(part.notna(), None).itertuples(index=False)))
+
+    alone = sum((run([own for t in ticks if len(own := t[t["series_id"] == name])], False) for name in SIGNALS), [])
+    assert run(ticks, True) == sorted(alone) and {"step", "level", "late", "stale"} == {r.split("'")[1] for r in alone}
+
+
+def test_bins_grow_with_the_series():
+    assert [keyed.bins_for(n, 8) for n in (10, 16_001, 360_000)] == [64, 65, 1440] and keyed.bins_for(10, 100) == 400
+
+
+def test_replay_gives_spark_whole_batches(spark, tmp_path):
+    replay.write_replay(frame(spark, {"a": SIGNALS["a"]}).drop("idx"), f"{tmp_path}/r", buckets=2, chunk_s=10.0)
+    reader = replay.Replay({"path": f"{tmp_path}/r", "drainSeconds": "5"}).streamReader(None)
+    parts = reader.partitions({"tick": 2}, {"tick": 12})
+    got = [b for part in parts for b in reader.read(part)]
+    assert all(b.schema.names == ["series_id", "t_sec", "p", "q", "thd", "arrived"] for b in got)
+    times = [t for b in got for t in b.column("t_sec").to_pylist()]
+    assert [t for t in times if t is None] == [None] and sorted(t for t in times if t is not None) == [i / 5 for i in range(100, 480)]
+
+
 def test_nulls_and_extra_columns_on_a_stream(spark, tmp_path):
     df = frame(spark, {"a": [(None if i % 9 == 0 else p, None if i % 7 == 0 else q, None) for i, (p, q, _) in enumerate(levels(1, (80, 0, 0), (90, 0, 40)))]}).drop("idx")
     bad = spark.createDataFrame([("a", None, 1.0, 1.0, None), (None, 3.0, 1.0, 1.0, None)], "series_id string, t_sec double, p double, q double, thd double")
