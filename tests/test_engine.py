@@ -230,6 +230,21 @@ def test_a_forest_in_parts_sums_its_trees(spark):
     assert sum(r["predicted"] == r["label"] for r in out) > 100
 
 
+def test_a_forest_by_votes_is_that_of_its_parts_and_grows_few_trees_at_a_time(spark):
+    for rows, trees in ((100, 300), (80_000, 300), (10_000_000, 3)):
+        sizes, at_once = learning.forest_plan(rows, trees, 12)
+        assert sum(sizes) == trees and (max(sizes) * at_once * rows <= learning.FOREST_ROWS or max(sizes) * at_once == 1)
+    assert learning.forest_plan(1_000, 300, 12) == ([learning.FOREST_PART] * 12, 32)
+    rng = np.random.default_rng(3)
+    rows = [(i % 100, "xyz"[i % 3], [float(v) for v in rng.normal(i % 3, 0.8, 4)]) for i in range(150)]  # some ids twice
+    df = spark.createDataFrame(rows, "id long, label string, vector array<double>")
+    want = learning.forest_in_parts(df, trees=8, depth=4, seed=0, part=3).predict(df, with_shares=True).collect()
+    votes, labels = learning.forest_votes(df, df, 8, 4, 0, most=12 * 150)
+    got = {tuple(r["vector"]): r["votes"] for r in votes.collect()}
+    assert labels == ["x", "y", "z"] and len(got) == 150
+    assert all(math.isclose(v, 8 * s) for r in want for v, s in zip(got[tuple(r["vector"])], r["shares"]))
+
+
 def test_plans_of_signals_spread_over_tasks(spark):
     made = synthesis.signal_plans(spark, schema.devices(spark), spark.range(40).coalesce(1), 7)
     assert made.rdd.getNumPartitions() > 4 and made.select("series_id").distinct().count() == 40
